@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .quality import op7_quality_rules
+from .token_counts import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op7_quality_rules, op10_token_counts)}
 ORACLES: dict[str, str] = {}
