@@ -23,7 +23,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
+import xxhash
+from pyspark import Broadcast, SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,11 +117,12 @@ class Encoder:
 _ENCODERS: dict = {}
 
 
-def _encoder(shared, lexicon: str | None) -> Encoder:
+def _encoder(name: str, shared: Broadcast, lexicon: str | None) -> Encoder:
     """One encoder for each Python worker, vocabulary and lexicon."""
-    key = (shared.id, lexicon)
+    key = (name, lexicon)
     if key not in _ENCODERS:
-        _ENCODERS.clear()
+        if len(_ENCODERS) > 3:
+            _ENCODERS.clear()
         _ENCODERS[key] = Encoder(shared.value, SparkFiles.get(lexicon) if lexicon else None)
     return _ENCODERS[key]
 
@@ -182,11 +184,11 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", *, min_share: f
     """docs with ids (unsigned 32-bit, little-endian) and n_tokens. vocabulary: path of a word-end BPE description in JSON."""
     spark = docs.sparkSession
     description = Path(vocabulary).read_bytes()
-    shared = spark.sparkContext.broadcast(description)
+    name, shared = xxhash.xxh64_hexdigest(description), spark.sparkContext.broadcast(description)
     lexicon = ship_lexicon(spark, description, frequent_words(docs, text, min_share=min_share))
 
     def make():
-        encoder = _encoder(shared, lexicon)
+        encoder = _encoder(name, shared, lexicon)
 
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = raw(batch.column(text))
@@ -203,10 +205,11 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", *, min_share: f
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     """df with decoded, the text of its ids."""
-    shared = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
+    description = Path(vocabulary).read_bytes()
+    name, shared = xxhash.xxh64_hexdigest(description), df.sparkSession.sparkContext.broadcast(description)
 
     def make():
-        encoder = _encoder(shared, None)
+        encoder = _encoder(name, shared, None)
         return lambda batch: [pa.array([encoder.decode(x or b"").decode() for x in batch.column(ids).to_pylist()], pa.string())]
 
     return append(df, [T.StructField("decoded", T.StringType())], make)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .encode import op3_bpe
 from .quality import op7_quality_rules
+from .simhash import op4_simhash
 from .token_counts import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op7_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_bpe, op4_simhash, op7_quality_rules, op10_token_counts)}
 ORACLES: dict[str, str] = {}
