@@ -192,6 +192,7 @@ def probes(fps: DataFrame, parts: list[Part]) -> DataFrame:
 def _links(fp: np.ndarray, asks: np.ndarray, run: np.ndarray, most: int) -> list[tuple[int, int]]:
     """A spanning forest of the verified links inside each run of equal keys; run: number of each row's run, ascending."""
     out: list[tuple[int, int]] = []
+    bits = fp.view(np.uint64)  # counting the ones of signed numbers would drop their sign
     begins = np.searchsorted(run, np.arange(run[-1] + 2) if len(run) else [])
     tree = np.arange(len(fp))  # each row's tree, by the number of one of its rows
     at, step = np.arange(len(fp)), 1
@@ -201,7 +202,7 @@ def _links(fp: np.ndarray, asks: np.ndarray, run: np.ndarray, most: int) -> list
         if not len(at):
             return out
         other = at + step
-        near = (tree[at] != tree[other]) & (np.bitwise_count(fp[at] ^ fp[other]) <= most) & ~(asks[at] & asks[other])
+        near = (tree[at] != tree[other]) & (np.bitwise_count(bits[at] ^ bits[other]) <= most) & ~(asks[at] & asks[other])
         for i, j in zip(at[near].tolist(), other[near].tolist()):
             old, new = tree[i], tree[j]
             if old != new:
