@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from .encode import op3_bpe
 from .quality import op7_quality_rules
+from .sharding import op2_sharding
 from .simhash import op4_simhash
 from .token_counts import op10_token_counts
+from .urls import ORACLE as OP1_SQL
+from .urls import op1_url_filters
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_simhash, op7_quality_rules, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_sharding, op3_bpe, op4_simhash, op7_quality_rules, op10_token_counts)}
+ORACLES: dict[str, str] = {"op1_url_filters": OP1_SQL}
