@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from .encode import op3_bpe
+from .merkle import op9_fingerprints
+from .mixing import ORACLE as OP6_SQL
+from .mixing import op6_mixing
 from .quality import op7_quality_rules
 from .sharding import op2_sharding
 from .simhash import op4_simhash
@@ -10,5 +13,5 @@ from .token_counts import op10_token_counts
 from .urls import ORACLE as OP1_SQL
 from .urls import op1_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_sharding, op3_bpe, op4_simhash, op7_quality_rules, op10_token_counts)}
-ORACLES: dict[str, str] = {"op1_url_filters": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_sharding, op3_bpe, op4_simhash, op6_mixing, op7_quality_rules, op9_fingerprints, op10_token_counts)}
+ORACLES: dict[str, str] = {"op1_url_filters": OP1_SQL, "op6_mixing": OP6_SQL}
