@@ -9,9 +9,11 @@ from .mixing import op6_mixing
 from .quality import op7_quality_rules
 from .sharding import op2_sharding
 from .simhash import op4_simhash
+from .substrings import op5_substring_dedup
+from .suffix_array import op8_suffix_array
 from .token_counts import op10_token_counts
 from .urls import ORACLE as OP1_SQL
 from .urls import op1_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_sharding, op3_bpe, op4_simhash, op6_mixing, op7_quality_rules, op9_fingerprints, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_sharding, op3_bpe, op4_simhash, op5_substring_dedup, op6_mixing, op7_quality_rules, op8_suffix_array, op9_fingerprints, op10_token_counts)}
 ORACLES: dict[str, str] = {"op1_url_filters": OP1_SQL, "op6_mixing": OP6_SQL}
