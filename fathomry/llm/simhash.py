@@ -268,4 +268,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least id of each component (five-word shingles)."""
     marked = written(fingerprint(docs.select("doc_id", "text"), size=5).drop("text"), "simhash")
     dropped = near_duplicates(marked).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
