@@ -18,11 +18,11 @@ def micros(x: str | Column) -> Column:
 
 
 def moments(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """keys, num, mean, std: population deviation, held at 0; 0 for one value (A9). Nulls and NaN do not count."""
+    """keys, num, mean, std: population deviation, held at 0; 0 for one value, null for none (A9). Nulls and NaN do not count."""
     v = finite(value)
     out = df.groupBy(*keys).agg(F.count(v).alias("num"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
     mean = F.col("s") / F.col("num")
-    return out.select(*keys, "num", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("num") - mean * mean, F.lit(0.0))).alias("std"))
+    return out.select(*keys, "num", mean.alias("mean"), F.when(F.col("num") > 0, F.sqrt(F.greatest(F.col("q") / F.col("num") - mean * mean, F.lit(0.0)))).alias("std"))
 
 
 def meter(df: DataFrame, keys: list[str]) -> DataFrame:

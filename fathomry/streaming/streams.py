@@ -29,7 +29,7 @@ def windowed_moments(rows: DataFrame, every: str, *, late: str = LATE) -> DataFr
     v = finite("value")
     out = rows.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "name").agg(F.count(v).alias("num"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
     mean = F.col("s") / F.col("num")
-    return out.select(F.col("w.start").alias("start"), "name", "num", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("num") - mean * mean, F.lit(0.0))).alias("std"))
+    return out.select(F.col("w.start").alias("start"), "name", "num", mean.alias("mean"), F.when(F.col("num") > 0, F.sqrt(F.greatest(F.col("q") / F.col("num") - mean * mean, F.lit(0.0)))).alias("std"))
 
 
 def _folded(rows: DataFrame, keys: list[str], start: tuple, state: str, out: str, step: Callable[[tuple, Any], tuple[tuple, tuple | None]]) -> DataFrame:
