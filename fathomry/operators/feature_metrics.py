@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .manifest import random_subsets
+from .masks import masked_psnr
 from .moments import frechet_distance
 from .ranks import hash_rank, order_rank, shuffled
 from .tiles import _matrix, covered, nearest, radius
@@ -182,7 +183,10 @@ PRESETS: dict[str, dict] = {
     "pr50k3_full_cond": {"metric": "pr_cond", "real": 200_000, "gen": 50_000, "k": 3},
     "pr50k3": {"metric": "pr", "real": 50_000, "gen": 50_000, "k": 3},
     "is50k": {"metric": "is", "gen": 50_000, "splits": 10},
-    "fid_is_512": {"metric": "fid", "real": 512, "gen": 512},
+    "fid_512": {"metric": "fid", "real": 512, "gen": 512},
+    "is_512": {"metric": "is", "gen": 512, "splits": 1},
+    **{name: {"metric": "ppl"} for name in ("ppl2_wend", "ppl_zfull", "ppl_wfull", "ppl_zend", "ppl_wend")},
+    **{name: {"metric": "psnr"} for name in ("eqt50k_int", "eqt50k_frac", "eqr50k")},
 }
 _REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
@@ -212,10 +216,12 @@ metric("kid")(lambda features, subsets, m: kernel_distance(features, subsets=sub
 metric("pr")(lambda features, k: precision_recall(features, k))
 metric("pr_cond")(lambda features, k: macro(class_precision_recall(features, k), ["precision", "recall"]))
 metric("is")(lambda features, splits: inception_score(features.select(F.col("id").alias("ord"), V.softmax("x").alias("p")), splits))
+metric("ppl")(lambda distances: trimmed_mean(distances, "d", "id"))
+metric("psnr")(lambda pairs: masked_psnr(pairs, []))
 
 
 def compute(name: str, features: DataFrame, seed: int = 0) -> DataFrame:
-    """A preset over features (id, side, label, x); sides larger than the preset takes are sampled by a seed."""
+    """A preset over features (id, side, label, x), distances (id, d) for ppl, or pixel pairs (a, b, mask) for eq; sides larger than the preset takes are sampled by a seed."""
     told = dict(PRESETS[name])
     f = _REGISTRY[told.pop("metric")]
     sides = []
@@ -223,6 +229,8 @@ def compute(name: str, features: DataFrame, seed: int = 0) -> DataFrame:
         if side in told:
             rows, most = features.where(F.col("side") == side), told.pop(side)
             sides.append(rows if most is None else hash_rank(rows, shuffled(seed, F.col("id")), "id").where(F.col("rank") < most).drop("rank"))
+    if not sides:
+        return f(features, **told)
     return f(sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1]), **told)
 
 
