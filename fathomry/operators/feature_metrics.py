@@ -80,11 +80,11 @@ def trimmed_mean(df: DataFrame, value: str, tie: str, low: float = 0.01, high: f
     n = df.where(F.col(value).isNotNull()).count()
     counts = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")).where(F.col("v").isNotNull())
     a, b = int(np.floor((n - 1) * low)), int(np.ceil((n - 1) * high))
-    ends = order_rank_weighted(counts, [a, b])
+    ends = values_at_ranks(counts, [a, b])
     return df.where(F.col(value).between(*ends)).agg(F.avg(value).alias("mean")) if ends else df.agg(F.avg(value).alias("mean"))
 
 
-def order_rank_weighted(counts: DataFrame, ranks: list[int]) -> list[float]:
+def values_at_ranks(counts: DataFrame, ranks: list[int]) -> list[float]:
     """The values (v, with c rows each) that hold the given ranks from 0."""
     cuts = counts.agg(F.percentile_approx("v", [i / 32 for i in range(1, 32)], 10_000)).first()[0] or []
     bucket = F.size(F.filter(F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]), lambda x: x <= F.col("v"))) if cuts else F.lit(0)

@@ -39,16 +39,16 @@ def scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return a @ b.T
 
 
-def _blocks(df: DataFrame, other: str, mine: str, n_mine: int, n_other: int, key: str, keys: list[str]) -> DataFrame:
+def _blocks(df: DataFrame, other: str, mine: str, n_mine: int, n_other: int, key: str) -> DataFrame:
     block = F.pmod(F.xxhash64(F.lit(3), key), F.lit(n_mine)).cast("int")
     return df.withColumn(mine, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
 
 def _paired(queries: DataFrame, bank: DataFrame, keys: list[str], q: str, b: str, block: int):
     n_q, n_b = (max(1, math.ceil(d.count() / block)) for d in (queries, bank))
-    left = _blocks(queries, "__b", "__q", n_q, n_b, q, keys).groupBy(*keys, "__q", "__b")
+    left = _blocks(queries, "__b", "__q", n_q, n_b, q).groupBy(*keys, "__q", "__b")
     bank = bank.select(*[F.col(c).alias(c) for c in bank.columns])  # both sides may be one table
-    right = _blocks(bank, "__q", "__b", n_b, n_q, b, keys).groupBy(*keys, "__q", "__b")
+    right = _blocks(bank, "__q", "__b", n_b, n_q, b).groupBy(*keys, "__q", "__b")
     return left.cogroup(right)
 
 

@@ -56,7 +56,7 @@ def p08(spark, sf):
     return X.runs(spark, sf).select("id", text.try_cast("int").alias("epoch"))
 
 
-@query("p09_drop_empty")
+@query("p09_drop_empty", "SELECT * FROM runs", "runs")
 def p09(spark, sf):
     return R.without_empty(X.runs(spark, sf).withColumn("unused", F.lit(None).cast("string")))
 

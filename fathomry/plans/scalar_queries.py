@@ -133,7 +133,7 @@ def f17(spark, sf):
     return X.runs(spark, sf).select("id", S.duration(F.col("runtime_s")).alias("took"))
 
 
-@query("f18_args_key")
+@query("f18_args_key", "SELECT class, count(*) AS n, md5('{\"class\":\"' || class || '\",\"n\":' || count(*) || '}') AS key FROM manifest GROUP BY class", "manifest")
 def f18(spark, sf):
     return X.manifest(spark, sf).groupBy("class").agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.md5(F.to_json(F.struct("class", "n"))))
 

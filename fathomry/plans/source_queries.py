@@ -22,9 +22,9 @@ def _folders(spark, sf) -> str:
     return root
 
 
-@query("s01_class_folders")
+@query("s01_class_folders", "SELECT 'class=' || class AS class, row_number() OVER (ORDER BY class) - 1 AS label, true AS has_files FROM (SELECT DISTINCT class FROM manifest)", "manifest")
 def s01(spark, sf):
-    return R.class_folders(spark, _folders(spark, sf)).groupBy("class", "label").agg((F.count(F.lit(1)) > 0).alias("has_files"))
+    return R.class_folders(spark, _folders(spark, sf)).groupBy("class", "label").agg((F.count(F.lit(1)) > 0).alias("has_files")).withColumn("label", F.col("label").cast("long"))
 
 
 @query("s02_images")

@@ -37,10 +37,11 @@ def run(stream: DataFrame, root: str) -> DataFrame:
     return S.drained(stream, f"{root}/out", f"{root}/state")
 
 
-@query("t01_windowed_moments")
+@query("t01_windowed_moments", ", w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, name, value FROM telemetry) SELECT start, name, count(value) AS num, round(avg(value), 6) AS mean FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM telemetry) - INTERVAL 10 MINUTE GROUP BY ALL", "telemetry")
 def t01(spark, sf):
     rows, root = source(spark, sf)
-    return run(S.windowed_moments(rows, "1 day"), root)
+    out = run(S.windowed_moments(rows, "1 day"), root)
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "name", "num", F.round("mean", 6).alias("mean"))
 
 
 _W = "WINDOW w AS (PARTITION BY run, name ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
