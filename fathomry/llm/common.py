@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,8 +45,8 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in mine])
 
 
-def append(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
-    """df with columns computed batch by batch. make() runs once in each task and returns batch -> arrays; columns of the same names are replaced."""
+def append(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], text: str | None = None) -> DataFrame:
+    """df with columns computed batch by batch. make() runs once in each task and returns batch -> arrays; columns of the same names are replaced. text: a column by whose bytes batches are cut, so that a task holds little at once."""
     df = without(df, *[f.name for f in fields])
     schema = T.StructType([*df.schema.fields, *fields])
 
@@ -53,7 +54,10 @@ def append(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callab
         f = None
         for batch in batches:
             f = f or make()
-            yield pa.RecordBatch.from_arrays([*batch.columns, *f(batch)], names=schema.names)
+            sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist() if text else []
+            for a, b in pieces(sizes) if text else [(0, batch.num_rows)]:
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, *f(part)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 

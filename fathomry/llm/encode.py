@@ -38,7 +38,7 @@ _WHITE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+"
 _WORDS = regex.compile(PATTERN)
 _WORDS_OR_BREAK = regex.compile(r"\n|" + PATTERN)
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 
 def normal(text: str) -> str:
@@ -144,7 +144,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
         for batch in batches:
             texts = raw(batch.column(0))
-            for a, b in pieces([len(x) for x in texts]):
+            for a, b in pieces([len(x) for x in texts], 500_000):
                 for x in texts[a:b]:
                     seen.update(x.split())
                 if len(seen) > REMEMBERED:
@@ -180,8 +180,8 @@ def ship_lexicon(spark: SparkSession, description: bytes, words: list[bytes]) ->
     return name
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", *, min_share: float = 1 / 65536) -> DataFrame:
-    """docs with ids (unsigned 32-bit, little-endian) and n_tokens. vocabulary: path of a word-end BPE description in JSON."""
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", *, min_share: float = 1 / 65536, back: bool = False) -> DataFrame:
+    """docs with ids (unsigned 32-bit, little-endian) and n_tokens; back: also with decoded, the text of those ids, in the same pass. vocabulary: path of a word-end BPE description in JSON."""
     spark = docs.sparkSession
     description = Path(vocabulary).read_bytes()
     name, shared = xxhash.xxh64_hexdigest(description), spark.sparkContext.broadcast(description)
@@ -191,15 +191,13 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", *, min_share: f
         encoder = _encoder(name, shared, lexicon)
 
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
-            texts = raw(batch.column(text))
-            made: list[bytes] = []
-            for a, b in pieces([len(x) for x in texts]):
-                made += encoder.encode(texts[a:b])
-            return [pa.array(made, pa.binary())]
+            made = encoder.encode(raw(batch.column(text)))
+            return [pa.array(made, pa.binary()), *([pa.array(list(map(encoder.decode, made)), pa.binary()).view(pa.string())] if back else [])]
 
         return run
 
-    out = append(docs, [T.StructField("ids", T.BinaryType())], make)
+    fields = [T.StructField("ids", T.BinaryType()), *([T.StructField("decoded", T.StringType())] if back else [])]
+    out = append(docs, fields, make, text)
     return without(out, "n_tokens").select("*", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
 
 
@@ -219,7 +217,7 @@ def digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    out = decode(encode(docs, path).drop("text"), path)
+    out = encode(docs, path, back=True).drop("text")
     return out.withColumns({"ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2(F.col("decoded").cast("binary"), 256)}).drop("ids", "decoded")
 
 

@@ -62,7 +62,7 @@ def measure(docs: DataFrame, text: str = "text", *, min_words: int = 50, max_rep
 
         return run
 
-    out = append(docs, _FIELDS, make)
+    out = append(docs, _FIELDS, make, text)
     return without(out, "base_failed").select("*", ((F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))).alias("base_failed"))
 
 

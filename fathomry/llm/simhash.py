@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, pieces, raw, table, without, written
+from .common import append, raw, table, without, written
 from .components import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -67,7 +67,7 @@ def fingerprint(docs: DataFrame, text: str = "text", *, size: int = 3) -> DataFr
     def make():
         return lambda batch: [pa.array(fingerprints(raw(batch.column(text)), size).view(np.int64), pa.int64())]
 
-    return append(docs, [T.StructField("fp", T.LongType())], make)
+    return append(docs, [T.StructField("fp", T.LongType())], make, text)
 
 
 @dataclass(frozen=True)
