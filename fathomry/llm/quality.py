@@ -106,3 +106,36 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the rules or the verdict on the host reject."""
     hosts = host_rates(measure(docs.select("text", "source")).select("source", "base_failed"))
     return judge(measure(docs), hosts).where("kept").select(*docs.columns)
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\v\f]+') AS w FROM documents
+), tri AS (
+  SELECT doc_id, i, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z
+  FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d) WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), often AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x, y, z) AS c FROM tri WHERE z IS NOT NULL) WHERE c > 1
+), again AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM often, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id
+), dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+  WHERE regexp_matches(l, '[^ \t\n\r\v\f]') GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words,
+    len(w) < 50 OR 100 * coalesce(again.n, 0) > 50 * len(w) AS base_failed
+  FROM d LEFT JOIN dup ON d.doc_id = dup.doc_id LEFT JOIN again ON d.doc_id = again.doc_id
+), h AS (
+  SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM m WHERE source IS NOT NULL GROUP BY source
+), s AS (
+  SELECT count(*) AS k, sum(n) AS n, sum(f) / sum(n) AS mean, sum(f * f / n) - sum(n) * (sum(f) / sum(n)) ** 2 AS scatter FROM h
+), p AS (
+  SELECT mean, CASE WHEN k < 2 OR mean * (1 - mean) = 0 THEN 1.0
+    WHEN (scatter - (k - 1) * mean * (1 - mean)) / n <= mean * (1 - mean) / 1e6 THEN 1e6
+    ELSE greatest(1.0, mean * (1 - mean) / ((scatter - (k - 1) * mean * (1 - mean)) / n) - 1) END AS size FROM s
+), bad AS (SELECT source FROM h, p WHERE (f + mean * size) / (n + size) > 0.8)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(m.source IN (SELECT source FROM bad), false) AS kept
+FROM m
+"""

@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import duckdb
 from data import documents, prose, rows
 
 from fathomry.llm import quality
@@ -45,3 +46,11 @@ def test_awkward_rows(spark, sf):
     m = quality.measure(docs)
     assert m.where("base_failed").count() == sum(1 for r in rows() if brute(r[1] or "")[0] < 50 or 2 * brute(r[1] or "")[4] > brute(r[1] or "")[0])
     assert quality.stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_query_equals_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    found = con.execute(quality.ORACLE)
+    names = [d[0] for d in found.description]
+    assert sorted(tuple(r[c] for c in names) for r in quality.op7_quality_rules(spark, sf).collect()) == sorted(found.fetchall())
