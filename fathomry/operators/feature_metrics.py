@@ -172,7 +172,7 @@ def masked_smooth_l1(pairs: DataFrame, beta: float = 1.0) -> DataFrame:
     return pairs.agg((F.sum(each * F.col("mask")) / (F.sum("mask") + 1e-8)).alias("loss"))
 
 
-#: name -> (metric, parameters): how many rows of each side, and the metric's own (X2, X3). None: all rows.
+#: Name -> metric and parameters, how many rows of each side, and the metric's own (X2, X3). None: all rows.
 PRESETS: dict[str, dict] = {
     "fid50k_full": {"metric": "fid", "real": None, "gen": 50_000},
     "fid50k": {"metric": "fid", "real": 50_000, "gen": 50_000},

@@ -91,7 +91,7 @@ def p17(spark, sf):
 def s11(spark, sf):
     from ..sources.readers import run_registry
 
-    lines = X.runs(spark, sf).select(F.to_json(F.struct(F.col("id").cast("string").alias("id"), "name", "tags", "state", F.create_map(F.lit("dataset"), F.col("dataset"), F.lit("_wandb"), F.lit("x")).alias("config"), F.create_map(F.lit("top1"), F.col("knn_top1")).alias("summary"))).alias("value"))
+    lines = X.runs(spark, sf).select(F.to_json(F.struct(F.col("id").cast("string").alias("id"), "name", "tags", "state", F.create_map(F.lit("dataset"), F.col("dataset"), F.lit("_private"), F.lit("x")).alias("config"), F.create_map(F.lit("top1"), F.col("knn_top1")).alias("summary"))).alias("value"))
     return run_registry(lines).select(F.col("id").cast("long").alias("id"), F.explode("config"))
 
 

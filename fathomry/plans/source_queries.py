@@ -95,10 +95,9 @@ def s09(spark, sf):
     return spark.read.parquet(root).select("label", "content").mapInArrow(unpack, "id long, label int, v double").select("id", "label", F.round("v", 5).alias("first"))
 
 
-@query("s10_synthetic")
+@query("s10_synthetic", "SELECT id, 64 AS dim FROM features", "features")
 def s10(spark, sf):
-    n = X.features(spark, sf).count()
-    return R.synthetic_representations(spark, n, 8)
+    return R.with_normal_vectors(X.features(spark, sf), "id", 64).select("id", F.size("x").alias("dim"))
 
 
 @query("k01_packed", "SELECT idx, path, class FROM manifest", "manifest")

@@ -97,14 +97,19 @@ def representations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row long, x array<float>")
 
 
-def synthetic_representations(spark: SparkSession, n: int, dim: int, seed: int = 0) -> DataFrame:
-    """id, x: standard normal vectors, each drawn from its own seed, so that partitions do not matter."""
+def with_normal_vectors(items: DataFrame, key: str, dim: int, seed: int = 0) -> DataFrame:
+    """key, x: a standard normal vector for each row, drawn from a seed and its key, so that partitions do not matter."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "x": [np.random.default_rng([seed, int(i)]).standard_normal(dim).astype(np.float32) for i in frame["id"]]})
+            yield pd.DataFrame({key: frame[key], "x": [np.random.default_rng([seed, int(i)]).standard_normal(dim).astype(np.float32) for i in frame[key]]})
+
+    return items.select(key).mapInPandas(run, f"{key} long, x array<float>")
 
-    return spark.range(n).mapInPandas(run, "id long, x array<float>")
+
+def synthetic_representations(spark: SparkSession, n: int, dim: int, seed: int = 0) -> DataFrame:
+    """id, x: n such vectors."""
+    return with_normal_vectors(spark.range(n), "id", dim, seed)
 
 
 def run_registry(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -155,3 +155,12 @@ def test_registry():
 def test_flatten(spark):
     df = spark.sql("select 1 a, named_struct('bb', 2) b, named_struct('cc', named_struct('ccc', 3), 'cc1', 33) c")
     assert runs.flattened(df).columns == ["a", "b_bb", "c_cc_ccc", "c_cc1"]
+
+
+def test_synthetic_vectors(spark):
+    from fathomry.sources.readers import synthetic_representations
+
+    x = np.array([r.x for r in synthetic_representations(spark, 400, 16).collect()])
+    again = {r.id: r.x for r in synthetic_representations(spark.newSession(), 400, 16).repartition(7).collect()}
+    assert x.shape == (400, 16) and abs(x.mean()) < 0.05 and abs(x.std() - 1) < 0.05
+    assert all(np.array_equal(again[i], x[i]) for i in (0, 399))
