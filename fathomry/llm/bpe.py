@@ -55,21 +55,25 @@ class Merges:
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """ids of all words, end to end, and where each word's begin (one more entry for the end)."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        found: list[np.ndarray | None] = [None] * len(words)
         order = np.argsort(sizes, kind="stable")
         short = order[(sizes[order] > 0) & (sizes[order] <= LONG)]
+        n = np.zeros(len(words), np.int64)
+        made: list[tuple[np.ndarray, np.ndarray]] = []
         for k in range(0, len(short), 20_000):
             rows = short[k : k + 20_000]
-            ids, n = self._together([words[i] for i in rows], sizes[rows])
-            for i, row, m in zip(rows.tolist(), ids, n.tolist()):
-                found[i] = row[:m]
+            ids, n[rows] = self._together([words[i] for i in rows.tolist()], sizes[rows])
+            made.append((rows, ids))
         for i in order[sizes[order] > LONG].tolist():
-            found[i] = self._alone(words[i])
-        none = np.zeros(0, np.int32)
-        parts = [none if x is None else x for x in found]
-        starts = np.zeros(len(words) + 1, np.int64)
-        np.cumsum([len(x) for x in parts], out=starts[1:])
-        return (np.concatenate(parts) if parts else none).astype(np.int32), starts
+            ids = self._alone(words[i])
+            n[i] = len(ids)
+            made.append((np.array([i]), ids[None]))
+        starts = np.concatenate([[0], np.cumsum(n)])
+        flat = np.zeros(int(starts[-1]), np.int32)
+        for rows, ids in made:
+            places = np.arange(ids.shape[1])
+            used = places < n[rows][:, None]
+            flat[(starts[rows][:, None] + places)[used]] = ids[used]
+        return flat, starts
 
     def _together(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, width = len(words), int(sizes.max())

@@ -38,7 +38,7 @@ _WHITE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+"
 _WORDS = regex.compile(PATTERN)
 _WORDS_OR_BREAK = regex.compile(r"\n|" + PATTERN)
-REMEMBERED = 120_000
+REMEMBERED = 200_000
 
 
 def normal(text: str) -> str:
@@ -65,6 +65,7 @@ class Encoder:
         self.special = {k.encode(): v for k, v in self.merges.special.items()}
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def ids(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, little-endian."""
@@ -83,25 +84,33 @@ class Encoder:
         return out
 
     def learn(self, chunks: set[bytes]) -> None:
-        new = list(chunks - self.known.keys())
+        """Makes chunks known. When too many are, those not asked for since the last time are forgotten."""
+        new = chunks - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(chunks)
-        rows = [(c, False) for c in new if b"<|" not in c]
-        plain = len(rows)
+            self.before, self.known, new = self.known, {}, chunks
+        again = new & self.before.keys()
+        self.known.update(zip(again, map(self.before.__getitem__, again)))
+        new = new - again
         odd = [c for c in new if b"<|" in c]
         split = [split_special(c, self.special) for c in odd]
-        rows += [x for parts in split for x in parts]
-        found = list(words_of([b"" if is_special else c for c, is_special in rows]))
-        distinct = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(found)))}
-        ids = self.ids([w.encode() for w in distinct])
-        of = {w: ids[i] for w, i in distinct.items()}
-        made = [self.special[c].to_bytes(4, "little") if is_special else b"".join([of[w] for w in ws]) for (c, is_special), ws in zip(rows, found)]
-        self.known.update((c, x) for (c, _), x in zip(rows[:plain], made))
-        k = plain
+        self._learn([*new.difference(odd), *{x for parts in split for x, is_special in parts if not is_special}])
         for c, parts in zip(odd, split):
-            self.known[c] = b"".join(made[k : k + len(parts)])
-            k += len(parts)
+            self.known[c] = b"".join(self.special[x].to_bytes(4, "little") if is_special else self.known[x] for x, is_special in parts)
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """For chunks without special strings: one search, one merge and one cut for all of them."""
+        if not chunks:
+            return
+        flat = _WORDS_OR_BREAK.findall(normal(b"\n".join(chunks).decode()))
+        distinct = dict.fromkeys(flat)
+        distinct.pop("\n", None)
+        of = dict(zip(distinct, self.ids([w.encode() for w in distinct])))
+        of["\n"] = b""
+        parts = list(map(of.__getitem__, flat))
+        data, ends = b"".join(parts), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        breaks = np.flatnonzero(np.fromiter(map("\n".__eq__, flat), bool, len(flat)))
+        cuts = [0, *ends[breaks].tolist(), len(data)]
+        self.known.update(zip(chunks, map(data.__getitem__, map(slice, cuts, cuts[1:]))))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         rows = [x.split() for x in texts]
