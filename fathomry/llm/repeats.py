@@ -14,12 +14,15 @@ Hashes that decide equality have 128 and 80 bits.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
 from .anchors import Symbols, of_bytes, of_words, runs
@@ -31,8 +34,31 @@ ALPHABETS: dict[str, Callable[..., Symbols]] = {"bytes": of_bytes, "words": of_w
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of jobs that are over; else they stay until the driver's memory fills."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
+def packed(docs: DataFrame, text: str) -> DataFrame:
+    """docs with __text, the compressed text, in place of text: what a join by id has to move."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "__text"])
+    names = [c for c in docs.columns if c != text]
+    schema = T.StructType([*docs.select(*[F.col(f"`{c}`") for c in names]).schema.fields, T.StructField("__text", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            column = batch.column(text)
+            made = [(small.compress(x) if x else b"") if ok else None for x, ok in zip(raw(column), column.is_valid().to_pylist())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(made, pa.binary())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def unpacked(column: pa.Array) -> list[bytes | None]:
+    large = zstandard.ZstdDecompressor()
+    return [large.decompress(x) if x else x for x in column.to_pylist()]
 
 
 def _tag(text: bytes) -> int:
@@ -155,7 +181,8 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, alphabet: str, *, le
 
     def name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, asked = batch.column(0).to_numpy(), raw(batch.column(1)), batch.column(2).to_pylist()
+            ids, asked = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            texts = [x or b"" for x in unpacked(batch.column(1))]
             for a, b in pieces([len(x) for x in texts], 500_000):
                 s = symbols_of(texts[a:b], coded=False)
                 hashes, docs_, spans = [], [], []
@@ -176,23 +203,27 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, alphabet: str, *, le
     settled = _settled(keyed.mapInArrow(name_runs, _ROWS), same_doc, True, "runs")
     release(spark)
     asked = settled.where("open").groupBy("doc").agg(F.collect_list("span").alias("asked"))
-    windows = keyed.join(asked, "doc").select("doc", "text", "asked").mapInArrow(name_windows, _ROWS)
+    windows = packed(keyed, "text").join(asked, "doc").select("doc", "__text", "asked").mapInArrow(name_windows, _ROWS)
     found = _settled(windows, same_doc, False, "windows")
     release(spark)
     return settled.where("not open").union(found)
 
 
 def cut(docs: DataFrame, doc_id: str, text: str, alphabet: str, spans: DataFrame, *, length: int, joint: bytes, as_text: bool = False) -> DataFrame:
-    """docs with n_symbols, n_removed, n_spans (maximal runs removed) and kept (the rest, as bytes; as_text: as a string, without what is left of a character that was cut)."""
+    """docs, less the text, with n_symbols, n_removed, n_spans (maximal runs removed) and kept (the rest as bytes, null for a null text; as_text: as a string, without what is left of a character that was cut)."""
     names = ("n_symbols", "n_removed", "n_spans", "kept", "__doc", "__doc2", "spans")
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
+    small = packed(docs, text)
     per_doc = spans.groupBy(F.col("doc").alias("__doc2")).agg(F.collect_list("span").alias("spans"))
-    joined = docs.withColumn("__doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))).join(per_doc, F.col("__doc") == F.col("__doc2"), "left").drop("__doc", "__doc2")
-    n_cols = len(docs.columns)
-    schema = docs.selectExpr("*", "0L as n_symbols", "0L as n_removed", "0L as n_spans", "'' as kept" if as_text else "cast('' as binary) as kept").schema
+    joined = small.withColumn("__doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))).join(per_doc, F.col("__doc") == F.col("__doc2"), "left").drop("__doc", "__doc2")
+    n_cols = len(small.columns) - 1
+    fields = [T.StructField(c, T.LongType()) for c in ("n_symbols", "n_removed", "n_spans")]
+    schema = T.StructType([*small.drop("__text").schema.fields, *fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     symbols_of = ALPHABETS[alphabet]
 
-    def rest(data: bytes, codes: list[int] | None) -> tuple[int, int, int, bytes]:
+    def rest(data: bytes | None, codes: list[int] | None) -> tuple[int, int, int, bytes | None]:
+        if data is None:
+            return 0, 0, 0, None
         s = symbols_of([data], coded=False)
         n = len(s.begin)
         gone = np.zeros(n + 1, np.int32)
@@ -201,17 +232,17 @@ def cut(docs: DataFrame, doc_id: str, text: str, alphabet: str, spans: DataFrame
         np.add.at(gone, mine >> 32, 1)
         np.add.at(gone, (mine >> 32) + (mine >> 16 & 0xFFFF) + length - 1, -1)
         gone = np.cumsum(gone)[:n] > 0
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
         # kept runs lie between an edge down and an edge up
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
         parts = [bytes(s.data[s.begin[a] : s.end[b - 1]]) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
         n_spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         return n, int(gone.sum()), n_spans, joint.join(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [rest(t, c) for t, c in zip(raw(batch.column(text)), batch.column("spans").to_pylist())]
+            found = [rest(t, c) for t, c in zip(unpacked(batch.column(n_cols)), batch.column("spans").to_pylist())]
             more = [pa.array([f[i] for f in found], pa.int64()) for i in range(3)]
-            more.append(pa.array([f[3].decode(errors="ignore") for f in found], pa.string()) if as_text else pa.array([f[3] for f in found], pa.binary()))
+            more.append(pa.array([None if f[3] is None else f[3].decode(errors="ignore") for f in found], pa.string()) if as_text else pa.array([f[3] for f in found], pa.binary()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_cols], *more], names=schema.names)
 
     return joined.mapInArrow(run, schema)

@@ -31,11 +31,11 @@ def maximal_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, length: int = 13) -> DataFrame:
-    """docs with n_symbols (words), n_removed, n_spans and kept (words joined by one space, as bytes)."""
+    """docs, less the text, with n_symbols (words), n_removed, n_spans and kept (words joined by one space, as bytes)."""
     spans = repeated_spans(docs, doc_id, text, "words", length=length, k=max(1, min(PREFIX, length)), same_doc=False)
     return cut(docs, doc_id, text, "words", spans, length=length, joint=b" ")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))

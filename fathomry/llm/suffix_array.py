@@ -23,19 +23,19 @@ ANCHOR = 48
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, length: int = 100, as_text: bool = False) -> DataFrame:
-    """docs with n_symbols (bytes), n_removed, n_spans and kept (bytes; as_text: a string)."""
+    """docs, less the text, with n_symbols (bytes), n_removed, n_spans and kept (bytes; as_text: a string)."""
     spans = repeated_spans(docs, doc_id, text, "bytes", length=length, k=max(1, min(ANCHOR, length * 12 // 25)), same_doc=True)
     return cut(docs, doc_id, text, "bytes", spans, length=length, joint=b"", as_text=as_text)
 
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts less the bytes removed, with n_chars to match; a document of which nothing is left goes."""
     out = dedup(docs, as_text=True).where((F.col("n_removed") == 0) | (F.length("kept") > 0))
     cut_off = F.col("n_removed") > 0
-    new = {"text": F.when(cut_off, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(cut_off, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
+    new = {"text": F.col("kept"), "n_chars": F.when(cut_off, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
     return out.withColumns(new).select(*docs.columns)

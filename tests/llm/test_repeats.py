@@ -38,7 +38,7 @@ def summary(s, gone):
 
 
 def got(df):
-    return sorted((str(r.doc_id), r.n_symbols, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in df.collect())
+    return sorted((str(r.doc_id), r.n_symbols, r.n_removed, r.n_spans, hashlib.sha256(r.kept or b"").hexdigest()) for r in df.collect())
 
 
 def want(docs, symbols, length, same_doc):
