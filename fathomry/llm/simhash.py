@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from .common import append, raw, table, without, written
 from .components import components
+from .similar import similar
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BITS = 64
@@ -265,7 +266,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each component (five-word shingles)."""
-    marked = written(fingerprint(docs.select("doc_id", "text"), size=5).drop("text"), "simhash")
-    dropped = near_duplicates(marked).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    """Keeps the document of the least id of each group with a similarity of 0.8 or more (five-word shingles). 64 bits are too few for that (one such pair of sf0.001 differs in 17), so `similar` finds the pairs by their sets."""
+    named = similar(docs.select("doc_id", "text"))
+    dropped = named.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
