@@ -91,6 +91,26 @@ def test_shuffle_leaves_no_order(spark):
     assert sorted(ids) == list(range(2000)) and sum(abs(a - b) == 1 for a, b in zip(ids, ids[1:])) < 20
 
 
+def test_shards_hold_the_texts(spark, sf, monkeypatch, tmp_path):
+    monkeypatch.setattr(sharding, "shared_dir", lambda _: str(tmp_path))
+    sharding.op2_sharding(spark, sf)
+    (path,) = tmp_path.glob("shards-*")
+    want = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert sorted(spark.read.parquet(str(path)).select("doc_id", "text").collect()) == sorted(want)
+
+
+def test_a_hot_key_is_dealt_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "REPEATS", 50)
+    rows_ = spark.range(3000).selectExpr("if(id < 2000, null, id) as k", "if(id < 1000, -1, id) as v", "100L as size")  # 1,000 of them equal
+    dealt, n = sharding.scatter(rows_, "k", "size", 4, 11, 10_000)
+    buckets = [r["count"] for r in dealt.groupBy("bucket").count().collect()]
+    assert sum(buckets) == 3000 and max(buckets) < 200 and n >= 30
+    out = sharding.external_shuffle(rows_, "k", "size", shards=4, bucket_bytes=10_000).collect()
+    assert sorted(r.v for r in out) == sorted([-1] * 1000 + list(range(1000, 3000)))
+    for shard in range(4):
+        assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
+
+
 def test_mixture_equals_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
