@@ -15,7 +15,7 @@ from .manifest import random_subsets
 from .masks import masked_psnr
 from .moments import frechet_distance
 from .ranks import hash_rank, order_rank, shuffled
-from .tiles import _matrix, covered, nearest, radius
+from .tiles import BLOCK, _matrix, _paired, covered, nearest, radius, scores
 
 
 def kernel_distance(features: DataFrame, *, subsets: int, m: int) -> DataFrame:
@@ -141,12 +141,18 @@ def cross_entropy(logits: str, target: str, smoothing: float = 0.0) -> Column:
     return nll if not smoothing else (1 - smoothing) * nll + smoothing * (V.log_sum_exp(logits) - V.mean(logits))
 
 
-def info_nce(queries: DataFrame, bank: DataFrame, temperature: float) -> DataFrame:
-    """id, loss: cross-entropy of the positive against it and a bank of negatives (A29, J12). queries: id, q, positive; bank: id, x, of a bounded size that is checked before it is sent to all tasks."""
-    if (n := bank.count()) > 65_536:
-        raise ValueError(f"a bank of {n} rows is not a bank; use tiles.nearest")
-    pairs = queries.join(F.broadcast(bank.select(F.col("x").alias("neg"))), F.lit(True))
-    sims = pairs.groupBy("id").agg(F.first(V.cosine("q", "positive") / temperature).alias("l"), F.sum(F.exp(V.cosine("q", "neg") / temperature)).alias("s"))
+def info_nce(queries: DataFrame, bank: DataFrame, temperature: float, *, block: int = BLOCK) -> DataFrame:
+    """id, loss: cross-entropy of the positive against it and a bank of negatives of any size (A29, J12). Each pair of blocks sends on one sum for each of its queries. queries: id, q, positive; bank: id, x."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sums = np.zeros(left.num_rows)
+        if left.num_rows and right.num_rows:
+            sums = np.exp(scores(_matrix(left.column("q")), _matrix(right.column("x")), "cos") / temperature).sum(axis=1)
+        return pa.table({"id": left.column("id"), "l": left.column("l"), "s": sums})
+
+    marked = queries.select("id", "q", (V.cosine("q", "positive") / temperature).alias("l"))
+    kind = queries.schema["id"].dataType.simpleString()
+    sims = _paired(marked, bank.select("id", "x"), [], "id", "id", block).applyInArrow(run, f"id {kind}, l double, s double").groupBy("id").agg(F.first("l").alias("l"), F.sum("s").alias("s"))
     return sims.select("id", (F.log(F.exp("l") + F.col("s")) - F.col("l")).alias("loss"))
 
 

@@ -164,3 +164,19 @@ def test_synthetic_vectors(spark):
     again = {r.id: r.x for r in synthetic_representations(spark.newSession(), 400, 16).repartition(7).collect()}
     assert x.shape == (400, 16) and abs(x.mean()) < 0.05 and abs(x.std() - 1) < 0.05
     assert all(np.array_equal(again[i], x[i]) for i in (0, 399))
+
+
+def test_info_nce_of_many_blocks(spark):
+    import numpy as np
+
+    from fathomry.operators import feature_metrics
+
+    r = np.random.default_rng(4)
+    q, pos, neg = r.normal(size=(30, 4)), r.normal(size=(30, 4)), r.normal(size=(70_000, 4))
+    queries = spark.createDataFrame([(i, q[i].tolist(), pos[i].tolist()) for i in range(30)], "id long, q array<double>, positive array<double>")
+    bank = spark.createDataFrame([(i, x) for i, x in enumerate(neg.tolist())], "id long, x array<double>")
+    u, p, n = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (q, pos, neg))
+    at = (u * p).sum(axis=1) / 0.2
+    want = np.log(np.exp(at) + np.exp(u @ n.T / 0.2).sum(axis=1)) - at
+    got = {x.id: x.loss for x in feature_metrics.info_nce(queries, bank, 0.2, block=20_000).collect()}
+    assert np.allclose([got[i] for i in range(30)], want)
