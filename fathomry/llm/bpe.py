@@ -44,6 +44,10 @@ class Merges:
         self.names: list[bytes] = [b""] * (1 + max([self.width - 1, *self.special.values()]))
         for name, i in [*vocab.items(), *self.special.items()]:
             self.names[i] = name.encode()
+        value = {c: bytes([b]) for b, c in enumerate(letters)}
+        self.bytes_of = {i: b"".join(map(value.__getitem__, name.removesuffix(suffix) if suffix else name)) for name, i in vocab.items() if i not in self.special.values() and all(c in value for c in name.removesuffix(suffix))}
+        self.whole = {b: i for i, b in self.bytes_of.items()} if not suffix else {}
+        self.longest = max(map(len, self.whole), default=0)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair's rule, or _NONE. Negative ids mark padding."""

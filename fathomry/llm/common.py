@@ -86,3 +86,8 @@ def pieces(sizes: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def sizes_of(texts: pa.Array) -> list[int]:
+    """Bytes of each text; null counts as empty."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_pylist()

@@ -1,28 +1,27 @@
 """BPE encoding and decoding with a transducer lexicon of frequent words.
 
-`frequent_words` counts every word of the corpus; the words whose share of all words is at least `min_share` (so at most
-1 / min_share of them, whatever the corpus) are compiled with their ids into a minimal acyclic transducer. Tasks map that
-file into memory and walk it for many words at once; words it lacks are merged exactly. Both ways give the tokenizer's ids.
+Words are runs of anything but ASCII white space. `frequent_words` counts them over the whole corpus; those with a share of at
+least `min_share` are compiled with their ids into a minimal acyclic transducer (2 / min_share words at most, whatever the
+corpus). Tasks map that file into memory and walk it for many words at once; words it lacks are normalised, parted and merged
+exactly. Both ways give the tokenizer's ids. A task keeps the ids of words it has met, in a table of bounded size.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; strings of special tokens inside a text become
-those tokens, as the tokenizer has it by default; an empty table gives an empty table; input columns named like an output
-are replaced.
+those tokens, as the tokenizer has it by default; equal texts have equal ids; texts may be of any length (they are cut at
+nothing, and words of any length are merged in n log n); an empty table gives an empty table; input columns named like an
+output are replaced.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-import unicodedata
 import uuid
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast, SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -30,97 +29,114 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Merges, split_special
-from .common import append, pieces, raw, table, without, written
+from .classes import WHITE, finder, lowered
+from .common import append, pieces, sizes_of, table, without, written
 from .lexicon import Lexicon, compile_words
 
-_WHITE = r"\t-\r \x85\xa0  -     　"
-#: The word-end vocabulary's pattern for words, white space written out.
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+"
-_WORDS = regex.compile(PATTERN)
-_WORDS_OR_BREAK = regex.compile(r"\n|" + PATTERN)
-REMEMBERED = 200_000
+#: The word-end vocabulary's pattern for the parts of a word.
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
+_PARTS_OR_BREAK = finder(r"\n|" + PATTERN)
+#: Words, and bytes of words, that a task remembers beside the lexicon.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 16_000_000
 
 
-def normal(text: str) -> str:
-    """NFC, then lower case letter by letter (no rule for a sigma at a word's end)."""
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-
-
-def words_of(chunks: list[bytes]) -> Iterator[list[str]]:
-    """The words of chunks without ASCII white space, by one search over all of them."""
-    found = _WORDS_OR_BREAK.findall(normal(b"\n".join(chunks).decode()))
-    start = 0
-    for _ in chunks:
-        try:
-            end = found.index("\n", start)
-        except ValueError:
-            end = len(found)
-        yield found[start:end]
-        start = end + 1
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Rows' boundaries among all words, each word's number among the distinct ones, and those."""
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = parts.flatten().dictionary_encode()
+    rows = parts.offsets.to_numpy()
+    return rows - rows[0], coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_pylist()
 
 
 class Encoder:
+    """Ids of words: row r of the table is ids[starts[r] : starts[r] + sizes[r]]."""
+
     def __init__(self, description: bytes, lexicon: str | None):
         self.merges = Merges(description)
         self.special = {k.encode(): v for k, v in self.merges.special.items()}
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
-
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, little-endian."""
+        self.names = pa.array([n.decode() for n in self.merges.names], pa.string())
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {b"": 0}
+        self.n_bytes = 0
+        self.ids, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        """The table's row of each of some distinct words; those it lacks are learnt."""
+        get = self.known.get
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED or self.n_bytes > REMEMBERED_BYTES:
+            self.forget()
+            get, new = self.known.get, [w for w in words if w]
+        if new:
+            found = self.ids_of(new)
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            first, n = len(self.sizes), len(self.ids)
+            self.known.update(zip(new, range(first, first + len(new))))
+            self.n_bytes += sum(map(len, new))
+            self.starts = np.concatenate([self.starts, n + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+        return np.fromiter(map(get, words), np.int64, len(words))
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, little-endian: from the lexicon, or merged."""
+        out: list[bytes] = [b""] * len(words)
         numbers = self.lexicon.find(words) if self.lexicon else np.full(len(words), -1)
-        unseen = np.flatnonzero(numbers < 0).tolist()
-        flat, starts = self.merges.merge([words[i] for i in unseen])
-        data, at = flat.astype("<u4").tobytes(), (4 * starts).tolist()
-        out = [b""] * len(words)
-        for k, i in enumerate(unseen):
-            out[i] = data[at[k] : at[k + 1]]
-        if len(unseen) < len(words):
-            data, at = self.lexicon.ids.astype("<u4").tobytes(), (4 * self.lexicon.begins.astype(np.int64)).tolist()
-            for i, n in enumerate(numbers.tolist()):
-                if n >= 0:
-                    out[i] = data[at[n] : at[n + 1]]
+        listed = np.flatnonzero(numbers >= 0)
+        if len(listed):
+            flat, ends = self.lexicon.ids, self.lexicon.begins
+            for i, a, b in zip(listed.tolist(), ends[numbers[listed]].tolist(), ends[numbers[listed] + 1].tolist()):
+                out[i] = flat[a:b].astype("<u4").tobytes()
+        rest = np.flatnonzero(numbers < 0).tolist()
+        for i, made in zip(rest, self.merged([words[i] for i in rest])):
+            out[i] = made
         return out
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Makes chunks known. When too many are, those not asked for since the last time are forgotten."""
-        new = chunks - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.before, self.known, new = self.known, {}, chunks
-        again = new & self.before.keys()
-        self.known.update(zip(again, map(self.before.__getitem__, again)))
-        new = new - again
-        odd = [c for c in new if b"<|" in c]
-        split = [split_special(c, self.special) for c in odd]
-        self._learn([*new.difference(odd), *{x for parts in split for x, is_special in parts if not is_special}])
-        for c, parts in zip(odd, split):
-            self.known[c] = b"".join(self.special[x].to_bytes(4, "little") if is_special else self.known[x] for x, is_special in parts)
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        """For chunks without special strings: one search, one merge and one cut for all of them."""
-        if not chunks:
-            return
-        flat = _WORDS_OR_BREAK.findall(normal(b"\n".join(chunks).decode()))
-        distinct = dict.fromkeys(flat)
-        distinct.pop("\n", None)
-        of = dict(zip(distinct, self.ids([w.encode() for w in distinct])))
-        of["\n"] = b""
+    def merged(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words without the lexicon."""
+        split = {w: split_special(w, self.special) for w in words if b"<|" in w}
+        plain = list(dict.fromkeys([*(w for w in words if w not in split), *(x for parts in split.values() for x, is_special in parts if not is_special)]))
+        of = dict(zip(plain, self._merged(plain)))
+        for w, parts in split.items():
+            of[w] = b"".join(self.special[x].to_bytes(4, "little") if is_special else of[x] for x, is_special in parts)
+        return [of[w] for w in words]
+
+    def _merged(self, words: list[bytes]) -> list[bytes]:
+        """For words without special strings: one search and one merge for all of them."""
+        if not words:
+            return []
+        flat = _PARTS_OR_BREAK(lowered(b"\n".join(words).decode()))
+        distinct = list(dict.fromkeys(flat))
+        ids, starts = self.merges.merge([b"" if p == "\n" else p.encode() for p in distinct])
+        data, at = ids.astype("<u4").tobytes(), (4 * starts).tolist()
+        of = dict(zip(distinct, map(data.__getitem__, map(slice, at, at[1:]))))
         parts = list(map(of.__getitem__, flat))
         data, ends = b"".join(parts), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
         breaks = np.flatnonzero(np.fromiter(map("\n".__eq__, flat), bool, len(flat)))
         cuts = [0, *ends[breaks].tolist(), len(data)]
-        self.known.update(zip(chunks, map(data.__getitem__, map(slice, cuts, cuts[1:]))))
+        return list(map(data.__getitem__, map(slice, cuts, cuts[1:])))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Boundaries of each text's ids, and all ids."""
+        rows, at, distinct = split_words(texts)
+        row = self.rows(distinct)[at]
+        sizes = self.sizes[row]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.ids[np.repeat(self.starts[row] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ends[rows], flat
+
+    def decode(self, ends: np.ndarray, flat: np.ndarray) -> pa.Array:
+        """This vocabulary has no decoder, so a text is its tokens with spaces between."""
+        tokens = self.names.take(pa.array(flat))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), tokens), " ")
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        rows = [x.split() for x in texts]
-        self.learn(set().union(*rows))
-        get = self.known.__getitem__
-        return [b"".join(map(get, r)) for r in rows]
 
-    def decode(self, ids: bytes) -> bytes:
-        """This vocabulary has no decoder, so a text is its tokens with spaces between."""
-        return b" ".join(map(self.merges.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+def packed_ids(ends: np.ndarray, flat: np.ndarray) -> pa.Array:
+    """Each text's ids as binary."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat, "<u4"))])
 
 
 _ENCODERS: dict = {}
@@ -136,52 +152,35 @@ def _encoder(name: str, shared: Broadcast, lexicon: str | None) -> Encoder:
     return _ENCODERS[key]
 
 
-def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """word, n for every word of the corpus, in normal form. Tasks sum before anything is shuffled, in a table of bounded size."""
+def count_words(docs: DataFrame, text: str = "text", *, least: float = 0.0) -> DataFrame:
+    """word, n; the row of a null word has the number of all words. What has a share under `least` in a piece of text is left out there, so a count lacks at most that share of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            special = ("<|startoftext|>", "<|endoftext|>")
-            total: Counter[str] = Counter()
-            for ws, n in zip(words_of([_less(c, special) for c in seen]), seen.values()):
-                for w in ws:
-                    total[w] += n
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
-
         for batch in batches:
-            texts = raw(batch.column(0))
-            for a, b in pieces([len(x) for x in texts], 500_000):
-                for x in texts[a:b]:
-                    seen.update(x.split())
-                if len(seen) > REMEMBERED:
-                    yield flush()
-        yield flush()
-
-    return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            texts = batch.column(0)
+            for a, b in pieces(sizes_of(texts), 8_000_000):
+                coded = pc.ascii_split_whitespace(pc.fill_null(texts.slice(a, b - a), "")).flatten().dictionary_encode()
+                n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+                often = np.flatnonzero(n >= max(1, least * len(coded)))
+                words = pa.concat_arrays([coded.dictionary.take(pa.array(often)), pa.nulls(1, pa.string())])
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.append(n[often], len(coded)), pa.int64())], names=["word", "n"])
 
-
-def _less(chunk: bytes, special: tuple[str, ...]) -> bytes:
-    if b"<|" in chunk:
-        for s in special:
-            chunk = chunk.replace(s.encode(), b"")
-    return chunk
+    return docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, text: str = "text", *, min_share: float = 1 / 65536) -> list[bytes]:
-    """The words with at least that share of all words, sorted: never more than 1 / min_share."""
-    counts = written(count_words(docs, text), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    """All words with at least that share of all words, sorted, and some with at least half of it: 2 / min_share at most."""
+    counts = written(count_words(docs, text, least=min_share / 2), "words")
+    total = counts.where("word is null").agg(F.sum("n")).first()[0] or 0
     # the share bounds what comes to the driver
-    return sorted(r["word"].encode() for r in counts.where(F.col("n") >= total * min_share).select("word").collect())
+    return sorted(r["word"].encode() for r in counts.where((F.col("n") >= total * min_share / 2) & (F.col("word") != "")).select("word").collect())
 
 
 def ship_lexicon(spark: SparkSession, description: bytes, words: list[bytes]) -> str:
     """Compiles the lexicon and hands the file to every executor, those that join later included; returns the file's name."""
-    flat, starts = Merges(description).merge(words)
-    compiled = compile_words(words, [flat[a:b] for a, b in zip(starts, starts[1:])])
+    words = [w for w in words if b"<|" not in w]
+    made = Encoder(description, None).merged(words)
+    compiled = compile_words(words, [np.frombuffer(x, "<u4").astype(np.int32) for x in made])
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
     compiled.tofile(path)
@@ -200,8 +199,8 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", *, min_share: f
         encoder = _encoder(name, shared, lexicon)
 
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
-            made = encoder.encode(raw(batch.column(text)))
-            return [pa.array(made, pa.binary()), *([pa.array(list(map(encoder.decode, made)), pa.binary()).view(pa.string())] if back else [])]
+            ends, flat = encoder.encode(batch.column(text).cast(pa.string()))
+            return [packed_ids(ends, flat), *([encoder.decode(ends, flat)] if back else [])]
 
         return run
 
@@ -217,7 +216,13 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
 
     def make():
         encoder = _encoder(name, shared, None)
-        return lambda batch: [pa.array([encoder.decode(x or b"").decode() for x in batch.column(ids).to_pylist()], pa.string())]
+
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            rows = [x or b"" for x in batch.column(ids).to_pylist()]
+            ends = np.cumsum([0, *(len(x) // 4 for x in rows)])
+            return [encoder.decode(ends, np.frombuffer(b"".join(rows), "<u4"))]
+
+        return run
 
     return append(df, [T.StructField("decoded", T.StringType())], make)
 
