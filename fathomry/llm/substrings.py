@@ -1,13 +1,14 @@
 """Substring dedup: words of every window of `length` words that also starts in an earlier document are removed.
 
-Suffixes at anchors are split by prefixes: the prefix of k words (one hash) splits them into groups that a task reads as a
-stream, and a group that is not settled by that is split again by longer prefixes, first by all words around the anchor, then
-window by window. A node of the suffix trees that is `length` words deep and has leaves in several documents is a repeat;
-`maximal_repeats` joins the windows of such nodes that follow one another. Nodes of one leaf are dropped where they arise.
-
-Defined results: a null text, or one without words, has none; texts of fewer words than `length` stay whole; documents with
-equal ids are not earlier than each other; null ids come before all others; an empty table gives an empty table; input
-columns named like an output are replaced.
+Suffixes at anchors are parted by their first words. A prefix of `PREFIX` words makes a group; groups of copies are settled as
+they are sorted, a group of up to `GROUP` other suffixes is sorted in memory, which gives the nodes of its subtree, and a
+larger one is parted by a longer prefix, of all words of a window. A node `length` words deep with suffixes of several documents
+is a repeat; `maximal_repeats` joins the windows of such nodes that follow one another. See repeats.py and subtrees.py; README.md
+says why suffixes at anchors stand for all.
+
+Defined results: a null text, or one without words, has none; texts of fewer words than `length` stay whole; texts may be of
+any length; equal rows are one document, and different texts with one id are not earlier than each other; null ids come before
+all others; an empty table gives an empty table; input columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ PREFIX = 5
 def maximal_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, length: int = 13) -> DataFrame:
     """doc, first (word), words: maximal runs of words that windows found in earlier documents cover. A null id is the least long."""
     spans = repeated_spans(docs, doc_id, text, "words", length=length, k=max(1, min(PREFIX, length)), same_doc=False)
-    at = spans.select("doc", F.col("span").bitwiseAND(0xFFFF).alias("tag"), F.shiftright("span", 32).alias("a"), (F.shiftright("span", 32) + F.shiftright("span", 16).bitwiseAND(0xFFFF) + length - 1).alias("b"))
+    first, many = F.shiftright("span", 32), F.shiftright("span", 16).bitwiseAND(0xFFFF)
+    at = spans.select("doc", "tag", first.alias("a"), (first + many + length - 1).alias("b"))
     before = F.expr("max(b) over (partition by doc, tag order by a, b rows between unbounded preceding and 1 preceding)")
     runs = at.withColumn("new", F.coalesce(F.col("a") > before, F.lit(True)).cast("int")).withColumn("run", F.expr("sum(new) over (partition by doc, tag order by a, b)"))
     return runs.groupBy("doc", "tag", "run").agg(F.min("a").alias("first"), (F.max("b") - F.min("a")).alias("words")).drop("tag", "run")

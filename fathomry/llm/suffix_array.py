@@ -1,14 +1,15 @@
 """Suffix-array dedup: bytes of every string of `length` that also starts earlier are removed.
 
-The sample of suffixes is that at anchors, the local minima of a hash, which stand for the local minima of rank that induced
-sorting samples. Tuples of them (name of the substring at the anchor, name of the span around it, place) go through Spark's
-external sort, which spills; what stands first among equals induces the verdict on all suffixes between anchors, and what
-the names of spans leave open recurs at the next level, where every suffix is a sample. A common prefix (and, before the
-anchor, suffix) is carried as the number of windows a run holds. See repeats.py; README.md says why the full array is not kept.
-
-Defined results: a null or empty text has no bytes; texts shorter than `length` stay whole; of equal rows with equal ids, neither
-is earlier than the other; null ids come before all others; an empty table gives an empty table; input columns named like an
-output are replaced.
+A sparse suffix array. Suffixes are sampled at anchors; tuples of them (name of the substring at the anchor, name of all bytes
+around it, document, place) go through Spark's external sort, which spills and is read as a stream, as disk-backed queues
+are. Copies are settled by their names. What names leave open is sorted by its bytes, group by group, with the common prefixes
+of neighbours; the order of the suffixes at anchors and of the bytes before them, step by step to the left, gives the classes
+of all suffixes between anchors, as in induced sorting. Groups too large for memory recur with the whole string as name. See
+repeats.py and subtrees.py; README.md says why the full array is not kept.
+
+Defined results: a null or empty text has no bytes; texts shorter than `length` stay whole; texts may be of any length; equal
+rows are one document, and different texts with one id are not earlier than each other; null ids come before all others; an
+empty table gives an empty table; input columns named like an output are replaced.
 """
 
 from __future__ import annotations

@@ -5,24 +5,25 @@ import numpy as np
 import pytest
 from data import documents, prose, rows
 
-from fathomry.llm import repeats, substrings, suffix_array
+from fathomry.llm import repeats, substrings, subtrees, suffix_array
 from fathomry.llm.anchors import of_bytes, of_words, runs
 
 
 def brute(docs, symbols, length, same_doc):
-    """Removed symbols of each document, as a list of flags, by a table of all windows."""
-    first = {}
-    split = [(d if d is not None else -(2**63), symbols((t or "").encode())) for d, t in docs]
-    for d, s in split:
+    """Removed symbols of each document, as a list of flags, by a table of all windows. Different texts under one id are different documents, neither earlier."""
+    first, own = {}, {}
+    split = [(d if d is not None else -(2**63), t, symbols((t or "").encode())) for d, t in docs]
+    for d, t, s in split:
         for i in range(len(s) - length + 1):
             w = s[i : i + length] if isinstance(s, bytes) else tuple(s[i : i + length])
-            first[w] = min(first.get(w, (d, i)), (d, i))
+            first[w] = min(first.get(w, d), d)
+            own.setdefault((d, t, w), i)
     out = []
-    for d, s in split:
+    for d, t, s in split:
         gone = [False] * len(s)
         for i in range(len(s) - length + 1):
             w = s[i : i + length] if isinstance(s, bytes) else tuple(s[i : i + length])
-            if first[w] < ((d, i) if same_doc else (d, -1)):
+            if first[w] < d or (same_doc and own[d, t, w] < i):
                 gone[i : i + length] = [True] * length
         out.append((s, gone))
     return out
@@ -57,10 +58,17 @@ def cases():
     same = [(3, "one two three four five six seven eight nine ten " * 3), (3, "one two three four five six seven eight nine ten"), (3, "one two three four five six seven eight nine ten")]
     yield same
     yield [r_[:2] for r_ in rows() if len(r_[1] or "") < 5000]
+    texts = prose(250, 8)
+    yield [(None if i % 3 else i, t) for i, t in enumerate(texts)] + [(None, texts[7]), (None, texts[7])]
+    yield [(7, t) for t in texts] + [(5, texts[3]), (7, texts[11])]
+    yield [(1, "A " + texts[20]), (2, "A " + texts[20]), (2, "B " + texts[20])]
+    shared = " ".join(texts[30].split()[:30])
+    yield [(i, f"{texts[i % 90][:40]} {i}{chr(97 + i % 26)} {shared} {chr(97 + i % 7)}{i} {texts[i % 70][-40:]}") for i in range(220)]
 
 
-@pytest.mark.parametrize("case", range(5))
-def test_equals_brute_force(spark, case):
+@pytest.mark.parametrize("case,group", [(c, 1024) for c in range(9)] + [(0, 6), (6, 6), (8, 6)])
+def test_equals_brute_force(spark, case, group, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP", group)
     docs = list(cases())[case]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert got(suffix_array.dedup(df, length=20)) == want(docs, bytes, 20, True)
@@ -88,15 +96,29 @@ def test_runs_reach_every_window(symbols_of):
 @pytest.mark.parametrize("same_doc", [False, True])
 def test_stream_does_not_depend_on_batches(same_doc):
     r = random.Random(9)
-    data = sorted((r.randrange(6), r.randrange(3), r.randrange(4), r.randrange(5)) for _ in range(200))
-    k1, k2, doc, place = (np.array(c, np.int64) for c in zip(*data))
-    whole = repeats.Stream(same_doc, True).take([k1, k2], doc, place << 32)
+    data = sorted((r.randrange(6), r.randrange(3), r.randrange(4), r.randrange(2), r.randrange(5) << 32) for _ in range(200))
+    cols = [np.array(c, np.int64) for c in zip(*data)]
+    whole = repeats.Stream(same_doc, True).take(cols)
     for size in (1, 3, 50):
         stream = repeats.Stream(same_doc, True)
-        parts = [stream.take([k1[i : i + size], k2[i : i + size]], doc[i : i + size], place[i : i + size] << 32) for i in range(0, 200, size)]
+        parts = [stream.take([c[i : i + size] for c in cols]) for i in range(0, 200, size)]
         assert sorted(zip(*(np.concatenate(x).tolist() for x in zip(*parts)))) == sorted(zip(*(x.tolist() for x in whole)))
 
 
+@pytest.mark.parametrize("width,head", [(5, False), (5, True), (0, True)])
+def test_order_and_common_prefixes(width, head):
+    r = np.random.default_rng(3)
+    rows_, of = r.integers(0, 3, (80, width)).astype(np.uint16), r.integers(0, 4, 80) if head else None
+    order, common = subtrees.ordered(rows_, of)
+    keys = [((int(of[i]),) if head else ()) + tuple(rows_[i].tolist()) for i in order]
+    assert keys == sorted(keys)
+    for i in range(1, 80):
+        a, b = rows_[order[i - 1]], rows_[order[i]]
+        same = next((j for j in range(width) if a[j] != b[j]), width)
+        assert common[i] == (-1 if head and of[order[i - 1]] != of[order[i]] else same)
+    assert common[0] == -1
+
+
 def test_maximal_repeats(spark):
     docs = [(1, "a b c d e f g h"), (2, "x a b c d e y a b c"), (3, "q")]
     out = substrings.maximal_repeats(spark.createDataFrame(docs, "doc_id long, text string"), length=3)
