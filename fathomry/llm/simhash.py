@@ -29,7 +29,6 @@ from pyspark.sql import types as T
 
 from .common import append, raw, table, without, written
 from .components import components
-from .similar import similar
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BITS = 64
@@ -47,19 +46,22 @@ def shingles(text: bytes, size: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(size)))))
 
 
+def hashes(text: bytes, size: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
+    parts = shingles(text, size)
+    return np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in parts), np.uint64, len(parts))
+
+
+def bits_of(h: np.ndarray) -> int:
+    """The fingerprint: a bit is set where over half of the hashes have it."""
+    votes = np.zeros(BITS, np.int64)
+    for k in range(0, len(h), 65_536):
+        votes += np.unpackbits(h[k : k + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(h), bitorder="little").view("<u8")[0]) if len(h) else 0
+
+
 def fingerprints(texts: list[bytes], size: int) -> np.ndarray:
-    """64-bit fingerprints: a bit is set where over half of the shingles' hashes have it."""
-    out = np.zeros(len(texts), np.uint64)
-    digest = xxhash.xxh64_intdigest
-    for i, text in enumerate(texts):
-        parts = shingles(text, size)
-        n, votes = len(parts), np.zeros(BITS, np.int64)
-        for k in range(0, n, 65_536):
-            h = np.array([digest(x, 42) for x in parts[k : k + 65_536]], "<u8")
-            votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        if n:
-            out[i] = np.packbits(2 * votes > n, bitorder="little").view("<u8")[0]
-    return out
+    return np.array([bits_of(hashes(x, size)) for x in texts], np.uint64)
 
 
 def fingerprint(docs: DataFrame, text: str = "text", *, size: int = 3) -> DataFrame:
@@ -266,7 +268,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each group with a similarity of 0.8 or more (five-word shingles). 64 bits are too few for that (one such pair of sf0.001 differs in 17), so `similar` finds the pairs by their sets."""
-    named = similar(docs.select("doc_id", "text"))
-    dropped = named.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one document of each group with a similarity of 0.8 or more (five-word shingles), that of the least id (then of the least hash of its text; null ids last): SimHash candidates, and those that 64 bits miss (see similar.py)."""
+    from .similar import similar
+
+    each = similar(docs).groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("rows"))
+    one = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "rows")).alias("m"))
+    one = written(one.select(F.col("m.doc_id").alias("__id"), F.col("m.th").alias("__th"), F.col("m.rows").alias("__rows")), "kept")
+    mine = [F.col(f"`{c}`") for c in docs.columns]
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__th"))
+    once = docs.join(one.where("__rows = 1"), same).select(*mine)
+    # equal rows, of which one stays
+    often = docs.join(one.where("__rows > 1"), same).dropDuplicates(["__id", "__th"]).select(*mine)
+    return once.union(often)

@@ -1,12 +1,16 @@
-"""Groups of documents whose sets of word shingles have a Jaccard similarity of 0.8 or more, without loss.
+"""Groups of documents whose sets of word shingles have a Jaccard similarity of 0.8 or more: SimHash, then an exact rest.
 
-Two such sets share a shingle among the first n - ceil(4n / 5) + 1 of each, in any one order of all shingles (prefix filter).
-Shingles that a sample of documents has often come last, so a passage found in many documents makes few candidates. Candidates
-are verified by their whole sets. A bucket's rows are compared with near neighbours first and then with those farther away;
-what earlier rounds have put into one group is not compared again, so a large group of near copies costs few pairs.
+Fingerprints (see simhash.py) that link, and equal ones, give the first candidates; those that hold join the documents into
+groups. 64 bits are too few for a similarity of 0.8 (two such documents differ in about 10 bits), so a second search loses
+none of the others: two sets that similar share a shingle among the first n - ceil(4n / 5) + 1 of each, in any one order of all
+shingles (prefix filter). Shingles that a sample of documents has often come last, so a passage found in many documents makes
+few candidates. All candidates are verified by their whole sets. A bucket's rows are compared with near neighbours first and
+then with all others; what is in one group already is not compared again, so a large group of near copies costs few pairs.
 
 Equal sets are one vertex from the start. A bucket of more than `BLOCK` rows is dealt over several tasks, two blocks to each.
-Shingles are compared by 64-bit hashes. Defined results: texts without words have equal (empty) sets.
+Shingles are compared by 64-bit hashes. Defined results: a null text counts as empty, and texts without words have equal
+(empty) sets; equal rows are in one group, and of a group the least id stands for it; texts may be of any length; columns
+other than the id and the text are not carried; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,22 +24,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, pieces, raw, without, written
+from .common import append, pieces, raw, written
 from .components import components
+from .simhash import bits_of, hashes, links, plan
 
 BLOCK = 16_384
 #: Documents that are asked for common shingles, how many of them make one common, and how many shingles are kept.
 SAMPLE, OFTEN, COMMON = 20_000, 5, 65_536
 #: Distances of rows in a bucket at which each round compares, the last without end.
-ROUNDS = ((1, 2), (2, 16), (16, None))
+ROUNDS = ((1, 3), (3, None))
+#: A bucket up to which rows are compared step by step for many buckets at once.
+SMALL = 128
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
     """Sorted hashes of the distinct shingles."""
-    from .simhash import shingles
-
-    parts = shingles(text, size)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in parts), np.uint64, len(parts)))
+    return np.unique(hashes(text, size))
 
 
 def vertex(hashes: np.ndarray) -> int:
@@ -92,23 +96,47 @@ def postings(docs: DataFrame, size: int) -> DataFrame:
     return _sets(docs, size, emit, "k long, v long, n int")
 
 
+def _near(run: np.ndarray, n: np.ndarray, v: np.ndarray, root: np.ndarray, begin: int, end: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one run, begin to end places apart, that have different roots and can be alike by their sizes (ascending in a run)."""
+    at, step = np.arange(len(v)), begin
+    while len(at) and (end is None or step < end):
+        at = at[at + step < len(v)]
+        other = at + step
+        fits = (run[at] == run[other]) & (5 * n[at] >= 4 * n[other])
+        at, other = at[fits], other[fits]
+        new = root[at] != root[other]
+        yield v[at[new]], v[other[new]]
+        step += 1
+
+
+def _across(n: np.ndarray, v: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for all rows of one large run: those outside its largest group meet all others."""
+    of, counts = np.unique(root, return_inverse=True, return_counts=True)[1:]
+    outside = of != counts.argmax()
+    for i in np.flatnonzero(outside).tolist():
+        other = (of != of[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i]))
+        other[:i] &= ~outside[:i]
+        yield np.full(int(other.sum()), v[i]), v[other]
+
+
+def _pairs(run: np.ndarray, n: np.ndarray, v: np.ndarray, root: np.ndarray, begin: int, end: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    if not len(v):
+        return
+    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+    sizes = np.diff(np.append(starts, len(v)))
+    large = mixed & (sizes > SMALL) & (end is None)
+    small = np.repeat(mixed & ~large, sizes)
+    yield from _near(run[small], n[small], v[small], root[small], begin, end)
+    for k in np.flatnonzero(large).tolist():
+        rows = slice(starts[k], starts[k] + sizes[k])
+        yield from _across(n[rows], v[rows], root[rows])
+
+
 def _candidates(rows: DataFrame, begin: int, end: int | None) -> DataFrame:
     """(a, b), a > b: rows of one bucket and of different roots, begin to end places apart by size, that can be alike by their sizes. rows: k, tile, v, n, root."""
     order = ["k", "tile", "n", "v"]
 
-    def pairs(run: np.ndarray, n: np.ndarray, v: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at, step = np.arange(len(v)), begin
-        while len(at) and (end is None or step < end):
-            at = at[at + step < len(v)]
-            other = at + step
-            fits = (run[at] == run[other]) & (5 * n[at] >= 4 * n[other])
-            at, other = at[fits], other[fits]
-            new = root[at] != root[other]
-            a, b = v[at[new]], v[other[new]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
-            step += 1
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
@@ -118,7 +146,14 @@ def _candidates(rows: DataFrame, begin: int, end: int | None) -> DataFrame:
             new[1:] = (k[1:] != k[:-1]) | (tile[1:] != tile[:-1])
             stop = len(k) if final else int(np.flatnonzero(new)[-1])
             held[:] = [[c[stop:] for c in cols]]
-            yield from pairs(np.cumsum(new[:stop]), n[:stop].astype(np.int64), v[:stop], root[:stop])
+            made: list[tuple[np.ndarray, np.ndarray]] = []
+            for a, b in _pairs(np.cumsum(new[:stop]), n[:stop].astype(np.int64), v[:stop], root[:stop], begin, end):
+                made.append((a, b))
+                if sum(len(x) for x, _ in made) > 100_000:
+                    yield batch_of(made)
+                    made = []
+            if made:
+                yield batch_of(made)
 
         for batch in batches:
             held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
@@ -127,47 +162,78 @@ def _candidates(rows: DataFrame, begin: int, end: int | None) -> DataFrame:
         if held:
             yield from cut(True)
 
+    def batch_of(made: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate([m[i] for m in made]) for i in (0, 1))
+        both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
     return rows.select(*order, "root").repartition("k", "tile").sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def of(v: int, text: bytes) -> np.ndarray:
+            if v not in known:
+                if len(known) > 500:
+                    known.clear()
+                known[v] = shingle_set(text, size)
+            return known[v]
+
         for batch in batches:
-            left, right = raw(batch.column(2)), raw(batch.column(3))
-            yield batch.filter(pa.array([alike(shingle_set(x, size), shingle_set(y, size)) for x, y in zip(left, right)], pa.bool_())).select(["a", "b"])
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), raw(batch.column(3)))
+            yield batch.filter(pa.array([alike(of(a, x), of(b, y)) for a, b, x, y in rows], pa.bool_())).select(["a", "b"])
 
     sides = [texts.select(F.col("v").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, size: int) -> DataFrame:
-    """v, root: each set that is alike others and is not the least of its group, with that least one. docs: text; a written table, as it is read several times."""
-    rows = postings(docs, size)
+def by_fingerprints(sets: DataFrame, most: int) -> DataFrame:
+    """(a, b), a > b: sets (v, fp) with one fingerprint, tied to the least of them, and the least ones of fingerprints that link."""
+    least = written(sets.groupBy("fp").agg(F.min("v").alias("m")), "fingerprints")
+    bare = least.select("fp")
+    found = links(bare, plan(bare, most), most)
+    ends = [least.select(F.col("fp").alias(c), F.col("m").alias(f"m_{c}")) for c in "ab"]
+    across = found.join(ends[0], "a").join(ends[1], "b").select(F.col("m_a").alias("x"), F.col("m_b").alias("y"))
+    inside = sets.join(least, "fp").where("v <> m").select(F.col("v").alias("x"), F.col("m").alias("y"))
+    return inside.union(across).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+
+def groups(docs: DataFrame, sets: DataFrame, size: int, most: int) -> DataFrame:
+    """v, root: each set that is alike others and is not the least of its group, with that least one. docs: text, a written table, as it is read several times; sets: their distinct (v, fp)."""
+    rows = written(postings(docs, size), "prefixes")
     often = written(rows.groupBy("k").agg(F.count(F.lit(1)).alias("count")).where("count > 1").select("k", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "buckets")
     # each two blocks of a large bucket meet in one tile
     mine = F.pmod(F.xxhash64("v", F.lit(7)), F.col("blocks")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, mine) * F.col("blocks") + F.greatest(o, mine))
     shared = written(rows.join(often, "k").select("k", "v", "n", F.explode(tiles).alias("tile")), "postings")
-    wanted = shared.select("v").distinct()
+    first = written(by_fingerprints(sets, most), "candidates")
+    wanted = shared.select("v").union(first.select("a")).union(first.select("b")).distinct()
     texts = _sets(docs, size, lambda v, h, text: [np.array([v], np.int64), text], "v long, text binary")
     texts = written(texts.join(wanted, "v", "left_semi").groupBy("v").agg(F.first("text").alias("text")), "texts")
-    found, roots = None, None
+    found = written(_verified(first, texts, size), "links")
     for begin, end in ROUNDS:
-        now = shared.withColumn("root", F.col("v")) if roots is None else shared.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-        links = written(_verified(written(_candidates(now, begin, end), "candidates"), texts, size), "links")
-        found = links if found is None else found.union(links)
         roots = components(found).select(F.col("a").alias("v"), F.col("b").alias("root"))
-    return roots
+        now = shared.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+        found = found.union(written(_verified(written(_candidates(now, begin, end), "candidates"), texts, size), "links"))
+    return components(found).select(F.col("a").alias("v"), F.col("b").alias("root"))
 
 
-def similar(docs: DataFrame, doc_id: str = "doc_id", *, size: int = 5) -> DataFrame:
-    """doc_id, component_id: the least id that a chain of documents with a similarity of 0.8 or more reaches. docs should be a written table."""
+def similar(docs: DataFrame, doc_id: str = "doc_id", *, size: int = 5, most: int = 3) -> DataFrame:
+    """doc_id, th (hash of the text), root (the group) and component_id: the least id that a chain of documents with a similarity of 0.8 or more reaches. docs should be a written table; most: bits by which fingerprints link."""
 
     def make():
-        return lambda batch: [pa.array([vertex(shingle_set(x, size)) for x in raw(batch.column("text"))], pa.int64())]
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            made = [hashes(x, size) for x in raw(batch.column("text"))]
+            return [pa.array([vertex(np.unique(h)) for h in made], pa.int64()), pa.array(np.array([bits_of(h) for h in made], np.uint64).view(np.int64), pa.int64())]
+
+        return run
 
-    marked = written(append(docs.select(doc_id, "text"), [T.StructField("v", T.LongType())], make, "text").drop("text"), "sets")
-    labels = marked.groupBy("v").agg(F.min(doc_id).alias("id")).join(groups(docs, size), "v", "left").withColumn("root", F.coalesce("root", "v"))
-    labels = written(labels, "labels")
+    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    marked = written(append(docs, [T.StructField("v", T.LongType()), T.StructField("fp", T.LongType())], make, "text").drop("text"), "sets")
+    sets = written(marked.groupBy("v").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), "vertices")
+    labels = sets.join(groups(docs, sets.select("v", "fp"), size, most), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    labels = written(labels.select("v", "id", "root"), "labels")
     least = labels.groupBy("root").agg(F.min("id").alias("component_id"))
-    return without(marked, "component_id").join(labels.join(least, "root").select("v", "component_id"), "v").drop("v")
+    return marked.join(labels.join(least, "root").select("v", "root", "component_id"), "v").select(F.col("doc_id").alias(doc_id), "th", "root", "component_id")

@@ -5,16 +5,14 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from data import documents, rows, save
-from test_quality import brute as counts
+from test_quality import judged
 from test_repeats import brute as repeated
-from test_simhash import brute_components, brute_fp
+from test_similar import brute as alike
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
 
-from fathomry.llm import quality  # noqa: E402
-
 
 def topic(t):
     return "table" if " | " in t else "web" if "://" in t else "contact" if "@" in t else "prose"
@@ -43,17 +41,10 @@ def rake(docs):
 
 
 def brute(docs):
-    for d in docs:
-        n, _, _, _, again = counts(d["text"])
-        d["failed"] = n < 50 or 2 * again > n
-    per_host = defaultdict(list)
-    for d in docs:
-        per_host[d["source"]].append(d["failed"])
-    n, f = sum(map(len, per_host.values())), sum(map(sum, per_host.values()))
-    mean, size = quality.prior(len(per_host), n, f, sum(sum(x) ** 2 / len(x) for x in per_host.values()))
-    docs = [d for d in docs if not d["failed"] and (sum(per_host[d["source"]]) + mean * size) / (len(per_host[d["source"]]) + size) <= 0.8]
-    ids = [d["doc_id"] for d in docs]
-    docs = [d for d, c in zip(docs, brute_components(ids, [brute_fp(d["text"], 5) for d in docs])) if d["doc_id"] == c]
+    kept = judged(docs)
+    docs = [d for d in docs if kept[d["doc_id"]]]
+    least = alike([(d["doc_id"], d["text"]) for d in docs])
+    docs = [d for d in docs if least[d["doc_id"]] == d["doc_id"]]
     for d, (s, gone) in zip(docs, repeated([(d["doc_id"], d["text"]) for d in docs], bytes, 100, True)):
         if any(gone):
             d["text"] = bytes(b for b, g in zip(s, gone) if not g).decode(errors="ignore")

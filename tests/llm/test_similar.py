@@ -1,7 +1,8 @@
 import random
 
+import numpy as np
 import pytest
-from data import prose
+from data import LONG, TEXTS, documents, prose, rows
 
 from fathomry.llm import similar, simhash
 
@@ -62,3 +63,32 @@ def test_stage_drops_all_near_copies(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     named = brute([(r.doc_id, r.text or "") for r in docs.collect()])
     assert {r.doc_id for r in simhash.stage(spark, docs, sf).collect()} == {d for d, c in named.items() if d == c}
+
+
+def test_stage_on_awkward_rows(spark, sf):
+    docs = documents(spark)
+    out = simhash.stage(spark, docs, sf)
+    assert out.columns == docs.columns and simhash.stage(spark, docs.limit(0), sf).count() == 0
+    texts = [r.text for r in out.collect()]
+    # one of the empty sets, of the equal texts and of the repeated rows; the row without an id stays
+    assert len(texts) == len(set(texts)) and texts.count(LONG) == 1 and texts.count(TEXTS[6]) == 1 and texts.count(TEXTS[5]) == 1
+    assert sum(not (t or "").split() for t in texts) == 1 and rows()[-1][1] in texts
+
+
+def test_groups_of_rows_with_one_id_or_none(spark, sf):
+    base = " ".join(f"w{i}" for i in range(40))
+    data = [(None, base), (None, base), (None, base + " x"), (None, "other words here"), (4, "lone text of its own"), (4, base.replace("w20", "q")), (4, "lone text of its own")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text) for r in simhash.stage(spark, docs, sf).collect())
+    assert got == sorted([("4", "lone text of its own"), ("None", "other words here"), ("None", base), ("4", base.replace("w20", "q"))]) or got == sorted([("4", "lone text of its own"), ("None", "other words here"), ("None", base + " x"), ("4", base.replace("w20", "q"))])
+
+
+@pytest.mark.parametrize("small", [128, 2])
+def test_pairs_of_a_bucket(monkeypatch, small):
+    monkeypatch.setattr(similar, "SMALL", small)
+    r = np.random.default_rng(1)
+    run = np.sort(r.integers(0, 5, 60))
+    n, v, root = r.integers(10, 16, 60), np.arange(60), r.integers(0, 3, 60)
+    n = n[np.lexsort([n, run])]
+    got = {tuple(sorted(p)) for a, b in similar._pairs(run, n, v, root, 1, None) for p in zip(a.tolist(), b.tolist())}
+    assert got == {(i, j) for j in range(60) for i in range(j) if run[i] == run[j] and root[i] != root[j] and 5 * n[i] >= 4 * n[j]}
