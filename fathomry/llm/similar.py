@@ -4,8 +4,10 @@ Fingerprints (see simhash.py) that link, and equal ones, give the first candidat
 groups. 64 bits are too few for a similarity of 0.8 (two such documents differ in about 10 bits), so a second search loses
 none of the others: two sets that similar share a shingle among the first n - ceil(4n / 5) + 1 of each, in any one order of all
 shingles (prefix filter). Shingles that a sample of documents has often come last, so a passage found in many documents makes
-few candidates. All candidates are verified by their whole sets. A bucket's rows are compared with near neighbours first and
-then with all others; what is in one group already is not compared again, so a large group of near copies costs few pairs.
+few candidates. A bucket's rows are compared by their sizes and by a bitmap of each set (the bits in which two differ are at
+most as many as the shingles in which they do, so no similar pair is lost); what passes is verified by the whole sets. Each row
+first sends the likeliest of some others of its bucket, and then all that are not in its group by now, so a large group of near
+copies costs few pairs.
 
 Equal sets are one vertex from the start. A bucket of more than `BLOCK` rows is dealt over several tasks, two blocks to each.
 Shingles are compared by 64-bit hashes. Defined results: a null text counts as empty, and texts without words have equal
@@ -16,6 +18,7 @@ other than the id and the text are not carried; an empty table gives an empty ta
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,8 @@ from .simhash import bits_of, hashes, links, plan
 BLOCK = 16_384
 #: Documents that are asked for common shingles, how many of them make one common, and how many shingles are kept.
 SAMPLE, OFTEN, COMMON = 20_000, 5, 65_536
-#: Distances of rows in a bucket at which each round compares, the last without end.
-ROUNDS = ((1, 3), (3, None))
+#: Bits of a set's bitmap, and rows of a bucket among which each row first looks for the likeliest.
+MAP, AMONG = 512, 64
 #: A bucket up to which rows are compared step by step for many buckets at once.
 SMALL = 128
 
@@ -52,7 +55,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sets(docs: DataFrame, size: int, emit, schema: str) -> DataFrame:
-    """emit(v, hashes, text) -> list of columns, for each set once in a task."""
+    """emit(v, hashes) -> list of columns, for each set once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -65,9 +68,9 @@ def _sets(docs: DataFrame, size: int, emit, schema: str) -> DataFrame:
                     v = vertex(h)
                     if len(h) and v not in seen:
                         seen.add(v)
-                        rows.append(emit(v, h, text))
+                        rows.append(emit(v, h))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) if isinstance(c[0], np.ndarray) else pa.array(c, pa.binary()) for c in zip(*rows)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=names)
 
     names = [c.split()[0] for c in schema.split(", ")]
     return docs.select("text").mapInArrow(run, schema)
@@ -77,7 +80,7 @@ def common(docs: DataFrame, size: int) -> np.ndarray:
     """Shingles of many documents of a sample, sorted; at most COMMON."""
     n = docs.count()
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLE))) == 0)
-    found = _sets(some, size, lambda v, h, text: [h.view(np.int64)], "k long").groupBy("k").count().where(F.col("count") >= OFTEN)
+    found = _sets(some, size, lambda v, h: [h.view(np.int64)], "k long").groupBy("k").count().where(F.col("count") >= OFTEN)
     return np.sort(np.array([r["k"] for r in found.orderBy(F.desc("count"), "k").limit(COMMON).collect()], np.int64).view(np.uint64))
 
 
@@ -85,7 +88,7 @@ def postings(docs: DataFrame, size: int) -> DataFrame:
     """k, v, n: each set (v, of n shingles) under the shingles of its prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(common(docs, size))
 
-    def emit(v: int, h: np.ndarray, text: bytes) -> list[np.ndarray]:
+    def emit(v: int, h: np.ndarray) -> list[np.ndarray]:
         n = len(h)
         often = shared.value
         late = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h if len(often) else np.zeros(n, bool)
@@ -96,59 +99,99 @@ def postings(docs: DataFrame, size: int) -> DataFrame:
     return _sets(docs, size, emit, "k long, v long, n int")
 
 
-def _near(run: np.ndarray, n: np.ndarray, v: np.ndarray, root: np.ndarray, begin: int, end: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one run, begin to end places apart, that have different roots and can be alike by their sizes (ascending in a run)."""
-    at, step = np.arange(len(v)), begin
-    while len(at) and (end is None or step < end):
-        at = at[at + step < len(v)]
-        other = at + step
-        fits = (run[at] == run[other]) & (5 * n[at] >= 4 * n[other])
-        at, other = at[fits], other[fits]
-        new = root[at] != root[other]
-        yield v[at[new]], v[other[new]]
-        step += 1
-
-
-def _across(n: np.ndarray, v: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The same for all rows of one large run: those outside its largest group meet all others."""
-    of, counts = np.unique(root, return_inverse=True, return_counts=True)[1:]
-    outside = of != counts.argmax()
-    for i in np.flatnonzero(outside).tolist():
-        other = (of != of[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i]))
-        other[:i] &= ~outside[:i]
-        yield np.full(int(other.sum()), v[i]), v[other]
-
-
-def _pairs(run: np.ndarray, n: np.ndarray, v: np.ndarray, root: np.ndarray, begin: int, end: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    if not len(v):
-        return
-    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-    mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-    sizes = np.diff(np.append(starts, len(v)))
-    large = mixed & (sizes > SMALL) & (end is None)
-    small = np.repeat(mixed & ~large, sizes)
-    yield from _near(run[small], n[small], v[small], root[small], begin, end)
-    for k in np.flatnonzero(large).tolist():
-        rows = slice(starts[k], starts[k] + sizes[k])
-        yield from _across(n[rows], v[rows], root[rows])
-
-
-def _candidates(rows: DataFrame, begin: int, end: int | None) -> DataFrame:
-    """(a, b), a > b: rows of one bucket and of different roots, begin to end places apart by size, that can be alike by their sizes. rows: k, tile, v, n, root."""
-    order = ["k", "tile", "n", "v"]
+def bitmap(h: np.ndarray) -> bytes:
+    """For each bit, whether an odd number of the distinct hashes fall on it."""
+    return np.packbits((np.bincount((h % np.uint64(MAP)).astype(np.int64), minlength=MAP) & 1).astype(bool)).tobytes()
+
+
+@dataclass
+class Rows:
+    """Rows of buckets: run (number of the bucket, ascending), vertex, size of the set, root, and bitmap as 64-bit words."""
+
+    run: np.ndarray
+    v: np.ndarray
+    n: np.ndarray
+    root: np.ndarray
+    words: np.ndarray
+
+    def of(self, rows) -> Rows:
+        return Rows(self.run[rows], self.v[rows], self.n[rows], self.root[rows], self.words[rows])
+
+    def slack(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """By how many bits each pair's bitmaps may differ more before it cannot be alike (9 * differing shingles <= both sizes); under 0 for a pair that is not, or has one root."""
+        sizes = self.n[a] + self.n[b]
+        can = (self.root[a] != self.root[b]) & (5 * np.minimum(self.n[a], self.n[b]) >= 4 * np.maximum(self.n[a], self.n[b]))
+        out = np.full(len(a), -1, np.int64)
+        a, b = a[can], b[can]
+        out[can] = sizes[can] // 9 - np.bitwise_count(self.words[a] ^ self.words[b]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _likeliest(rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+    """Each row with the likeliest of the AMONG after it."""
+    m = len(rows.v)
+    best, partner = np.full(m, -1, np.int64), np.zeros(m, np.int64)
+    for step in range(1, AMONG + 1):
+        at = np.flatnonzero(rows.run[step:] == rows.run[:-step]) if step < m else np.zeros(0, np.int64)
+        if not len(at):
+            break
+        for one, other in ((at, at + step), (at + step, at)):
+            slack = rows.slack(one, other)
+            better = slack > best[one]
+            best[one[better]], partner[one[better]] = slack[better], other[better]
+    found = np.flatnonzero(best >= 0)
+    return rows.v[found], rows.v[partner[found]]
+
+
+def _all(rows: Rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a run that can be alike: step by step in small runs; in a large one those outside its largest group meet all others."""
+    starts = np.flatnonzero(np.append(True, rows.run[1:] != rows.run[:-1]))
+    sizes = np.diff(np.append(starts, len(rows.v)))
+    mixed = np.minimum.reduceat(rows.root, starts) != np.maximum.reduceat(rows.root, starts)
+    small = rows.of(np.repeat(mixed & (sizes <= SMALL), sizes))
+    for step in range(1, SMALL):
+        at = np.flatnonzero(small.run[step:] == small.run[:-step]) if step < len(small.v) else np.zeros(0, np.int64)
+        if not len(at):
+            break
+        at = at[small.slack(at, at + step) >= 0]
+        yield small.v[at], small.v[at + step]
+    for k in np.flatnonzero(mixed & (sizes > SMALL)).tolist():
+        large = rows.of(slice(starts[k], starts[k] + sizes[k]))
+        of, counts = np.unique(large.root, return_inverse=True, return_counts=True)[1:]
+        outside = of != counts.argmax()
+        every = np.arange(len(of))
+        for i in np.flatnonzero(outside).tolist():
+            other = every[~outside | (every > i)]
+            other = other[large.slack(np.full(len(other), i), other) >= 0]
+            yield np.full(len(other), large.v[i]), large.v[other]
+
+
+def _candidates(rows: DataFrame, every: bool) -> DataFrame:
+    """(a, b), a > b: rows of one bucket and of different roots that can be alike; every: all of them, else the likeliest of each. rows: k, tile, v, n, root, bits."""
+    rows = rows.select("k", "tile", F.xxhash64("k", "v").alias("at"), "v", "n", "root", "bits")
+
+    def batch_of(made: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate([m[i] for m in made]) for i in (0, 1))
+        both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[pa.RecordBatch] = []
 
         def cut(final: bool) -> Iterator[pa.RecordBatch]:
-            k, tile, n, v, root = cols = [np.concatenate([h[i] for h in held]) for i in range(5)]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (tile[1:] != tile[:-1])
+            table = pa.Table.from_batches(held)
+            k, tile = table["k"].to_numpy(), table["tile"].to_numpy()
+            new = np.append(True, (k[1:] != k[:-1]) | (tile[1:] != tile[:-1]))
             stop = len(k) if final else int(np.flatnonzero(new)[-1])
-            held[:] = [[c[stop:] for c in cols]]
+            held[:] = table.slice(stop).to_batches()
+            if not stop:
+                return
+            table = table.slice(0, stop)
+            words = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(-1, MAP // 64)
+            here = Rows(np.cumsum(new[:stop]), table["v"].to_numpy(), table["n"].to_numpy().astype(np.int64), table["root"].to_numpy(), words)
             made: list[tuple[np.ndarray, np.ndarray]] = []
-            for a, b in _pairs(np.cumsum(new[:stop]), n[:stop].astype(np.int64), v[:stop], root[:stop], begin, end):
-                made.append((a, b))
+            for pair in _all(here) if every else [_likeliest(here)]:
+                made.append(pair)
                 if sum(len(x) for x, _ in made) > 100_000:
                     yield batch_of(made)
                     made = []
@@ -156,18 +199,13 @@ def _candidates(rows: DataFrame, begin: int, end: int | None) -> DataFrame:
                 yield batch_of(made)
 
         for batch in batches:
-            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
-            if sum(len(h[0]) for h in held) > 50_000:
+            held.append(batch)
+            if sum(b.num_rows for b in held) > 50_000:
                 yield from cut(False)
         if held:
             yield from cut(True)
 
-    def batch_of(made: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        a, b = (np.concatenate([m[i] for m in made]) for i in (0, 1))
-        both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-
-    return rows.select(*order, "root").repartition("k", "tile").sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("k", "tile").sortWithinPartitions("k", "tile", "at").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -200,24 +238,32 @@ def by_fingerprints(sets: DataFrame, most: int) -> DataFrame:
     return inside.union(across).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
 
+def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """v, text of the sets in pairs, each from one document. Only wanted ids meet the texts."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(sets.select("v", "first"), "v")
+    wanted = written(wanted.select("v", F.col("first.doc_id").alias("__id"), F.col("first.th").alias("__th")), "wanted")
+    found = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("__id")) & (docs["th"] == F.col("__th"))).select("v", F.col("text").cast("binary").alias("text"))
+    return written(found.dropDuplicates(["v"]), "texts")
+
+
 def groups(docs: DataFrame, sets: DataFrame, size: int, most: int) -> DataFrame:
-    """v, root: each set that is alike others and is not the least of its group, with that least one. docs: text, a written table, as it is read several times; sets: their distinct (v, fp)."""
+    """v, root: each set that is alike others and is not the least of its group, with that least one. docs: doc_id, th, text, a written table, as it is read several times; sets: their distinct (v, fp, bits, first), first being the doc_id and th of one of them."""
     rows = written(postings(docs, size), "prefixes")
     often = written(rows.groupBy("k").agg(F.count(F.lit(1)).alias("count")).where("count > 1").select("k", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "buckets")
     # each two blocks of a large bucket meet in one tile
     mine = F.pmod(F.xxhash64("v", F.lit(7)), F.col("blocks")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, mine) * F.col("blocks") + F.greatest(o, mine))
-    shared = written(rows.join(often, "k").select("k", "v", "n", F.explode(tiles).alias("tile")), "postings")
-    first = written(by_fingerprints(sets, most), "candidates")
-    wanted = shared.select("v").union(first.select("a")).union(first.select("b")).distinct()
-    texts = _sets(docs, size, lambda v, h, text: [np.array([v], np.int64), text], "v long, text binary")
-    texts = written(texts.join(wanted, "v", "left_semi").groupBy("v").agg(F.first("text").alias("text")), "texts")
-    found = written(_verified(first, texts, size), "links")
-    for begin, end in ROUNDS:
+    shared = rows.join(often, "k").select("k", "v", "n", F.explode(tiles).alias("tile")).join(sets.select("v", "bits"), "v")
+    shared = written(shared, "postings")
+    found, pairs = None, written(by_fingerprints(sets.select("v", "fp"), most), "candidates")
+    for every in (False, True, None):
+        links_ = written(_verified(pairs, _texts(docs, sets, pairs), size), "links")
+        found = links_ if found is None else found.union(links_)
         roots = components(found).select(F.col("a").alias("v"), F.col("b").alias("root"))
-        now = shared.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-        found = found.union(written(_verified(written(_candidates(now, begin, end), "candidates"), texts, size), "links"))
-    return components(found).select(F.col("a").alias("v"), F.col("b").alias("root"))
+        if every is not None:
+            now = shared.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+            pairs = written(_candidates(now, every), "candidates")
+    return roots
 
 
 def similar(docs: DataFrame, doc_id: str = "doc_id", *, size: int = 5, most: int = 3) -> DataFrame:
@@ -226,14 +272,17 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", *, size: int = 5, most: int
     def make():
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
             made = [hashes(x, size) for x in raw(batch.column("text"))]
-            return [pa.array([vertex(np.unique(h)) for h in made], pa.int64()), pa.array(np.array([bits_of(h) for h in made], np.uint64).view(np.int64), pa.int64())]
+            sets = [np.unique(h) for h in made]
+            fps = np.array([bits_of(h) for h in made], np.uint64).view(np.int64)
+            return [pa.array(list(map(vertex, sets)), pa.int64()), pa.array(fps, pa.int64()), pa.array(list(map(bitmap, sets)), pa.binary())]
 
         return run
 
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    marked = written(append(docs, [T.StructField("v", T.LongType()), T.StructField("fp", T.LongType())], make, "text").drop("text"), "sets")
-    sets = written(marked.groupBy("v").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), "vertices")
-    labels = sets.join(groups(docs, sets.select("v", "fp"), size, most), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    marked = written(append(docs, [T.StructField("v", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bits", T.BinaryType())], make, "text").drop("text"), "sets")
+    first = F.min(F.struct("doc_id", "th")).alias("first")
+    sets = written(marked.groupBy("v").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp"), F.min("bits").alias("bits"), first), "vertices")
+    labels = sets.join(groups(docs, sets, size, most), "v", "left").withColumn("root", F.coalesce("root", "v"))
     labels = written(labels.select("v", "id", "root"), "labels")
     least = labels.groupBy("root").agg(F.min("id").alias("component_id"))
     return marked.join(labels.join(least, "root").select("v", "root", "component_id"), "v").select(F.col("doc_id").alias(doc_id), "th", "root", "component_id")
