@@ -157,8 +157,13 @@ def duration(seconds: Column) -> Column:
 
 
 def args_key(args: dict) -> str:
-    """MD5 of arguments in canonical form: JSON with sorted keys."""
-    return hashlib.md5(json.dumps(args, sort_keys=True, default=str).encode()).hexdigest()
+    """MD5 of arguments in canonical form: JSON with sorted keys and no blanks."""
+    return hashlib.md5(json.dumps(args, sort_keys=True, default=str, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def args_key_of(*names: str) -> Column:
+    """The same key of each row's columns as arguments."""
+    return F.md5(F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"}))
 
 
 def decibels(x: Column) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import vectors as V
 from .manifest import random_subsets
@@ -209,6 +210,11 @@ def metric(name: str) -> Callable:
     return add
 
 
+def registered(name: str) -> Callable[..., DataFrame]:
+    """The metric of that name."""
+    return _REGISTRY[name]
+
+
 def is_valid_metric(name: str) -> bool:
     return name in PRESETS
 
@@ -241,5 +247,17 @@ def compute(name: str, features: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def extracted(items: DataFrame, extractor: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """items through a user's function of Arrow batches, such as a feature detector or a row transform."""
+    """items through a user's function of Arrow batches, such as a feature detector."""
     return items.mapInArrow(lambda batches: map(extractor, batches), schema)
+
+
+def transformed(items: DataFrame, f: Callable[[dict], dict | None], schema: str) -> DataFrame:
+    """items through a user's function of one row, such as a crop; rows for which it gives None are left out."""
+    kind = to_arrow_schema(items.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [made for row in batch.to_pylist() if (made := f(row)) is not None]
+            yield pa.RecordBatch.from_pylist(rows, kind)
+
+    return items.mapInArrow(run, schema)

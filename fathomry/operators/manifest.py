@@ -160,7 +160,7 @@ def mixed_strategy(key: str, seed: int, share: float = 0.75) -> Column:
 
 
 def multiblock_masks(ids: DataFrame, key: str, *, grid: tuple[int, int] = (14, 14), seed: int = 0, targets: int = 4, min_keep: int = 10, tries: int = 20) -> DataFrame:
-    """key, context, targets: blocks of random size and place on a grid; the context block excludes the targets, and that is given up for target after target when a block cannot be placed."""
+    """key, context, targets: blocks of random size and place on a grid; the context block excludes the targets, and that is given up for target after target when a block cannot be placed (D9). A block of `min_keep` patches or fewer is no mask: if the grid's blocks can be that small, the sizes are refused."""
     h, w = grid
 
     def block(rng: np.random.Generator, scale: tuple[float, float], aspect: tuple[float, float]) -> tuple[int, int]:
@@ -177,7 +177,7 @@ def multiblock_masks(ids: DataFrame, key: str, *, grid: tuple[int, int] = (14, 1
                 mask &= other
             if mask.sum() > min_keep:
                 return mask
-        return mask
+        raise ValueError(f"a block of {size[0]} x {size[1]} patches never has more than {min_keep}: take a larger grid or a smaller min_keep")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

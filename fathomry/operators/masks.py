@@ -31,12 +31,17 @@ def masked_psnr(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys).agg((20 * np.log10(2) - 10 * F.log10(error)).alias("psnr"))
 
 
+def spectrum_window(size: int, beta: float) -> np.ndarray:
+    """A Kaiser window of unit energy in each direction, so its squares add up to 1."""
+    row = np.kaiser(size, beta)
+    row /= np.sqrt(np.sum(row**2))
+    return np.outer(row, row)
+
+
 def power_spectrum(images: DataFrame, size: int, *, mean: float, std: float, beta: float = 8.0, interpolation: int = 1) -> DataFrame:
     """ky, kx, power: mean squared modulus of the whitened, Kaiser-windowed, padded images (A21). images: v, an array of size * size. Tasks add up before anything is shuffled."""
     full = size * interpolation
-    window = np.kaiser(size, beta)
-    window = np.outer(window, window)
-    window *= np.square(np.sum(window**2)) ** -0.5
+    window = spectrum_window(size, beta)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = 0, np.zeros((full, full))

@@ -84,7 +84,7 @@ def frechet_distance(features: DataFrame, key: str = "side", x: str = "x") -> Da
 
 
 def descriptors(features: DataFrame, x: str = "x", tol: float = 0.1) -> DataFrame:
-    """One row (A19): mean absolute correlation off the diagonal, rank and rank ratio at a tolerance, mean sample deviation, anisotropy (share of the first singular value's square, not centred)."""
+    """One row (A19): mean absolute correlation off the diagonal (-1 if one is not defined), the same with those that are not as 0, rank and rank ratio at a tolerance, mean sample deviation, anisotropy (share of the first singular value's square, not centred)."""
     one = features.select(F.lit(0).alias("side"), x)
     n, mean, cov = collected(merged(partial(one, "side", x)))[0]
     sd = np.sqrt(np.maximum(np.diag(cov), 0) * n / (n - 1))
@@ -94,8 +94,9 @@ def descriptors(features: DataFrame, x: str = "x", tol: float = 0.1) -> DataFram
     off = np.abs(corr[~np.eye(len(mean), dtype=bool)])
     squares = np.maximum(np.linalg.eigvalsh((cov + np.outer(mean, mean)) * n), 0)
     rank = int((np.sqrt(squares) > tol).sum())
-    row = (float(np.nanmean(off)), rank, rank / min(int(n), len(mean)), float(sd.mean()), float(squares.max() / squares.sum()))
-    return features.sparkSession.createDataFrame([row], "mean_corr double, rank long, rank_ratio double, mean_std double, anisotropy double")
+    safe = float(np.nansum(off) / max(len(off), 1))
+    row = (-1.0 if np.isnan(off).any() else safe, safe, rank, rank / min(int(n), len(mean)), float(sd.mean()), float(squares.max() / squares.sum()))
+    return features.sparkSession.createDataFrame([row], "mean_corr double, nansafe_corr double, rank long, rank_ratio double, mean_std double, anisotropy double")
 
 
 def cached_moments(features: DataFrame, path: str, args: dict, key: str = "side", x: str = "x") -> DataFrame:

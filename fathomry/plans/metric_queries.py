@@ -126,9 +126,9 @@ def a19(spark, sf):
     return G.descriptors(X.features(spark, sf))
 
 
-@query("a19b_mean_correlation", ", l AS (SELECT id, i, x[i] AS v FROM features, unnest(generate_series(1, 64)) AS g(i)), c AS (SELECT a.i, b.i AS j, corr(a.v, b.v) AS r FROM l a JOIN l b ON a.id = b.id WHERE a.i <> b.i GROUP BY ALL), s AS (SELECT i, stddev_samp(v) AS d FROM l GROUP BY i) SELECT round((SELECT avg(abs(r)) FROM c), 6) AS mean_corr, round((SELECT avg(d) FROM s), 6) AS mean_std", "features")
+@query("a19b_mean_correlation", ", l AS (SELECT id, i, x[i] AS v FROM features, unnest(generate_series(1, 64)) AS g(i)), c AS (SELECT a.i, b.i AS j, corr(a.v, b.v) AS r FROM l a JOIN l b ON a.id = b.id WHERE a.i <> b.i GROUP BY ALL), s AS (SELECT i, stddev_samp(v) AS d FROM l GROUP BY i) SELECT round((SELECT avg(abs(r)) FROM c), 6) AS mean_corr, round((SELECT avg(abs(r)) FROM c), 6) AS nansafe_corr, round((SELECT avg(d) FROM s), 6) AS mean_std", "features")
 def a19b(spark, sf):
-    return G.descriptors(X.features(spark, sf)).select(r("mean_corr"), r("mean_std"))
+    return G.descriptors(X.features(spark, sf)).select(r("mean_corr"), r("nansafe_corr"), r("mean_std"))
 
 
 @query("a28_cross_entropy", ", l AS (SELECT *, ln(list_sum(list_transform(z, lambda v: exp(v)))) AS lse FROM logits) SELECT round(avg(lse - z[target + 1]), 6) AS ce, round(avg(0.9 * (lse - z[target + 1]) + 0.1 * (lse - list_avg(z))), 6) AS smoothed FROM l", "features logits")
@@ -268,3 +268,32 @@ def x04(spark, sf):
 
     out = M.extracted(X.features(spark, sf).select("id", "x"), twice, "id long, x array<double>")
     return out.select("id", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+
+
+@M.metric("mean_norm")
+def mean_norm(features):
+    """A user's metric: mean length of the vectors of each side."""
+    squares = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
+    return features.groupBy("side").agg(F.avg(F.sqrt(squares)).alias("mean_norm"))
+
+
+@query("x01_registry", "SELECT side, round(avg(sqrt(list_sum(list_transform(x, lambda v: v * v)))), 6) AS mean_norm FROM features GROUP BY side", "features")
+def x01(spark, sf):
+    return M.registered("mean_norm")(X.features(spark, sf)).select("side", r("mean_norm"))
+
+
+@query("x03_preset_fid10k")
+def x03(spark, sf):
+    return M.compute("fid10k_full", X.features(spark, sf))
+
+
+@query("x05_row_transform", "SELECT id, label, list_transform(x, lambda v: round(v / sqrt(list_sum(list_transform(x, lambda u: u * u))), 6)) AS x FROM features", "features")
+def x05(spark, sf):
+    import numpy as np
+
+    def unit(row: dict) -> dict:
+        v = np.array(row["x"])
+        return row | {"x": (v / np.sqrt(v @ v)).tolist()}
+
+    out = M.transformed(X.features(spark, sf).select("id", "label", "x"), unit, "id long, label int, x array<double>")
+    return out.select("id", "label", F.transform("x", lambda v: F.round(v, 6)).alias("x"))

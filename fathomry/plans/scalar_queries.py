@@ -135,7 +135,7 @@ def f17(spark, sf):
 
 @query("f18_args_key", "SELECT class, count(*) AS n, md5('{\"class\":\"' || class || '\",\"n\":' || count(*) || '}') AS key FROM manifest GROUP BY class", "manifest")
 def f18(spark, sf):
-    return X.manifest(spark, sf).groupBy("class").agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.md5(F.to_json(F.struct("class", "n"))))
+    return X.manifest(spark, sf).groupBy("class").agg(F.count(F.lit(1)).alias("n")).withColumn("key", S.args_key_of("n", "class"))
 
 
 @query("f19_math", "SELECT run, step, round(10 * log10(value), 6) AS db, greatest(0, least(255, floor(value * 10 + 0.5)))::INT AS u8, bit_count(n) = 1 AS pow2 FROM telemetry", "telemetry")

@@ -27,9 +27,15 @@ def s01(spark, sf):
     return R.class_folders(spark, _folders(spark, sf)).groupBy("class", "label").agg((F.count(F.lit(1)) > 0).alias("has_files")).withColumn("label", F.col("label").cast("long"))
 
 
-@query("s02_images")
+@query("s02_images", "SELECT path FROM manifest WHERE regexp_matches(lower(path), '\\.(png|jpg|jpeg|bmp|webp|gif|tif|tiff|ppm)$')", "manifest")
 def s02(spark, sf):
-    return R.files(spark, _folders(spark, sf)).select(F.col("length") > 0).groupBy("(length > 0)").count()
+    return R.image_paths(X.manifest(spark, sf))
+
+
+@query("s02b_images_limit", "SELECT path FROM (SELECT * FROM manifest UNION ALL SELECT * REPLACE (path || '.txt' AS path) FROM manifest) WHERE regexp_matches(lower(path), '\\.(png|jpg)$') ORDER BY path LIMIT 50", "manifest")
+def s02b(spark, sf):
+    m = X.manifest(spark, sf).select("path")
+    return R.image_paths(m.union(m.select(F.concat("path", F.lit(".txt")))), 50)
 
 
 @query("s03_label_file", "SELECT path, label FROM label_file", "manifest label_file")
@@ -69,30 +75,22 @@ def s08(spark, sf):
     return R.iteration_csv(spark, root, "run long, step long, value double").select("run", "step", "value")
 
 
-@query("s09_representations", "SELECT id, label, round(x[1], 5) AS first FROM features", "features")
+@query("s09_representations", "SELECT 'l' || label || '.npz' AS path, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS row, list_transform(x, lambda v: round(v, 5)) AS x FROM features", "features")
 def s09(spark, sf):
-    """Vectors go out as .npz contents, one for each class, and come back row by row."""
+    """Vectors go out as contents of .npz files, one for each class, and come back row by row through the reader."""
     root = folder(spark)
 
     def pack(t):
         import pyarrow as pa
 
+        t = t.sort_by("id")
         data = io.BytesIO()
-        np.savez(data, reps=np.column_stack([t.column("id").to_numpy(), np.array(t.column("x").to_pylist())[:, :1]]), labels=t.column("label").to_numpy())
-        return pa.table({"label": t.column("label").slice(0, 1), "content": pa.array([data.getvalue()], pa.binary())})
-
-    packed = X.features(spark, sf).select("id", "label", "x").groupBy("label").applyInArrow(pack, "label int, content binary")
-    packed.write.parquet(root)
-
-    def unpack(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for label, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.load(io.BytesIO(content))["reps"]
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int64)), pa.array([label] * len(x), pa.int32()), pa.array(x[:, 1])], names=["id", "label", "v"])
+        np.savez(data, reps=np.array(t.column("x").to_pylist(), np.float32)[:, :, None, None], labels=t.column("label").to_numpy())
+        return pa.table({"path": pa.array([f"l{t.column('label')[0].as_py()}.npz"]), "content": pa.array([data.getvalue()], pa.binary())})
 
-    return spark.read.parquet(root).select("label", "content").mapInArrow(unpack, "id long, label int, v double").select("id", "label", F.round("v", 5).alias("first"))
+    X.features(spark, sf).select("id", "label", "x").groupBy("label").applyInArrow(pack, "path string, content binary").write.parquet(root)
+    rows = R.unpacked_representations(spark.read.parquet(root))
+    return rows.select("path", "row", F.transform("x", lambda v: F.round(v.cast("double"), 5)).alias("x"))
 
 
 @query("s10_synthetic", "SELECT id, 64 AS dim FROM features", "features")

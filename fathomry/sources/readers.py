@@ -34,7 +34,12 @@ def class_folders(spark: SparkSession, root: str) -> DataFrame:
 
 def images(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
     """Paths of images in order, the first `limit` of them."""
-    out = files(spark, root).select("path").where(extension(F.col("path")).isin(*IMAGES)).orderBy("path")
+    return image_paths(files(spark, root), limit)
+
+
+def image_paths(listing: DataFrame, limit: int | None = None) -> DataFrame:
+    """The same of a listing that has been made already, such as an archive's."""
+    out = listing.select("path").where(extension(F.col("path")).isin(*IMAGES)).orderBy("path")
     return out.limit(limit) if limit is not None else out
 
 
@@ -79,6 +84,11 @@ def iteration_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def representations(spark: SparkSession, path: str) -> DataFrame:
     """row, x from .npz files: the array `reps`, else `embeddings`, else the only one; [N, D, 1, 1] counts as [N, D]."""
+    return unpacked_representations(spark.read.format("binaryFile").load(path))
+
+
+def unpacked_representations(contents: DataFrame) -> DataFrame:
+    """The same of the files' contents, as (path, content)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -94,7 +104,7 @@ def representations(spark: SparkSession, path: str) -> DataFrame:
                 for a in range(0, len(x), 4096):
                     yield pd.DataFrame({"path": name, "row": np.arange(a, min(a + 4096, len(x))), "x": list(x[a : a + 4096].astype(np.float32))})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row long, x array<float>")
+    return contents.select("path", "content").mapInPandas(run, "path string, row long, x array<float>")
 
 
 def with_normal_vectors(items: DataFrame, key: str, dim: int, seed: int = 0) -> DataFrame:

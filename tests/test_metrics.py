@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fathomry.functions import scalars as S
 from fathomry.functions import vectors as V
 from fathomry.operators import feature_metrics as M
-from fathomry.operators import masks, moments, ranks, runs, telemetry, tiles
+from fathomry.operators import manifest, masks, moments, ranks, runs, telemetry, tiles
 
 
 @pytest.fixture(scope="module")
@@ -127,8 +127,9 @@ def test_greedy_masks(spark):
 def test_spectrum(spark):
     x = np.random.default_rng(4).standard_normal((10, 16))
     got = masks.power_spectrum(spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>"), 4, mean=0.1, std=2.0)
-    w = np.outer(np.kaiser(4, 8), np.kaiser(4, 8))
-    w *= np.square(np.sum(w**2)) ** -0.5
+    row = np.kaiser(4, 8) / np.linalg.norm(np.kaiser(4, 8))
+    w = row[:, None] * row[None, :]
+    assert np.isclose((w**2).sum(), 1) and all(np.isclose((masks.spectrum_window(n, 8.0) ** 2).sum(), 1) for n in (4, 8, 64))
     want = (np.abs(np.fft.fft2((x.reshape(-1, 4, 4) - 0.1) / 2 * w)) ** 2).mean(0)
     assert np.allclose([r.power for r in got.orderBy("ky", "kx").collect()], want.ravel())
 
@@ -180,3 +181,28 @@ def test_info_nce_of_many_blocks(spark):
     want = np.log(np.exp(at) + np.exp(u @ n.T / 0.2).sum(axis=1)) - at
     got = {x.id: x.loss for x in feature_metrics.info_nce(queries, bank, 0.2, block=20_000).collect()}
     assert np.allclose([got[i] for i in range(30)], want)
+
+
+def test_descriptors_of_a_constant_column(spark):
+    x = np.random.default_rng(1).standard_normal((50, 3))
+    x[:, 1] = 2.0
+    row = moments.descriptors(spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>")).first()
+    assert row.mean_corr == -1 and np.isclose(row.nansafe_corr, 2 * abs(np.corrcoef(x[:, 0], x[:, 2])[0, 1]) / 6)
+
+
+def test_small_grids_are_refused(spark):
+    ids = spark.range(5).withColumnRenamed("id", "k")
+    found = manifest.multiblock_masks(ids, "k").collect()
+    assert all(len(r.context) > 10 and all(len(t) > 10 for t in r.targets) for r in found)
+    with pytest.raises(Exception, match="larger grid"):
+        manifest.multiblock_masks(ids, "k", grid=(6, 6)).collect()
+
+
+def test_keys_of_arguments(spark):
+    row = spark.createDataFrame([("é b", 3, None)], "a string, n long, z string").select(S.args_key_of("z", "n", "a")).first()
+    assert row[0] == S.args_key({"n": 3, "z": None, "a": "é b"})
+
+
+def test_row_transforms(spark):
+    out = M.transformed(spark.range(6), lambda r: {"id": r["id"] * 2, "s": "x"} if r["id"] % 2 else None, "id long, s string")
+    assert sorted((r.id, r.s) for r in out.collect()) == [(2, "x"), (6, "x"), (10, "x")]
