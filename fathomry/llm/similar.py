@@ -3,7 +3,7 @@
 Fingerprints (see simhash.py) that link, and equal ones, give the first candidates; those that hold join the documents into
 groups. 64 bits are too few for a similarity of 0.8 (two such documents differ in about 10 bits), so a second search loses
 none of the others: two sets that similar share a shingle among the first n - ceil(4n / 5) + 1 of each, in any one order of all
-shingles (prefix filter). Shingles that a sample of documents has often come last, so a passage found in many documents makes
+shingles (prefix filter). Shingles that some of the documents have often come last, so a passage found in many documents makes
 few candidates. A bucket's rows are compared by their sizes and by a bitmap of each set (the bits in which two differ are at
 most as many as the shingles in which they do, so no similar pair is lost); what passes is verified by the whole sets. Each row
 first sends the likeliest of some others of its bucket, and then all that are not in its group by now, so a large group of near
@@ -32,8 +32,8 @@ from .components import components
 from .simhash import bits_of, hashes, links, plan
 
 BLOCK = 16_384
-#: Documents that are asked for common shingles, how many of them make one common, and how many shingles are kept.
-SAMPLE, OFTEN, COMMON = 20_000, 5, 65_536
+#: One document in so many is asked for common shingles; at most how many of them, the most frequent, are kept.
+EVERY, COMMON = 8, 1 << 20
 #: Bits of a set's bitmap, and rows of a bucket among which each row first looks for the likeliest.
 MAP, AMONG = 512, 64
 #: A bucket up to which rows are compared step by step for many buckets at once.
@@ -76,23 +76,34 @@ def _sets(docs: DataFrame, size: int, emit, schema: str) -> DataFrame:
     return docs.select("text").mapInArrow(run, schema)
 
 
-def common(docs: DataFrame, size: int) -> np.ndarray:
-    """Shingles of many documents of a sample, sorted; at most COMMON."""
-    n = docs.count()
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLE))) == 0)
-    found = _sets(some, size, lambda v, h: [h.view(np.int64)], "k long").groupBy("k").count().where(F.col("count") >= OFTEN)
-    return np.sort(np.array([r["k"] for r in found.orderBy(F.desc("count"), "k").limit(COMMON).collect()], np.int64).view(np.uint64))
+def common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of two or more documents of one in EVERY, sorted, and in how many of them each is; at most COMMON. They decide in what order shingles are taken, not what is found."""
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(EVERY)) == 0)
+    found = written(_sets(some, size, lambda v, h: [h.view(np.int64)], "k long").groupBy("k").count().where("count > 1"), "common")
+    least, total = 2, 0
+    for r in found.groupBy(F.least("count", F.lit(10_000)).alias("c")).count().orderBy(F.desc("c")).collect():  # 10,000 rows at most
+        total += r["count"]
+        if total > COMMON:
+            least = r["c"] + 1
+            break
+    kept = found.where(F.col("count") >= least).toArrow()
+    k, n = kept["k"].to_numpy().view(np.uint64), kept["count"].to_numpy()
+    order = np.argsort(k)
+    return k[order], np.minimum(n[order], 60_000).astype(np.uint16)
 
 
 def postings(docs: DataFrame, size: int) -> DataFrame:
-    """k, v, n: each set (v, of n shingles) under the shingles of its prefix."""
+    """k, v, n: each set (v, of n shingles) under the shingles of its prefix, the rarest first."""
     shared = docs.sparkSession.sparkContext.broadcast(common(docs, size))
 
     def emit(v: int, h: np.ndarray) -> list[np.ndarray]:
         n = len(h)
-        often = shared.value
-        late = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h if len(often) else np.zeros(n, bool)
-        order = h[np.argsort(late, kind="stable")]
+        often, count = shared.value
+        known = np.zeros(n, np.int64)
+        if len(often):
+            at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+            known = np.where(often[at] == h, count[at], 0)
+        order = h[np.argsort(known, kind="stable")]
         k = order[: n - (4 * n + 4) // 5 + 1].view(np.int64)
         return [k, np.full(len(k), v, np.int64), np.full(len(k), n, np.int32)]
 
