@@ -34,7 +34,7 @@ from .simhash import bits_of, hashes, links, plan
 BLOCK = 16_384
 #: One document in so many is asked for common shingles; at most how many of them, the most frequent, are kept.
 EVERY, COMMON = 8, 1 << 20
-#: Bits of a set's bitmap, and rows of a bucket among which each row first looks for the likeliest.
+#: Bits of a small set's bitmap, and rows of a bucket among which each row first looks for the likeliest.
 MAP, AMONG = 512, 64
 #: A bucket up to which rows are compared step by step for many buckets at once.
 SMALL = 128
@@ -111,30 +111,50 @@ def postings(docs: DataFrame, size: int) -> DataFrame:
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """For each bit, whether an odd number of the distinct hashes fall on it."""
-    return np.packbits((np.bincount((h % np.uint64(MAP)).astype(np.int64), minlength=MAP) & 1).astype(bool)).tobytes()
+    """For each bit, whether an odd number of the distinct hashes fall on it: a power of two times MAP bits, as many as hashes or more."""
+    bits = MAP << max(0, (len(h) - 1) // MAP).bit_length()
+    return np.packbits((np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
 
 
 @dataclass
 class Rows:
-    """Rows of buckets: run (number of the bucket, ascending), vertex, size of the set, root, and bitmap as 64-bit words."""
+    """Rows of buckets: run (number of the bucket, ascending), vertex, size of the set, root; and of each length of bitmaps (as 64-bit words), which row of its matrix is a row's."""
 
     run: np.ndarray
     v: np.ndarray
     n: np.ndarray
     root: np.ndarray
-    words: np.ndarray
+    length: np.ndarray
+    at: dict[int, np.ndarray]
+    words: dict[int, np.ndarray]
+
+    @classmethod
+    def made(cls, run: np.ndarray, v: np.ndarray, n: np.ndarray, root: np.ndarray, bits: list[bytes]) -> Rows:
+        length = np.fromiter(map(len, bits), np.int64, len(bits)) // 8
+        at, words = {}, {}
+        for size in np.unique(length).tolist():
+            own, twice = np.flatnonzero(length == size), np.flatnonzero(length == 2 * size)
+            wide = np.frombuffer(b"".join(bits[i] for i in twice.tolist()), np.uint64).reshape(-1, 2 * size)
+            # a longer bitmap folds to a shorter one
+            words[size] = np.concatenate([np.frombuffer(b"".join(bits[i] for i in own.tolist()), np.uint64).reshape(-1, size), wide[:, :size] ^ wide[:, size:]])
+            at[size] = np.zeros(len(bits), np.int64)
+            at[size][np.append(own, twice)] = np.arange(len(words[size]))
+        return cls(run, v, n, root, length, at, words)
 
     def of(self, rows) -> Rows:
-        return Rows(self.run[rows], self.v[rows], self.n[rows], self.root[rows], self.words[rows])
+        return Rows(self.run[rows], self.v[rows], self.n[rows], self.root[rows], self.length[rows], {k: x[rows] for k, x in self.at.items()}, self.words)
 
     def slack(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """By how many bits each pair's bitmaps may differ more before it cannot be alike (9 * differing shingles <= both sizes); under 0 for a pair that is not, or has one root."""
-        sizes = self.n[a] + self.n[b]
         can = (self.root[a] != self.root[b]) & (5 * np.minimum(self.n[a], self.n[b]) >= 4 * np.maximum(self.n[a], self.n[b]))
         out = np.full(len(a), -1, np.int64)
-        a, b = a[can], b[can]
-        out[can] = sizes[can] // 9 - np.bitwise_count(self.words[a] ^ self.words[b]).sum(axis=1, dtype=np.int64)
+        can = np.flatnonzero(can)
+        short = np.minimum(self.length[a[can]], self.length[b[can]])
+        for size in np.unique(short).tolist():
+            pairs = can[short == size]
+            x, y = a[pairs], b[pairs]
+            words, at = self.words[size], self.at[size]
+            out[pairs] = (self.n[x] + self.n[y]) // 9 - np.bitwise_count(words[at[x]] ^ words[at[y]]).sum(axis=1, dtype=np.int64)
         return out
 
 
@@ -198,8 +218,7 @@ def _candidates(rows: DataFrame, every: bool) -> DataFrame:
             if not stop:
                 return
             table = table.slice(0, stop)
-            words = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(-1, MAP // 64)
-            here = Rows(np.cumsum(new[:stop]), table["v"].to_numpy(), table["n"].to_numpy().astype(np.int64), table["root"].to_numpy(), words)
+            here = Rows.made(np.cumsum(new[:stop]), table["v"].to_numpy(), table["n"].to_numpy().astype(np.int64), table["root"].to_numpy(), table["bits"].to_pylist())
             made: list[tuple[np.ndarray, np.ndarray]] = []
             for pair in _all(here) if every else [_likeliest(here)]:
                 made.append(pair)
@@ -211,7 +230,7 @@ def _candidates(rows: DataFrame, every: bool) -> DataFrame:
 
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) > 50_000:
+            if sum(b.num_rows for b in held) > 20_000:
                 yield from cut(False)
         if held:
             yield from cut(True)

@@ -90,11 +90,12 @@ def test_pairs_of_buckets(monkeypatch, small):
     base = [r.getrandbits(64) for _ in range(60)]
     sets = [np.unique(np.array([*r.sample(base, r.randint(44, 60)), *(r.getrandbits(64) for _ in range(r.randint(0, 8)))], np.uint64)) for _ in range(60)]
     run, root, v = np.sort(np.array([r.randrange(4) for _ in sets])), np.array([r.randrange(3) for _ in sets]), np.arange(60)
-    words = np.frombuffer(b"".join(map(similar.bitmap, sets)), np.uint64).reshape(60, -1)
-    here = similar.Rows(run, v, np.array(list(map(len, sets))), root, words)
+    monkeypatch.setattr(similar, "MAP", 64 if small == 2 else 512)  # sets on both sides of a bitmap's length
+    here = similar.Rows.made(run, v, np.array(list(map(len, sets))), root, list(map(similar.bitmap, sets)))
     want = {(i, j) for j in range(60) for i in range(j) if run[i] == run[j] and root[i] != root[j] and similar.alike(sets[i], sets[j])}
     got = [tuple(sorted(p)) for a, b in similar._all(here) for p in zip(a.tolist(), b.tolist())]
     assert want and want <= set(got) and len(got) == len(set(got)) < 60 * 59 / 4
+    assert len(here.words) == (2 if small == 2 else 1)
     assert all(run[i] == run[j] and root[i] != root[j] for i, j in got)
     first = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in similar._likeliest(here)))}
     assert first <= set(got) and len(first) <= 60
