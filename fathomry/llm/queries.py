@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op11_chat_format
 from .encode import op3_bpe
 from .merkle import op9_fingerprints
 from .mixing import ORACLE as OP6_SQL
@@ -17,5 +18,5 @@ from .token_counts import op10_token_counts
 from .urls import ORACLE as OP1_SQL
 from .urls import op1_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_sharding, op3_bpe, op4_simhash, op5_substring_dedup, op6_mixing, op7_quality_rules, op8_suffix_array, op9_fingerprints, op10_token_counts, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_sharding, op3_bpe, op4_simhash, op5_substring_dedup, op6_mixing, op7_quality_rules, op8_suffix_array, op9_fingerprints, op10_token_counts, op11_chat_format, op13_periodic_runs)}
 ORACLES: dict[str, str] = {"op1_url_filters": OP1_SQL, "op6_mixing": OP6_SQL, "op7_quality_rules": OP7_SQL}
