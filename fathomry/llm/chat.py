@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .turns import MARKS, changes, cut, in_order
+from .turns import cut, folded
 
 #: Bytes whose scatter indices are held at once.
 BLOCK = 1 << 20
@@ -149,7 +149,7 @@ def format_chats(conversations: DataFrame, template: Template = Template(), *, a
     """conv_id, part, at, alone, n_turns, body, loss: the formatted pieces of each conversation, in order of (part, at), with byte ranges of the loss mask in body. conversations: conv_id, turn, role, text."""
 
     def make() -> Callable[[pa.ListArray], list[pa.Array]]:
-        def run(lists: pa.ListArray) -> list[pa.Array]:
+        def run(lists: pa.ListArray, alone: np.ndarray) -> list[pa.Array]:
             _, roles, texts = lists.values.flatten()
             rows = lists.offsets.to_numpy().astype(np.int64)
             out, at, first, end = assemble(roles, texts, template)
@@ -174,15 +174,16 @@ class _Read:
         self.template, self.turns, self.taught = template, hashlib.sha256(), hashlib.sha256()
         self.n = self.loss = self.chars = 0
 
-    def add(self, body: bytes, spans: list[dict]) -> None:
-        for role, text in self.template.turns(body):
+    def add(self, body: str, loss: list[dict]) -> None:
+        told = body.encode()
+        for role, text in self.template.turns(told):
             self.turns.update(b"%b\n%b\n" % (role, text))
             self.n += 1
-        for s in spans:
-            text = self.template.unescape(body[s["start"] : s["end"]])
+        for s in loss:
+            text = self.template.unescape(told[s["start"] : s["end"]])
             self.taught.update(text)
             self.loss += len(text.translate(None, _REST))
-        self.chars += len(body.translate(None, _REST))
+        self.chars += len(body)
 
     def told(self) -> tuple:
         return self.n, self.turns.hexdigest(), self.loss, self.taught.hexdigest(), self.chars
@@ -190,55 +191,7 @@ class _Read:
 
 def read_back(pieces: DataFrame, template: Template = Template()) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each conversation, from its formatted pieces."""
-    key = pieces.schema["conv_id"]
-    rest = [f for f in _PIECE if f.name != "n_turns"]
-    first = T.StructType([key, *MARKS[:2], *_DIGEST, *rest])
-    types = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.string() for f in _DIGEST]
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alone, rows = batch.column("alone"), []
-            bodies = batch.column("body").view(pa.binary())
-            for go, body, spans in zip(alone.to_pylist(), bodies, batch.column("loss")):
-                if go:
-                    (r := _Read(template)).add(body.as_py(), spans.as_py())
-                rows.append(r.told() if go else (None,) * len(types))
-            done = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "part", "at")), *done, *(pc.if_else(alone, pa.scalar(None, batch.column(c).type), batch.column(c)) for c in ("body", "loss"))], names=first.names)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key_ = None, None
-
-        def told(keys: list[pa.Array], rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]], names=[key.name, *[f.name for f in _DIGEST]])
-
-        for batch in batches:
-            ids, bodies = batch.column("conv_id"), batch.column("body").view(pa.binary())
-            if batch.num_rows and key_ is not None:
-                new = changes(pa.concat_arrays([key_, ids]))
-            else:
-                new = np.r_[[True] * min(1, batch.num_rows), changes(ids)] if batch.num_rows else []
-            done = list(zip(*[batch.column(f.name).to_pylist() for f in _DIGEST]))
-            keys, rows = [], []
-            for i, (other, spans) in enumerate(zip(new, batch.column("loss"))):
-                if other and held is not None:
-                    keys.append(key_)
-                    rows.append(held.told())
-                    held = None
-                key_ = ids.slice(i, 1)
-                if bodies[i].is_valid:
-                    held = held or _Read(template)
-                    held.add(bodies[i].as_py(), spans.as_py())
-                else:
-                    keys.append(key_)
-                    rows.append(done[i])
-            if rows:
-                yield told(keys, rows)
-        if held is not None:
-            yield told([key_], [held.told()])
-
-    found = pieces.select("conv_id", "part", "at", "alone", "body", "loss").mapInArrow(whole, first)
-    return in_order(found).mapInArrow(fold, T.StructType([key, *_DIGEST]))
+    return folded(pieces, ["body", "loss"], _DIGEST, lambda: _Read(template))
 
 
 def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Conversations, cut into pieces of bounded size in the order of their turns.
+"""Conversations, cut into pieces of bounded size in the order of their turns, and folds over the pieces.
 
 Rows are dealt out by ranges of (conversation, order) rather than by conversation, so one with a third of all rows lies in many
 tasks. A task reads its rows as a sorted stream and holds one piece at a time. A piece that is known to be a whole conversation
@@ -8,6 +8,7 @@ says so (`alone`); the others, two a task besides those of long conversations, a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import pieces, sizes_of
 
@@ -29,8 +31,8 @@ def changes(keys: pa.Array) -> np.ndarray:
     return ~same.to_numpy(zero_copy_only=False)
 
 
-def cut(rows: DataFrame, ranges: list[Column], order: list[Column], fields: list[T.StructField], make: Callable[[], Callable[[pa.ListArray], list[pa.Array]]], *, conv: str = "conv_id", text: str = "text", most: int = 256, most_bytes: int = 1 << 18) -> DataFrame:
-    """conv, part, at, alone and fields, one row for each piece; (part, at) orders the pieces of a conversation. A piece has at most `most` rows, and under most_bytes before its last row. ranges, of which order must be a refinement, deal the rows; make() runs once in each task and returns a function from lists of rows (structs of the other columns) to the fields."""
+def cut(rows: DataFrame, ranges: list[Column], order: list[Column], fields: list[T.StructField], make: Callable[[], Callable[[pa.ListArray, np.ndarray], list[pa.Array]]], *, conv: str = "conv_id", text: str = "text", most: int = 256, most_bytes: int = 1 << 18) -> DataFrame:
+    """conv, part, at, alone and fields, one row for each piece; (part, at) orders the pieces of a conversation. A piece has at most `most` rows, and under most_bytes before its last row. ranges, of which order must be a refinement, deal the rows; make() runs once in each task and returns a function from lists of rows (structs of the other columns), and which of them are alone, to the fields."""
     head = rows.schema[conv]
     names = [f.name for f in rows.schema if f.name != conv]
     schema = T.StructType([head, *MARKS, *fields])
@@ -48,7 +50,7 @@ def cut(rows: DataFrame, ranges: list[Column], order: list[Column], fields: list
                 lists = pa.ListArray.from_arrays(pa.array((bounds[i : j + 1] - a).astype(np.int32)), structs)
                 keys = batch.column(conv).take(pa.array(bounds[i:j]))
                 marks = [pa.array(np.full(j - i, part, np.int32)), pa.array(ats[i:j].astype(np.int32)), pa.array(alone[i:j])]
-                yield pa.RecordBatch.from_arrays([keys, *marks, *f(lists)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([keys, *marks, *f(lists, alone[i:j])], names=schema.names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -91,6 +93,56 @@ def cut(rows: DataFrame, ranges: list[Column], order: list[Column], fields: list
     return rows.select(*columns).repartitionByRange(F.col(conv), *ranges).sortWithinPartitions(F.col(conv), *order).mapInArrow(run, schema)
 
 
-def in_order(found: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """Pieces with each conversation's in order in one task, for what must be told in order, such as a digest."""
-    return found.repartition(conv).sortWithinPartitions(conv, "part", "at")
+def folded(found: DataFrame, carried: list[str], fields: list[T.StructField], make: Callable[[], Any], *, conv: str = "conv_id") -> DataFrame:
+    """conv and fields: what make().told() says of each conversation after add(**carried) of its pieces in order. Pieces that are alone are told where they are; the others are sent on."""
+    key = found.schema[conv]
+    kept = [found.schema[c] for c in carried]
+    types = list(to_arrow_schema(T.StructType(fields)).types)
+    names = [key.name, *[f.name for f in fields]]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alone, rows = batch.column("alone"), []
+            columns = [batch.column(c) for c in carried]
+            for i, go in enumerate(alone.to_pylist()):
+                if go:
+                    (state := make()).add(**{c: x[i].as_py() for c, x in zip(carried, columns)})
+                rows.append(state.told() if go else (None,) * len(types))
+            done = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            left = [pc.if_else(alone, pa.scalar(None, x.type), x) for x in columns]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (conv, "part", "at", "alone")), *done, *left], names=first.names)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = last = None
+
+        def told(keys: list[pa.Array], rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, alone, columns = batch.column(conv), batch.column("alone").to_pylist(), [batch.column(f"__{c}") for c in carried]
+            new = changes(ids if last is None else pa.concat_arrays([last, ids]))
+            done = list(zip(*[batch.column(n).to_pylist() for n in names[1:]]))
+            keys, rows = [], []
+            for i, other in enumerate(new if last is not None else [True, *new]):
+                if other and held is not None:
+                    keys.append(last)
+                    rows.append(held.told())
+                    held = None
+                last = ids.slice(i, 1)
+                if alone[i]:
+                    keys.append(last)
+                    rows.append(done[i])
+                else:
+                    held = held or make()
+                    held.add(**{c: x[i].as_py() for c, x in zip(carried, columns)})
+            if rows:
+                yield told(keys, rows)
+        if held is not None:
+            yield told([last], [held.told()])
+
+    first = T.StructType([key, *MARKS, *fields, *[T.StructField(f"__{f.name}", f.dataType) for f in kept]])
+    sent = found.select(conv, "part", "at", "alone", *carried).mapInArrow(whole, first)
+    ordered = sent.repartition(conv).sortWithinPartitions(conv, "part", "at")
+    return ordered.mapInArrow(fold, T.StructType([key, *fields]))

@@ -81,7 +81,9 @@ def test_pieces_of_any_size_say_the_same(spark, most, most_bytes):
 def test_a_long_conversation_is_many_pieces_in_many_tasks(spark):
     rows = [(7, i, ("user", "assistant")[i % 2], f"turn {i} </s>") for i in range(5000)] + [(i + 100, 0, "user", "x") for i in range(2000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(8)
-    made = chat.format_chats(df)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    made = chat.format_chats(df).cache()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     held = made.where("conv_id = 7").collect()
     assert len({r.part for r in held}) > 1 and max(r.n_turns for r in held) <= 256 and not any(r.alone for r in held)
     assert made.where("alone").count() >= 1990
