@@ -16,7 +16,7 @@ from .manifest import random_subsets
 from .masks import masked_psnr
 from .moments import frechet_distance
 from .ranks import hash_rank, order_rank, shuffled
-from .tiles import BLOCK, _matrix, _paired, covered, nearest, radius, scores
+from .tiles import _matrix, covered, log_sums, nearest, radius
 
 
 def kernel_distance(features: DataFrame, *, subsets: int, m: int) -> DataFrame:
@@ -112,8 +112,8 @@ def top_k_hit(logits: str, target: str, k: int) -> Column:
 
 def knn_votes(queries: DataFrame, bank: DataFrame, *, k: int, temperature: float = 0.1) -> DataFrame:
     """id, label, vote, place: classes by summed exp(cosine / temperature) over the k nearest (A14, the published weighted protocol); ties go to the lesser class. queries: id, x; bank: id, x, label."""
-    found = nearest(queries, bank, k, metric="cos")
-    votes = found.join(bank.select(F.col("id").alias("neighbour"), "label"), "neighbour").groupBy("id", "label").agg(F.sum(F.exp(F.col("score") / temperature)).alias("vote"))
+    found = nearest(queries, bank, k, metric="cos", carried=("label",))
+    votes = found.groupBy("id", "label").agg(F.sum(F.exp(F.col("score") / temperature)).alias("vote"))
     return votes.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(F.desc("vote"), "label")))
 
 
@@ -142,19 +142,13 @@ def cross_entropy(logits: str, target: str, smoothing: float = 0.0) -> Column:
     return nll if not smoothing else (1 - smoothing) * nll + smoothing * (V.log_sum_exp(logits) - V.mean(logits))
 
 
-def info_nce(queries: DataFrame, bank: DataFrame, temperature: float, *, block: int = BLOCK) -> DataFrame:
-    """id, loss: cross-entropy of the positive against it and a bank of negatives of any size (A29, J12). Each pair of blocks sends on one sum for each of its queries. queries: id, q, positive; bank: id, x."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        sums = np.zeros(left.num_rows)
-        if left.num_rows and right.num_rows:
-            sums = np.exp(scores(_matrix(left.column("q")), _matrix(right.column("x")), "cos") / temperature).sum(axis=1)
-        return pa.table({"id": left.column("id"), "l": left.column("l"), "s": sums})
-
-    marked = queries.select("id", "q", (V.cosine("q", "positive") / temperature).alias("l"))
-    kind = queries.schema["id"].dataType.simpleString()
-    sims = _paired(marked, bank.select("id", "x"), [], "id", "id", block).applyInArrow(run, f"id {kind}, l double, s double").groupBy("id").agg(F.first("l").alias("l"), F.sum("s").alias("s"))
-    return sims.select("id", (F.log(F.exp("l") + F.col("s")) - F.col("l")).alias("loss"))
+def info_nce(queries: DataFrame, bank: DataFrame, temperature: float, *, block: int | None = None) -> DataFrame:
+    """id, loss: cross-entropy of the positive against it and a bank of negatives of any size, at any temperature (A29, J12). Each pair of blocks sends on one scaled sum for each of its queries. queries: id, q, positive; bank: id, x."""
+    own = queries.select("id", (V.cosine("q", "positive") / temperature).alias("l"))
+    sums = log_sums(queries.select("id", F.col("q").alias("x")), bank.select("id", "x"), 1 / temperature, block=block)
+    top = F.greatest("l", "log_sum")
+    loss = top + F.log(F.exp(F.col("l") - top) + F.exp(F.col("log_sum") - top)) - F.col("l")
+    return own.join(sums, "id", "left").select("id", F.when(F.col("log_sum").isNull(), 0.0).otherwise(loss).alias("loss"))
 
 
 def random_pairs(items: DataFrame, key: str, seed: int) -> DataFrame:

@@ -198,8 +198,7 @@ def a37(spark, sf):
 def j07(spark, sf):
     f = X.features(spark, sf)
     sides = [f.where(F.col("side") == s).select("label", "id", "x") for s in ("gen", "real")]
-    every = tiles.nearest(*sides, 1 << 30, keys=("label",))
-    return every.select("id", "neighbour", F.round(F.sqrt(-F.col("score")), 6).alias("d"))
+    return tiles.all_pairs(*sides, keys=("label",)).select("id", "neighbour", F.round(F.sqrt(-F.col("score")), 6).alias("d"))
 
 
 @query("j08_within", _manifold("SELECT id, hit FROM h WHERE side = 'gen'", "AND a.label = b.label"), "features")
@@ -220,17 +219,14 @@ def j09(spark, sf):
 @query("j10_kernel_sums", ", p AS (SELECT id, side, label, x FROM features) SELECT u.label, u.side AS p, v.side AS q, round(sum((list_inner_product(u.x, v.x) / 64 + 1) ** 3), 4) AS s FROM p u JOIN p v ON u.label = v.label GROUP BY ALL", "features")
 def j10(spark, sf):
     f = X.features(spark, sf).select("label", "id", "side", "x")
-    dots = tiles.nearest(f, f, 1 << 30, metric="dot", keys=("label",))
-    side = f.select("id", F.col("side").alias("p"))
-    both = dots.join(side, "id").join(side.select(F.col("id").alias("neighbour"), F.col("p").alias("q")), "neighbour")
-    k = F.col("score") / 64 + 1
-    return both.groupBy("label", "p", "q").agg(F.round(F.sum(k * k * k), 4).alias("s"))
+    sums = tiles.pair_sums(f, f, lambda dots: (dots / 64 + 1) ** 3, "side", keys=("label",))
+    return sums.select("label", "p", "q", r("s", 4))
 
 
 @query("j12_bank", ", q AS (SELECT id, x FROM features WHERE id % 5 = 0), b AS (SELECT id, x FROM features WHERE label = 0) SELECT q.id, b.id AS bank, round(list_inner_product(q.x, b.x), 6) AS s FROM q, b", "features")
 def j12(spark, sf):
     f = X.features(spark, sf)
-    found = tiles.nearest(f.where("id % 5 = 0"), f.where("label = 0"), 1 << 30, metric="dot")
+    found = tiles.all_pairs(f.where("id % 5 = 0"), f.where("label = 0"), metric="dot")
     return found.select("id", F.col("neighbour").alias("bank"), F.round("score", 6).alias("s"))
 
 

@@ -206,3 +206,70 @@ def test_keys_of_arguments(spark):
 def test_row_transforms(spark):
     out = M.transformed(spark.range(6), lambda r: {"id": r["id"] * 2, "s": "x"} if r["id"] % 2 else None, "id long, s string")
     assert sorted((r.id, r.s) for r in out.collect()) == [(2, "x"), (6, "x"), (10, "x")]
+
+
+@pytest.mark.parametrize("block", [3, 50, None])
+def test_tiles_by_key_equal_numpy(spark, block):
+    r = np.random.default_rng(7)
+    x = r.integers(-3, 4, (400, 5)).astype(float)  # with ties
+    label = [None if c > 97 else f"c{min(c, 40)}" for c in r.integers(0, 100, 400)]  # one large class, small ones, and null
+    side = ["real" if i % 3 else "gen" for i in range(400)]
+    rows = [(i, side[i], label[i], v.tolist()) for i, v in enumerate(x)] + [(400, "gen", "c40", None)]
+    df = spark.createDataFrame(rows, "id long, side string, label string, x array<double>").repartition(5)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    same = np.array([[a == b for b in label] for a in label])
+    found = {(t.id, t.place): t.neighbour for t in tiles.nearest(df, df, 4, keys=("label",), block=block).collect()}
+    for i in range(400):
+        near = sorted((j for j in range(400) if same[i, j]), key=lambda j: (round(d[i, j], 9), j))[:4]
+        assert [found.get((i, k + 1)) for k in range(4)] == near + [None] * (4 - len(near))
+    pairs = {(t.id, t.neighbour): t.score for t in tiles.all_pairs(df.where("side = 'gen'"), df.where("side = 'real'"), keys=("label",), block=block).collect()}
+    want = {(i, j): -(d[i, j] ** 2) for i in range(400) for j in range(400) if same[i, j] and side[i] == "gen" and side[j] == "real"}
+    assert pairs.keys() == want.keys() and np.allclose([pairs[k] for k in want], list(want.values()))
+    sums = {(t.label, t.p, t.q): (t.s, t.n) for t in tiles.pair_sums(df, df, lambda s: (s + 1) ** 3, "side", keys=("label",), block=block).collect()}
+    k = (x @ x.T + 1) ** 3
+    for c in set(label):
+        for p in ("real", "gen"):
+            for q in ("real", "gen"):
+                rows_, cols = ([i for i in range(400) if label[i] == c and side[i] == s] for s in (p, q))
+                if rows_ and cols:
+                    s, n = sums[c, p, q]
+                    assert n == len(rows_) * len(cols) and np.isclose(s, k[np.ix_(rows_, cols)].sum())
+    balls = df.where("side = 'real'").withColumn("r", F.lit(2.0))
+    hit = {t.id: t.hit for t in tiles.covered(df.where("side = 'gen' and x is not null"), balls, keys=("label",), block=block).collect()}
+    assert hit == {i: any(same[i, j] and side[j] == "real" and d[i, j] <= 2 for j in range(400)) for i in range(400) if side[i] == "gen"}
+
+
+def test_equal_vectors_score_alike_wherever_they_stand(spark):
+    x = np.repeat(np.random.default_rng(3).standard_normal((40, 33)), 5, axis=0)
+    df = frame(spark, x)
+    for metric in ("l2", "cos", "dot"):
+        found = tiles.nearest(df, df, 3, metric=metric, block=17).collect()
+        if metric != "dot":
+            assert {(t.id, t.place): t.neighbour for t in found} == {(i, p): i // 5 * 5 + p - 1 for i in range(200) for p in (1, 2, 3)}
+        assert all(len({t.score for t in found if t.id == i}) == 1 for i in range(0, 200, 17)) or metric == "dot"
+    assert all(t.score == 0 for t in tiles.nearest(df, df, 3, block=64).collect())
+
+
+def test_carried_columns(spark, cloud):
+    df = frame(spark, cloud, label=[i % 7 for i in range(120)])
+    found = tiles.nearest(df.where("id < 9"), df, 2, carried=("label", "side"), block=31).collect()
+    assert len(found) == 18 and all(t.label == t.neighbour % 7 and t.side == "real" for t in found)
+
+
+def test_info_nce_at_a_low_temperature(spark):
+    r = np.random.default_rng(4)
+    q, pos, neg = r.normal(size=(20, 4)), r.normal(size=(20, 4)), r.normal(size=(500, 4))
+    queries = spark.createDataFrame([(i, q[i].tolist(), pos[i].tolist()) for i in range(20)], "id long, q array<double>, positive array<double>")
+    bank = spark.createDataFrame([(i, x) for i, x in enumerate(neg.tolist())], "id long, x array<double>")
+    u, p, n = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (q, pos, neg))
+    s = np.c_[(u * p).sum(axis=1), u @ n.T] / 0.001
+    want = s.max(axis=1) + np.log(np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)) - s[:, 0]
+    got = {x.id: x.loss for x in M.info_nce(queries, bank, 0.001, block=64).collect()}
+    assert np.allclose([got[i] for i in range(20)], want)
+    assert {x.loss for x in M.info_nce(queries, bank.limit(0), 0.2).collect()} == {0.0}
+
+
+def test_tiles_of_empty_sides(spark, cloud):
+    df = frame(spark, cloud)
+    assert tiles.nearest(df, df.limit(0), 3).count() == 0 and tiles.nearest(df.limit(0), df, 3).count() == 0
+    assert {t.hit for t in tiles.covered(df, df.limit(0).withColumn("r", F.lit(1.0))).collect()} == {False}
