@@ -15,7 +15,7 @@ from ..functions import vectors as V
 from .manifest import random_subsets
 from .masks import masked_psnr
 from .moments import frechet_distance
-from .ranks import hash_rank, order_rank, shuffled
+from .ranks import hash_rank, order_rank, shuffled, values_at_ranks
 from .tiles import _matrix, covered, log_sums, nearest, radius
 
 
@@ -77,30 +77,14 @@ def macro(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def trimmed_mean(df: DataFrame, value: str, tie: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """One row: mean between discrete percentiles, the lower rounded down, the upper up, both included (A8). Percentiles are exact, from counts of values."""
-    n = df.where(F.col(value).isNotNull()).count()
-    counts = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")).where(F.col("v").isNotNull())
-    a, b = int(np.floor((n - 1) * low)), int(np.ceil((n - 1) * high))
-    ends = values_at_ranks(counts, [a, b])
-    return df.where(F.col(value).between(*ends)).agg(F.avg(value).alias("mean")) if ends else df.agg(F.avg(value).alias("mean"))
-
-
-def values_at_ranks(counts: DataFrame, ranks: list[int]) -> list[float]:
-    """The values (v, with c rows each) that hold the given ranks from 0."""
-    cuts = counts.agg(F.percentile_approx("v", [i / 32 for i in range(1, 32)], 10_000)).first()[0] or []
-    bucket = F.size(F.filter(F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]), lambda x: x <= F.col("v"))) if cuts else F.lit(0)
-    dealt = counts.withColumn("b", bucket)
-    before, starts = 0, {}
-    for r in sorted(dealt.groupBy("b").agg(F.sum("c").alias("n")).collect(), key=lambda r: r["b"]):  # 32 rows at most
-        starts[r["b"]] = (before, before + r["n"])
-        before += r["n"]
-    out = []
-    for rank in ranks:
-        for b, (first, end) in starts.items():
-            if first <= rank < end:
-                so_far = F.sum("c").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)) + first
-                out.append(dealt.where(F.col("b") == b).withColumn("to", so_far).where(F.col("to") > rank).agg(F.min("v")).first()[0])
-    return out
+    """One row: mean between discrete percentiles, the lower rounded down, the upper up, both included (A8). Percentiles are exact, from counts narrowed round by round."""
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v))
+    n = rows.count()
+    if not n:
+        return rows.agg(F.avg(value).alias("mean"))
+    ends = values_at_ranks(rows, value, [int(np.floor((n - 1) * low)), int(np.ceil((n - 1) * high))])
+    return rows.where(v.between(*ends)).agg(F.avg(value).alias("mean"))
 
 
 def top_k_hit(logits: str, target: str, k: int) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scans import CHUNK, chunks, clip_map, ema_map, joined
+
 
 def finite(x: str) -> Column:
     """x, with NaN as null."""
@@ -60,26 +62,18 @@ def cumulative_mean(df: DataFrame, keys: list[str], order: str = "step", value:
     return df.withColumn("mean_so_far", F.sum(value).over(w) / F.count(value).over(w))
 
 
-def _series(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """One array of values in order for each series. A fold is serial inside a series by definition, so a series must fit one task."""
-    return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]).alias("values"))
-
-
-def ema(df: DataFrame, keys: list[str], decay: float, order: str = "step", value: str = "value") -> DataFrame:
-    """keys, n, ema: an average with the warm-up decay min(decay, (1 + i) / (10 + i)), from the first value on."""
-
-    def step(a: Column, v: Column) -> Column:
-        d = F.least(F.lit(decay), (a["i"] + 1) / (a["i"] + 10))
-        return F.struct((a["i"] + 1).alias("i"), F.when(a["i"] == 0, v).otherwise(v + (a["x"] - v) * d).alias("x"))
-
-    start = F.struct(F.lit(0.0).alias("i"), F.lit(0.0).alias("x"))
-    return _series(df, keys, order, value).select(*keys, F.size("values").alias("n"), F.aggregate("values", start, step, lambda a: a["x"]).alias("ema"))
+def ema(df: DataFrame, keys: list[str], decay: float, order: str = "step", value: str = "value", *, size: int = CHUNK) -> DataFrame:
+    """keys, n, ema: an average with the warm-up decay min(decay, (1 + i) / (10 + i)), from the first value on (W6). Null values do not count."""
+    made = chunks(df, keys, order, value, size=size)
+    maps = made.select(*keys, "chunk", F.size("values").alias("n"), ema_map("values", "first", decay).alias("m"))
+    return joined(maps, keys, F.lit(0.0), lambda x, m: m["a"] * x + m["b"]).withColumnRenamed("x", "ema")
 
 
-def controller(df: DataFrame, keys: list[str], *, target: float, gain: float, order: str = "step", value: str = "value") -> DataFrame:
-    """keys, p: an integrator that moves by gain towards the side of the target, held in 0 to 1 after each step."""
-    fold = F.aggregate("values", F.lit(0.0), lambda p, v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), p + F.signum(v - target) * gain)))
-    return _series(df, keys, order, value).select(*keys, fold.alias("p"))
+def controller(df: DataFrame, keys: list[str], *, target: float, gain: float, order: str = "step", value: str = "value", size: int = CHUNK) -> DataFrame:
+    """keys, p: an integrator that moves by gain towards the side of the target, held in 0 to 1 after each step (W7). Null values do not count."""
+    made = chunks(df, keys, order, value, size=size)
+    maps = made.select(*keys, "chunk", F.size("values").alias("n"), clip_map("values", lambda v: F.signum(v - target) * gain, 0.0, 1.0).alias("m"))
+    return joined(maps, keys, F.lit(0.0), lambda p, m: F.greatest(m["lo"], F.least(m["hi"], p + m["s"]))).select(*keys, F.col("x").alias("p"))
 
 
 def interval_moments(df: DataFrame, run: str, name: str, tick: Column) -> DataFrame:
