@@ -20,7 +20,9 @@ from .tiles import _matrix, covered, log_sums, nearest, radius
 
 
 def kernel_distance(features: DataFrame, *, subsets: int, m: int) -> DataFrame:
-    """One row: kid, the mean unbiased squared distance under (x.y / n + 1)^3 over subsets of m of each side (A3). A task holds one subset, whose size is a parameter."""
+    """One row: kid, the mean unbiased squared distance under (x.y / n + 1)^3 over subsets of m of each side, or of all the smaller side has (A3). A task holds one subset, whose size is a parameter."""
+    least = features.groupBy("side").count().agg(F.min("count")).first()[0] or 0
+    m = min(m, least)
     drawn = random_subsets(features.select("id", "side", "x"), "id", subsets, m, ("side",))
 
     def run(t: pa.Table) -> pa.Table:
@@ -59,7 +61,7 @@ def precision_recall(features: DataFrame, k: int = 3, keys: tuple[str, ...] = ()
 
     def share(of: str, inside: str, name: str) -> DataFrame:
         balls = sides[inside].join(radius(sides[inside], k, keys=keys), [*keys, "id"])
-        return covered(sides[of], balls, keys=keys).groupBy(*keys).agg(F.avg(F.col("hit").cast("double")).alias(name))
+        return covered(sides[of], balls, keys=keys, sized=sides[inside]).groupBy(*keys).agg(F.avg(F.col("hit").cast("double")).alias(name))
 
     p, r = share(gen, real, "precision"), share(real, gen, "recall")
     return p.join(r, list(keys)) if keys else p.select("precision", r.scalar().alias("recall"))

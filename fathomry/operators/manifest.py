@@ -126,11 +126,51 @@ def draw_labels(items: DataFrame, label: str, by: str, seed: int, n: int) -> Dat
     return picks.join(order_rank(items.select(by, label), by), "rank").select("draw", label)
 
 
-def random_subsets(items: DataFrame, key: str, subsets: int, m: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(subset, key, ...): in each subset, m rows without replacement (D8), of each value of keys."""
-    spread = items.withColumn("subset", F.explode(F.sequence(F.lit(0), F.lit(subsets - 1))))
-    h = F.md5(F.concat(F.col("subset").cast("string"), F.lit(":"), F.col(key).cast("string")))
-    return hash_rank(spread, h, key, keys=("subset", *keys)).where(F.col("rank") < m).drop("rank")
+def random_subsets(items: DataFrame, key: str, subsets: int, m: int, keys: tuple[str, ...] = (), *, slack: float = 8.0) -> DataFrame:
+    """(subset, key, ...): in each subset, the m rows of least hash, of each value of keys.
+
+    A row goes only to the subsets in which its hash lies under a threshold that m rows and some more are expected to pass, so about
+    subsets * m rows are shuffled and not subsets * N. How many passed is counted; where it was fewer than m of a larger table
+    (slack: standard deviations of the count that are allowed for), the threshold rises for those subsets until it is not. The
+    rows that pass are held (persisted) for counting and ranking."""
+    named = [f"__k{i}" for i in range(len(keys))]
+    if not keys:
+        items, keys, named = items.withColumn("__all", F.lit(0)), ("__all",), ["__k0"]
+    sizes = items.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, named)]).agg(F.count(F.lit(1)).alias("__n"))
+    same = F.lit(True)
+    for k, n in zip(keys, named):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    sized = items.join(sizes, same).drop(*named)
+    h = lambda s: F.md5(F.concat(s.cast("string"), F.lit(":"), F.col(key).cast("string")))
+    digits, every = 12, F.sequence(F.lit(0), F.lit(subsets - 1))
+
+    def passed(rows: DataFrame, among: Column, want: float) -> DataFrame:
+        """Rows, once for each subset among those given in which their hash lies under the threshold for `want` rows."""
+        share = F.least(F.lit(want) / F.col("__n"), F.lit(1.0))
+        limit = F.when(share >= 1, "g").otherwise(F.lpad(F.lower(F.hex((share * float(16**digits)).cast("long"))), digits, "0"))
+        at = F.transform(among, lambda s: F.struct(s.alias("s"), h(s).alias("h")))
+        out = rows.withColumn("__limit", limit).withColumn("__at", F.explode(F.filter(at, lambda x: x["h"] < F.col("__limit"))))
+        return out.withColumns({"subset": F.col("__at.s"), "__h": F.col("__at.h")}).drop("__at", "__limit")
+
+    want = m + slack * m**0.5 + slack * slack
+    found = passed(sized, every, want).persist()
+    while True:
+        group = ["subset", *keys]
+        counts = found.groupBy(*group).agg(F.count(F.lit(1)).alias("__c"))
+        grid = sizes.select(*[F.col(n).alias(k) for k, n in zip(keys, named)], "__n", F.explode(every).alias("subset"))
+        met = F.col("g.subset") == F.col("c.subset")
+        for k in keys:
+            met &= F.col(f"g.{k}").eqNullSafe(F.col(f"c.{k}"))
+        short = grid.alias("g").join(counts.alias("c"), met, "left").where(F.coalesce("__c", F.lit(0)) < F.least(F.lit(m), F.col("__n")))
+        if not short.limit(1).count():
+            break
+        want *= 2
+        again = short.groupBy(*[F.col(f"g.{k}").alias(n) for k, n in zip(keys, named)]).agg(F.collect_set("g.subset").alias("__again"))
+        kept = found.alias("f").join(short.select(*[f"g.{c}" for c in group]).alias("s"), [F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")) for c in group], "left_anti")
+        more = sized.join(again, same)
+        found = kept.unionByName(passed(more, F.col("__again"), want).select(*kept.columns)).persist()
+    place = F.row_number().over(W.partitionBy("subset", *keys).orderBy("__h", key))  # a group has m rows and a few more
+    return found.withColumn("__place", place).where(F.col("__place") <= m).drop("__place", "__h", "__n", "__all")
 
 
 def label_grid(items: DataFrame, label: str, key: str, seed: int, width: int, rows: int) -> DataFrame:

@@ -116,19 +116,20 @@ def _packed(rows: DataFrame, keys: list[str], more: list[str], other: str, mine:
     return out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
 
 
-def _dealt(queries: DataFrame, bank: DataFrame, keys: list[str], block: int | None) -> tuple[DataFrame, DataFrame]:
+def _dealt(queries: DataFrame, bank: DataFrame, keys: list[str], block: int | None, sized: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Both sides with __bin, own keys, their block, and the number of the other's blocks."""
-    dim = (bank.select(F.size("x").alias("d")).first() or [1])[0]
+    known = bank if sized is None else sized
+    dim = (known.select(F.size("x").alias("d")).first() or [1])[0]
     spark = queries.sparkSession
     if not keys:
-        n_q, n_b = queries.count(), bank.count()
+        n_q, n_b = queries.count(), known.count()
         # no larger than BYTES allow, no larger than keeps all cores at work, and not so small that copies outweigh that
         rows = block or max(1, min(BYTES // (8 * max(1, dim)), max(1024, math.isqrt(n_q * n_b // (2 * spark.sparkContext.defaultParallelism)))))
         counts = [max(1, -(-n // rows)) for n in (n_q, n_b)]
         return tuple(df.withColumns({"__bin": F.lit(0), own: F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(mine)).cast("int"), "__n": F.lit(other)}) for df, own, mine, other in ((queries, "__q", *counts), (bank, "__b", *reversed(counts))))
     rows = block or max(1, BYTES // (8 * max(1, dim)))
     names = {k: f"__k{i}" for i, k in enumerate(keys)}
-    q, b = (df.groupBy(*[F.col(k).alias(n) for k, n in names.items()]).agg(F.count(F.lit(1)).alias(c)) for df, c in ((queries, "__nq"), (bank, "__nb")))
+    q, b = (df.groupBy(*[F.col(k).alias(n) for k, n in names.items()]).agg(F.count(F.lit(1)).alias(c)) for df, c in ((queries, "__nq"), (known, "__nb")))
     same = [F.col(f"q.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names.values()]
     both = q.alias("q").join(b.alias("b"), same).select(*[F.col(f"q.{n}").alias(n) for n in names.values()], "__nq", "__nb")
     large = F.greatest("__nq", "__nb") > max(1, rows // 8)
@@ -166,8 +167,8 @@ def _codes(left: list[pa.Array], right: list[pa.Array], n: int, m: int) -> tuple
     return out[:n], out[n:]
 
 
-def tiles(queries: DataFrame, bank: DataFrame, fold: Callable[[Side], object], fields: list[T.StructField], *, metric: str, keys: tuple[str, ...] = (), more: tuple[list[str], list[str]] = ([], []), block: int | None = None) -> DataFrame:
-    """keys and fields: what folds make of each pair of blocks with equal keys. fold(left) makes one; its add(scores, off, left part, its first row, right part) is called for each part of the product, and told() gives (rows of left, arrays of fields). Both sides: keys, id, x and what more names. block: rows of a block at most."""
+def tiles(queries: DataFrame, bank: DataFrame, fold: Callable[[Side], object], fields: list[T.StructField], *, metric: str, keys: tuple[str, ...] = (), more: tuple[list[str], list[str]] = ([], []), block: int | None = None, sized: DataFrame | None = None) -> DataFrame:
+    """keys and fields: what folds make of each pair of blocks with equal keys. fold(left) makes one; its add(scores, off, left part, its first row, right part) is called for each part of the product, and told() gives (rows of left, arrays of fields). Both sides: keys, id, x and what more names. block: rows of a block at most. sized: a table with as many rows of each key as the bank, where that is cheaper to count."""
     keys = list(keys)
     left_more, right_more = more
     queries = queries.select(*keys, "id", "x", *left_more).where(F.col("x").isNotNull())
@@ -175,7 +176,7 @@ def tiles(queries: DataFrame, bank: DataFrame, fold: Callable[[Side], object], f
     heads = [queries.schema[k] for k in keys]
     schema = T.StructType([*heads, *fields])
     arrow = to_arrow_schema(schema)
-    left, right = _dealt(queries, bank, keys, block)
+    left, right = _dealt(queries, bank, keys, block, sized)
     group = ["__bin", *_own(keys), "__q", "__b"]
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -353,10 +354,10 @@ class _Covered:
         return np.arange(len(self.ids)), [self.ids, self.hit]
 
 
-def covered(probes: DataFrame, balls: DataFrame, *, keys: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
-    """keys, id, hit: whether a probe lies in some ball (x, r), the surface included."""
+def covered(probes: DataFrame, balls: DataFrame, *, keys: tuple[str, ...] = (), block: int | None = None, sized: DataFrame | None = None) -> DataFrame:
+    """keys, id, hit: whether a probe lies in some ball (x, r), the surface included. sized: see tiles()."""
     fields = [T.StructField("id", probes.schema["id"].dataType), T.StructField("hit", T.BooleanType())]
-    found = tiles(probes, balls, _Covered, fields, metric="l2", keys=keys, more=([], ["r"]), block=block)
+    found = tiles(probes, balls, _Covered, fields, metric="l2", keys=keys, more=([], ["r"]), block=block, sized=sized)
     every = probes.select(*keys, "id", F.lit(False).alias("hit"))  # also those that no ball can meet
     return found.unionByName(every).groupBy(*keys, "id").agg(F.bool_or("hit").alias("hit"))
 

@@ -37,11 +37,12 @@ def a02b(spark, sf):
     return a.join(b, "i").agg(F.round(F.sum((F.col("gen") - F.col("real")) ** 2), 8).alias("gap"))
 
 
-@query("a03_kid", """, d AS (SELECT * FROM (SELECT s, id, side, x, row_number() OVER (PARTITION BY s, side ORDER BY md5(s || ':' || id), id) AS k FROM features, generate_series(0, 4) AS g(s)) WHERE k <= 50),
+@query("a03_kid", """, z AS (SELECT least(1000, min(c)) AS m FROM (SELECT count(*) AS c FROM features GROUP BY side)),
+d AS (SELECT * FROM (SELECT s, id, side, x, row_number() OVER (PARTITION BY s, side ORDER BY md5(s || ':' || id), id) AS k FROM features, generate_series(0, 99) AS g(s)) WHERE k <= (SELECT m FROM z)),
 k AS (SELECT a.s, a.side AS p, b.side AS q, sum((list_inner_product(a.x, b.x) / 64 + 1) ** 3) AS v FROM d a JOIN d b ON a.s = b.s AND (a.side <> b.side OR a.id <> b.id) GROUP BY ALL)
-SELECT round(sum(CASE WHEN p = q THEN v / 49 ELSE -v / 50 END) / (5 * 50), 8) AS kid FROM k""", "features")
+SELECT round(sum(CASE WHEN p = q THEN v / (m - 1) ELSE -v / m END) / (100 * any_value(m)), 8) AS kid FROM k, z""", "features")
 def a03(spark, sf):
-    return M.kernel_distance(X.features(spark, sf), subsets=5, m=50).select(r("kid", 8))
+    return M.kernel_distance(X.features(spark, sf), subsets=100, m=1000).select(r("kid", 8))
 
 
 @query("a04_inception_score", """, o AS (SELECT p, row_number() OVER (ORDER BY ord) - 1 AS k, count(*) OVER () AS n FROM probs), s AS (SELECT p, i FROM o, generate_series(0, 4) AS g(i) WHERE k >= i * n // 5 AND k < (i + 1) * n // 5),
@@ -206,7 +207,7 @@ def j08(spark, sf):
     f = X.features(spark, sf)
     real = f.where("side = 'real'")
     balls = real.join(tiles.radius(real, 3, keys=("label",)), ["label", "id"])
-    return tiles.covered(f.where("side = 'gen'"), balls, keys=("label",)).select("id", "hit")
+    return tiles.covered(f.where("side = 'gen'"), balls, keys=("label",), sized=real).select("id", "hit")
 
 
 @query("j09_batch_cosine", ", p AS (SELECT id, id // 16 AS batch, x FROM features) SELECT u.batch, u.id, v.id AS other, round(list_cosine_similarity(u.x, v.x), 6) AS s FROM p u JOIN p v ON u.batch = v.batch", "features")
