@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -199,38 +201,60 @@ def mixed_strategy(key: str, seed: int, share: float = 0.75) -> Column:
     return F.when(u < share, "block").otherwise("random")
 
 
-def multiblock_masks(ids: DataFrame, key: str, *, grid: tuple[int, int] = (14, 14), seed: int = 0, targets: int = 4, min_keep: int = 10, tries: int = 20) -> DataFrame:
-    """key, context, targets: blocks of random size and place on a grid; the context block excludes the targets, and that is given up for target after target when a block cannot be placed (D9). A block of `min_keep` patches or fewer is no mask: if the grid's blocks can be that small, the sizes are refused."""
+def block_size(u: float, grid: tuple[int, int], scale: tuple[float, float], aspect: tuple[float, float]) -> tuple[int, int]:
+    """Height and width of a block: one number u in 0 to 1 sets both its share of the grid and its aspect; a side is less than the grid's."""
+    area = int(grid[0] * grid[1] * (scale[0] + u * (scale[1] - scale[0])))
+    ratio = aspect[0] + u * (aspect[1] - aspect[0])
+    return min(grid[0] - 1, round((area * ratio) ** 0.5)), min(grid[1] - 1, round((area / ratio) ** 0.5))
+
+
+def multiblock_masks(ids: DataFrame, key: str, *, batch: int = 64, grid: tuple[int, int] = (14, 14), seed: int = 0, targets: int = 4, contexts: int = 1, min_keep: int = 10, timeout: int = 20, target_scale: tuple[float, float] = (0.15, 0.2), aspect: tuple[float, float] = (0.75, 1.5), context_scale: tuple[float, float] = (0.85, 1.0), overlap: bool = False) -> DataFrame:
+    """key, batch, contexts, targets: patches of blocks on a grid, ascending.
+
+    `batch` keys in order make a batch, whose size of target blocks and of context blocks are drawn once; places are drawn for each
+    block, the last row and column excluded. A context block leaves out the targets' patches unless overlap; after `timeout` places
+    that leave min_keep patches or fewer, it stops leaving out the last target, and so on. All masks of a batch are cut to its
+    least. Draws are hashes of the seed with the batch, or with the key, block and attempt. Sizes that can come to min_keep
+    patches or fewer are refused at once."""
     h, w = grid
+    least = min(math.prod(block_size(u / 4096, grid, *x)) for u in range(4097) for x in ((target_scale, aspect), (context_scale, (1.0, 1.0))))
+    if least <= min_keep:
+        raise ValueError(f"a block can have {least} patches, no more than {min_keep}: take a larger grid or a smaller min_keep")
 
-    def block(rng: np.random.Generator, scale: tuple[float, float], aspect: tuple[float, float]) -> tuple[int, int]:
-        cells = int(h * w * rng.uniform(*scale))
-        a = rng.uniform(*aspect)
-        return max(1, min(h - 1, round((cells * a) ** 0.5))), max(1, min(w - 1, round((cells / a) ** 0.5)))
+    def draw(tag: str) -> float:
+        return int(hashlib.md5(f"{seed}:{tag}".encode()).hexdigest()[:8], 16) / (1 << 32)
 
-    def place(rng: np.random.Generator, size: tuple[int, int], allowed: list[np.ndarray]) -> np.ndarray:
-        for attempt in range(tries * (len(allowed) + 1)):
+    def place(tag: str, size: tuple[int, int], others: list[np.ndarray]) -> np.ndarray:
+        for attempt in range(timeout * (len(others) + 1)):
             mask = np.zeros(grid, bool)
-            top, left = rng.integers(0, h - size[0] + 1), rng.integers(0, w - size[1] + 1)
+            top, left = int(draw(f"{tag}:{attempt}:y") * (h - size[0])), int(draw(f"{tag}:{attempt}:x") * (w - size[1]))
             mask[top : top + size[0], left : left + size[1]] = True
-            for other in allowed[: max(0, len(allowed) - attempt // tries)]:
-                mask &= other
+            for other in others[: len(others) - attempt // timeout]:
+                mask &= ~other
             if mask.sum() > min_keep:
-                return mask
-        raise ValueError(f"a block of {size[0]} x {size[1]} patches never has more than {min_keep}: take a larger grid or a smaller min_keep")
+                break
+        return mask
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             rows = []
-            for k in frame[key]:
-                rng = np.random.default_rng([seed, int(k)])
-                size = block(rng, (0.15, 0.2), (0.75, 1.5))
-                found = [place(rng, size, []) for _ in range(targets)]
-                context = place(rng, block(rng, (0.85, 1.0), (1.0, 1.0)), [~t for t in found])
-                rows.append((k, np.flatnonzero(context).tolist(), [np.flatnonzero(t).tolist() for t in found]))
-            yield pd.DataFrame(rows, columns=[key, "context", "targets"])
-
-    return ids.select(key).mapInPandas(run, f"{key} long, context array<int>, targets array<array<int>>")
+            for k, b in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
+                sizes = [block_size(draw(f"{b}:{n}"), grid, *x) for n, x in (("target", (target_scale, aspect)), ("context", (context_scale, (1.0, 1.0))))]
+                found = [place(f"{k}:t{i}", sizes[0], []) for i in range(targets)]
+                rest = [place(f"{k}:c{i}", sizes[1], [] if overlap else found) for i in range(contexts)]
+                rows.append([[np.flatnonzero(m).tolist() for m in ms] for ms in (rest, found)])
+            lists = pa.list_(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*frame.columns, *[pa.array([r[i] for r in rows], lists) for i in range(2)]], names=[key, "batch", "contexts", "targets"])
+
+    rows = batches(ids.select(key), key, batch)
+    made = rows.mapInArrow(run, f"{key} {ids.schema[key].dataType.simpleString()}, batch long, contexts array<array<int>>, targets array<array<int>>")
+
+    def trimmed(name: str) -> tuple[Column, Column]:
+        least = F.min(F.array_min(F.transform(name, F.size))).over(W.partitionBy("batch"))
+        return F.transform(name, lambda m: F.slice(m, 1, F.col(f"__{name}"))).alias(name), least
+
+    found = {n: trimmed(n) for n in ("contexts", "targets")}
+    return made.withColumns({f"__{n}": x[1] for n, x in found.items()}).select(key, "batch", *[x[0] for x in found.values()])
 
 
 def packed_names(items: DataFrame, labels: DataFrame, idx: str = "idx") -> DataFrame:

@@ -115,7 +115,25 @@ def d08(spark, sf):
     return M.random_subsets(X.features(spark, sf).select("id", "side"), "id", 5, 50, ("side",)).select(F.col("subset").cast("long").alias("subset"), "id", "side")
 
 
-@query("d09_multiblock")
+def _drawn(tag: str) -> str:
+    return f"('0x' || substr(md5('0:' || {tag}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+def _size(low: str, high: str, a: str, b: str, u: str, op: str) -> str:
+    area, ratio = f"floor(196 * ({low}::DOUBLE + {u} * ({high}::DOUBLE - {low}::DOUBLE)))", f"({a}::DOUBLE + {u} * ({b}::DOUBLE - {a}::DOUBLE))"
+    return f"least(13, round(sqrt({area} {op} {ratio})))::INT"
+
+
+_IN = "p // 14 >= {0}.y AND p // 14 < {0}.y + {0}.h AND p % 14 >= {0}.x AND p % 14 < {0}.x + {0}.w"
+
+
+@query("d09_multiblock", f""", b AS (SELECT idx, (row_number() OVER (ORDER BY idx) - 1) // 64 AS batch FROM manifest), u AS (SELECT batch, {_drawn("batch || ':target'")} AS t, {_drawn("batch || ':context'")} AS c FROM (SELECT DISTINCT batch FROM b)),
+z AS (SELECT batch, {_size("0.15", "0.2", "0.75", "1.5", "t", "*")} AS th, {_size("0.15", "0.2", "0.75", "1.5", "t", "/")} AS tw, {_size("0.85", "1.0", "1.0", "1.0", "c", "*")} AS ch, {_size("0.85", "1.0", "1.0", "1.0", "c", "/")} AS cw FROM u),
+t AS (SELECT idx, batch, ch, cw, list({{'y': floor({_drawn("idx || ':t' || i || ':0:y'")} * (14 - th))::INT, 'x': floor({_drawn("idx || ':t' || i || ':0:x'")} * (14 - tw))::INT, 'h': th, 'w': tw}} ORDER BY i) AS ts FROM b JOIN z USING (batch), generate_series(0, 3) AS g(i) GROUP BY ALL),
+c AS (SELECT idx, a, ts[1:4 - a // 20] AS ts, {{'y': floor({_drawn("idx || ':c0:' || a || ':y'")} * (14 - ch))::INT, 'x': floor({_drawn("idx || ':c0:' || a || ':x'")} * (14 - cw))::INT, 'h': ch, 'w': cw}} AS k FROM t, generate_series(0, 99) AS g(a)),
+m AS (SELECT idx, a, list_filter(range(0, 196), lambda p: {_IN.format("k")} AND len(list_filter(ts, lambda q: {_IN.format("q")})) = 0) AS cells FROM c),
+o AS (SELECT idx, arg_min(cells, a) AS cells FROM m WHERE len(cells) > 10 GROUP BY idx)
+SELECT idx, batch, [cells[1:min(len(cells)) OVER (PARTITION BY batch)]] AS contexts, list_transform(ts, lambda q: list_filter(range(0, 196), lambda p: {_IN.format("q")})) AS targets FROM t JOIN o USING (idx)""", "manifest")
 def d09(spark, sf):
     return M.multiblock_masks(X.manifest(spark, sf), "idx")
 

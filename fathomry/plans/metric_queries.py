@@ -25,9 +25,42 @@ def a01(spark, sf):
     return G.covariance(G.merged(G.partial(X.features(spark, sf)))).select("side", "i", "j", r("mean_i", 8), r("cov", 8))
 
 
-@query("a02_frechet")
+def _times(a: str, b: str) -> str:
+    """The product of a matrix with a symmetric one, both lists of rows."""
+    return f"list_transform({a}, lambda r: list_transform({b}, lambda c: list_inner_product(r, c)))"
+
+
+def _trace(a: str) -> str:
+    return f"list_sum(list_transform({a}, lambda r, i: r[i]))"
+
+
+def _root(name: str, source: str) -> str:
+    """CTEs for the square root of the symmetric matrix m of a one-row table: coupled Newton-Schulz steps on m over its norm."""
+    half = f"list_transform({_times('z', 'y')}, lambda r, i: list_transform(r, lambda v, j: (CASE WHEN i = j THEN 3 ELSE 0 END - v) / 2))"
+    return f"""{name}_n AS (SELECT m, sqrt(list_sum(list_transform(m, lambda r: list_inner_product(r, r)))) AS norm FROM {source}),
+{name}_s AS (SELECT 0 AS k, list_transform(m, lambda r: list_transform(r, lambda v: v / norm)) AS y, list_transform(m, lambda r, i: list_transform(r, lambda v, j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END)) AS z FROM {name}_n
+UNION ALL SELECT k + 1, {_times('y', 't')}, {_times('t', 'z')} FROM (SELECT *, {half} AS t FROM {name}_s WHERE k < 45)),
+{name} AS (SELECT list_transform(y, lambda r: list_transform(r, lambda v: v * sqrt(norm))) AS m FROM {name}_s, {name}_n WHERE k = 45)"""
+
+
+_LISTED = ", rows_ AS (SELECT c.side, c.i, list(g - a.mean * b.mean ORDER BY c.j) AS row FROM c JOIN m a ON a.side = c.side AND a.i = c.i JOIN m b ON b.side = c.side AND b.i = c.j GROUP BY ALL), cv AS (SELECT side, list(row ORDER BY i) AS m FROM rows_ GROUP BY side)"
+
+
+def _frechet(digits: int) -> str:
+    return (
+        _COV
+        + _LISTED
+        + ", ca AS (SELECT m FROM cv WHERE side = 'gen'), "
+        + _root("ra", "ca")
+        + f", mid AS (SELECT {_times(_times('ra.m', 'cv.m'), 'ra.m')} AS m FROM ra, cv WHERE side = 'real'), "
+        + _root("rm", "mid")
+        + f" SELECT round((SELECT sum((a.mean - b.mean) ** 2) FROM m a JOIN m b ON a.i = b.i WHERE a.side = 'gen' AND b.side = 'real') + (SELECT sum({_trace('m')}) FROM cv) - 2 * (SELECT {_trace('m')} FROM rm), {digits}) AS frechet"
+    )
+
+
+@query("a02_frechet", _frechet(6), "features")
 def a02(spark, sf):
-    return G.frechet_distance(X.features(spark, sf))
+    return G.frechet_distance(X.features(spark, sf)).select(r("frechet"))
 
 
 @query("a02b_mean_gap", _COV + " SELECT round(sum((a.mean - b.mean) ** 2), 8) AS gap FROM m a JOIN m b ON a.i = b.i WHERE a.side = 'gen' AND b.side = 'real'", "features")
@@ -100,12 +133,24 @@ def a14(spark, sf):
     return out.select(r("top1"), r("top5"))
 
 
-@query("a15_linear_probe")
+_PROBE = f""", tr AS (SELECT list(list_prepend(1.0::DOUBLE, x) ORDER BY id) AS xs, list(label ORDER BY id) AS ys, max(label) + 1 AS c FROM features WHERE id % 5 <> 0),
+xt AS (SELECT *, list_transform(range(1, 66), lambda i: list_transform(xs, lambda v: v[i])) AS xt, list_transform(range(0, c), lambda k: list_transform(range(1, 66), lambda i: 0.0::DOUBLE)) AS zero FROM tr),
+gd AS (SELECT 0 AS k, zero AS w, zero AS v FROM xt
+UNION ALL SELECT k + 1, list_transform(w, lambda a, i: list_transform(a, lambda b, j: b + n[i][j])), n FROM (
+  SELECT k, w, list_transform(v, lambda a, i: list_transform(a, lambda b, j: 0.9 * b - list_inner_product(rt[i], xt[j]) / len(xs))) AS n, xt FROM (
+    SELECT k, w, v, xs, xt, list_transform(range(1, c + 1), lambda i: list_transform(p, lambda q, n: q[i] / list_sum(q) - (ys[n] = i - 1)::INT)) AS rt FROM (
+      SELECT *, list_transform({_times('xs', 'w')}, lambda z: list_transform(z, lambda u: exp(u))) AS p FROM gd, xt WHERE k < 10)))),
+te AS (SELECT k AS epochs, label, list_transform(w, lambda a: list_inner_product(a, list_prepend(1.0::DOUBLE, x))) AS z FROM gd, features WHERE k IN (2, 5, 10) AND id % 5 = 0),
+ah AS (SELECT epochs, list_sum(list_transform(z, lambda u, i: (u > z[label + 1] OR u = z[label + 1] AND i <= label)::INT)) AS ahead FROM te)
+SELECT epochs, round(avg((ahead < 1)::INT), 6) AS top1, round(avg((ahead < 5)::INT), 6) AS top5 FROM ah GROUP BY epochs"""
+
+
+@query("a15_linear_probe", _PROBE, "features")
 def a15(spark, sf):
     from ..operators.probe import linear_probe
 
     f = X.features(spark, sf)
-    return linear_probe(f.where("id % 5 <> 0"), f.where("id % 5 = 0"), epochs=(2, 5, 10))
+    return linear_probe(f.where("id % 5 <> 0"), f.where("id % 5 = 0"), epochs=(2, 5, 10)).select("epochs", r("top1"), r("top5"))
 
 
 @query("a17_contrastive_accuracy", """, p AS (SELECT a.id // 2 AS id, a.id // 2 // 16 AS batch, a.x AS a, b.x AS b FROM features a JOIN features b ON b.id = a.id + 1 WHERE a.id % 2 = 0),
@@ -122,9 +167,19 @@ def a18(spark, sf):
     return G.covariance(G.merged(G.partial(X.features(spark, sf))), sample=True).select("side", "i", "j", r("cov", 8))
 
 
-@query("a19_descriptors")
+_DESCRIBED = f""", l AS (SELECT id, i, x[i] AS v FROM features, unnest(generate_series(1, 64)) AS g(i)), c AS (SELECT a.i, b.i AS j, corr(a.v, b.v) AS r, sum(a.v * b.v) AS g FROM l a JOIN l b ON a.id = b.id GROUP BY ALL), s AS (SELECT i, stddev_samp(v) AS d FROM l GROUP BY i),
+g AS (SELECT list(row ORDER BY i) AS m FROM (SELECT i, list(g ORDER BY j) AS row FROM c GROUP BY i)),
+pw AS (SELECT 0 AS k, m AS p FROM g UNION ALL SELECT k + 1, list_transform(q, lambda r: list_transform(r, lambda v: v / t)) FROM (SELECT k, q, {_trace('q')} AS t FROM (SELECT k, {_times('p', 'p')} AS q FROM pw WHERE k < 14))),
+el AS (SELECT 1 AS k, list_transform(m, lambda r, i: list_transform(r, lambda v, j: v - CASE WHEN i = j THEN 0.01 ELSE 0 END)) AS m, 0 AS n FROM g
+UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i <= k THEN r ELSE list_transform(r, lambda v, j: v - r[k] / m[k][k] * m[k][j]) END), n + (m[k][k] > 0)::INT FROM el WHERE k <= 64),
+o AS (SELECT round(avg(abs(r)), 6) AS mean_corr FROM c WHERE i <> j)
+SELECT mean_corr, mean_corr AS nansafe_corr, (SELECT n FROM el WHERE k = 65)::BIGINT AS rank, (SELECT n / least(64, (SELECT count(*) FROM features)) FROM el WHERE k = 65) AS rank_ratio, round((SELECT avg(d) FROM s), 6) AS mean_std,
+round((SELECT {_trace(_times('m', 'p'))} / {_trace('p')} / {_trace('m')} FROM g, pw WHERE k = 14), 6) AS anisotropy FROM o"""
+
+
+@query("a19_descriptors", _DESCRIBED, "features")
 def a19(spark, sf):
-    return G.descriptors(X.features(spark, sf))
+    return G.descriptors(X.features(spark, sf)).select(r("mean_corr"), r("nansafe_corr"), "rank", "rank_ratio", r("mean_std"), r("anisotropy"))
 
 
 @query("a19b_mean_correlation", ", l AS (SELECT id, i, x[i] AS v FROM features, unnest(generate_series(1, 64)) AS g(i)), c AS (SELECT a.i, b.i AS j, corr(a.v, b.v) AS r FROM l a JOIN l b ON a.id = b.id WHERE a.i <> b.i GROUP BY ALL), s AS (SELECT i, stddev_samp(v) AS d FROM l GROUP BY i) SELECT round((SELECT avg(abs(r)) FROM c), 6) AS mean_corr, round((SELECT avg(abs(r)) FROM c), 6) AS nansafe_corr, round((SELECT avg(d) FROM s), 6) AS mean_std", "features")
@@ -279,9 +334,9 @@ def x01(spark, sf):
     return M.registered("mean_norm")(X.features(spark, sf)).select("side", r("mean_norm"))
 
 
-@query("x03_preset_fid10k")
+@query("x03_preset_fid10k", _frechet(6), "features")
 def x03(spark, sf):
-    return M.compute("fid10k_full", X.features(spark, sf))
+    return M.compute("fid10k_full", X.features(spark, sf)).select(r("frechet"))
 
 
 @query("x05_row_transform", "SELECT id, label, list_transform(x, lambda v: round(v / sqrt(list_sum(list_transform(x, lambda u: u * u))), 6)) AS x FROM features", "features")

@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None, uses: str = "") -> Callable[[Query]
 
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = ("WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in uses.split()) + "\n" if uses else "") + sql
+            ORACLES[name] = ("WITH RECURSIVE " + ", ".join(f"{n} AS ({SQL[n]})" for n in uses.split()) + "\n" if uses else "") + sql
         return f
 
     return add

@@ -68,11 +68,26 @@ def test_checks(spark):
 
 
 def test_multiblock(spark):
-    rows = manifest.multiblock_masks(spark.range(20).withColumnRenamed("id", "idx"), "idx").collect()
-    again = manifest.multiblock_masks(spark.range(20).repartition(7).withColumnRenamed("id", "idx"), "idx").collect()
-    assert sorted(rows) == sorted(again)
-    for r in rows:
-        assert len(r.targets) == 4 and len(r.context) > 10 and not set(r.context) & {c for t in r.targets for c in t}
+    ids = spark.range(20).withColumnRenamed("id", "idx")
+    rows = sorted(manifest.multiblock_masks(ids, "idx", batch=6).collect())
+    assert rows == sorted(manifest.multiblock_masks(ids.repartition(7), "idx", batch=6).collect())
+    for b in range(4):
+        mine = [r for r in rows if r.batch == b]
+        assert len(mine) == (6, 6, 6, 2)[b] and {r.idx // 6 for r in mine} == {b}
+        assert len({len(t) for r in mine for t in r.targets}) == 1 and len({len(c) for r in mine for c in r.contexts}) == 1  # one size, and one length after trimming
+        for r in mine:
+            assert len(r.targets) == 4 and len(r.contexts) == 1 and len(r.contexts[0]) > 10
+            assert not set(r.contexts[0]) & {c for t in r.targets for c in t} and all(max(c // 14 for c in t) < 13 and max(c % 14 for c in t) < 13 for t in r.targets)
+    assert len({len(r.targets[0]) for r in rows}) > 1
+    both = manifest.multiblock_masks(ids, "idx", contexts=2, overlap=True).first()
+    assert len(both.contexts) == 2 and set(both.contexts[0]) & {c for t in both.targets for c in t}
+
+
+def test_contexts_give_up_targets_when_they_must(spark):
+    ids = spark.range(12).withColumnRenamed("id", "idx")
+    rows = manifest.multiblock_masks(ids, "idx", targets=9, min_keep=24, context_scale=(0.2, 0.25), timeout=2).collect()
+    assert all(len(r.contexts[0]) > 24 for r in rows)
+    assert any(set(r.contexts[0]) & {c for t in r.targets for c in t} for r in rows)
 
 
 def test_stream_equals_batch(spark, sf):

@@ -193,9 +193,9 @@ def test_descriptors_of_a_constant_column(spark):
 def test_small_grids_are_refused(spark):
     ids = spark.range(5).withColumnRenamed("id", "k")
     found = manifest.multiblock_masks(ids, "k").collect()
-    assert all(len(r.context) > 10 and all(len(t) > 10 for t in r.targets) for r in found)
-    with pytest.raises(Exception, match="larger grid"):
-        manifest.multiblock_masks(ids, "k", grid=(6, 6)).collect()
+    assert all(len(c) > 10 for r in found for c in (*r.contexts, *r.targets))
+    with pytest.raises(ValueError, match="larger grid"):
+        manifest.multiblock_masks(ids, "k", grid=(6, 6))
 
 
 def test_keys_of_arguments(spark):
@@ -273,3 +273,26 @@ def test_tiles_of_empty_sides(spark, cloud):
     df = frame(spark, cloud)
     assert tiles.nearest(df, df.limit(0), 3).count() == 0 and tiles.nearest(df.limit(0), df, 3).count() == 0
     assert {t.hit for t in tiles.covered(df, df.limit(0).withColumn("r", F.lit(1.0))).collect()} == {False}
+
+
+def test_linear_probe_equals_numpy(spark):
+    from fathomry.operators.probe import linear_probe
+
+    r = np.random.default_rng(8)
+    y = r.integers(0, 4, 300)
+    x = r.standard_normal((300, 5)) + np.eye(5)[y] * 1.5
+    rows = [(v.tolist(), int(k)) for v, k in zip(x, y)]
+    df = spark.createDataFrame(rows + [(None, 1), ([0.0] * 5, None)], "x array<double>, label int")
+    held = spark.createDataFrame(rows[:100] + [([0.0] * 5, 9)], "x array<double>, label int")
+    got = {t.epochs: (t.top1, t.top5) for t in linear_probe(df.repartition(3), held, epochs=(1, 4, 20)).collect()}
+    a, w = np.c_[np.ones(300), x], np.zeros((4, 6))
+    v = np.zeros_like(w)
+    for n in range(1, 21):
+        p = np.exp(a @ w.T)
+        p = p / p.sum(1, keepdims=True) - np.eye(4)[y]
+        v = 0.9 * v - p.T @ a / 300
+        w = w + v
+        if n in got:
+            assert np.allclose(got[n], [((a[:100] @ w.T).argmax(1) == y[:100]).sum() / 101, 100 / 101])
+    assert sorted(got) == [1, 4, 20] and got[20][0] > got[1][0] - 0.05
+    assert linear_probe(df.limit(0), held, epochs=(1,)).count() == 0
