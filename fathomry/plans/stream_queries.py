@@ -25,21 +25,33 @@ def folder(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/streams-{uuid.uuid4().hex}"
 
 
-def source(spark: SparkSession, sf: str, files: int = 3) -> tuple[DataFrame, str]:
-    """Telemetry as a folder of JSON lines in order of time, and the stream that tails it."""
+#: Files that a stream reads, one to a trigger.
+FILES = 12
+
+
+def source(spark: SparkSession, sf: str, files: int = FILES) -> tuple[DataFrame, str]:
+    """Telemetry as a folder of JSON lines, one file for each stretch of time, written in order, and the stream that tails it, one file to a trigger."""
     root = folder(spark)
     rows = X.telemetry(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    rows.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.json(f"{root}/in")
-    return S.tail(spark, f"{root}/in", SCHEMA, files), root
+    rows.write.parquet(f"{root}/rows")
+    rows = spark.read.schema(rows.schema).parquet(f"{root}/rows")
+    cuts = rows.select(F.unix_micros("ts").alias("t")).agg(F.percentile_approx("t", [i / files for i in range(1, files)], 10_000)).first()[0]
+    for a, b in zip([None, *cuts], [*cuts, None]):
+        t = F.unix_micros("ts")
+        part = rows.where((F.lit(True) if a is None else t > a) & (F.lit(True) if b is None else t <= b))
+        part.coalesce(1).write.mode("append").json(f"{root}/in")
+    return S.tail(spark, f"{root}/in", SCHEMA, 1), root
 
 
 def run(stream: DataFrame, root: str) -> DataFrame:
     return S.drained(stream, f"{root}/out", f"{root}/state")
 
 
-@query("t01_windowed_moments", ", w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, name, value FROM telemetry) SELECT start, name, count(value) AS num, round(avg(value), 6) AS mean FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM telemetry) - INTERVAL 10 MINUTE GROUP BY ALL", "telemetry")
+@query("t01_windowed_moments", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, name, count(value) AS num, round(avg(value), 6) AS mean FROM telemetry GROUP BY ALL", "telemetry")
 def t01(spark, sf):
     rows, root = source(spark, sf)
+    last = X.telemetry(spark, sf).agg(F.max("ts").cast("timestamp") + F.expr("INTERVAL 3 DAYS")).first()[0]
+    S.close_stream(spark, f"{root}/in", last)
     out = run(S.windowed_moments(rows, "1 day"), root)
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "name", "num", F.round("mean", 6).alias("mean"))
 
@@ -91,9 +103,11 @@ def t08(spark, sf):
     return run(S.alerting(bad).select("run", "step"), root)
 
 
-@query("t09_resume", "SELECT run, name, count(*) AS n FROM telemetry GROUP BY ALL", "telemetry")
+@query("t09_resume", ", l AS (SELECT run, name, list(value ORDER BY step) AS v FROM telemetry GROUP BY ALL) SELECT run, name, len(v) AS n, round(list_reduce(list_transform(v, lambda x, i: {'x': x, 'i': (i - 1)::DOUBLE}), lambda a, b: {'x': b.x + (a.x - b.x) * least(0.9, (b.i + 1) / (b.i + 10)), 'i': b.i}).x, 6) AS ema FROM l", "telemetry")
 def t09(spark, sf):
     rows, root = source(spark, sf)
-    plain = rows.select("run", "name", "step")
-    run(plain, root)
-    return run(plain, root).groupBy("run", "name").agg(F.count(F.lit(1)).alias("n"))
+    averages = S.averaged(rows, ["run", "name"], 0.9)
+    done = S.run_some(averages, f"{root}/out", f"{root}/state", FILES // 2)
+    if not 0 < done < FILES:
+        raise ValueError("the stream was to stop half way")
+    return run(averages, root).groupBy("run", "name").agg(F.count(F.lit(1)).alias("n"), F.round(F.max_by("ema", "step"), 6).alias("ema"))

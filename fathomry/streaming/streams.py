@@ -1,19 +1,24 @@
 """Structured Streaming forms of the telemetry operators (T1 to T9). Each agrees with its batch form on the same rows.
 
-Event time is the record's timestamp; rows later than the watermark are dropped, never folded again. Order inside a
-micro-batch is (ts, step) for each key; across micro-batches it is arrival. Resuming (T9) is the query's checkpoint folder.
+Event time is the record's timestamp; rows later than the watermark are dropped, never folded again. Order inside a trigger is
+(ts, step) for each key; across triggers it is arrival. Folds keep a small state for each key in the state store, and take a key's
+rows of one trigger as three arrays, folded by prefixes and sliding windows rather than row by row; how much a trigger reads is a
+parameter of `tail`. Resuming (T9) is the query's checkpoint folder.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.scans import affine_prefixes, clip_prefixes
 from ..operators.telemetry import alerts, finite
 
 LATE = "10 minutes"
@@ -25,81 +30,133 @@ def tail(spark: SparkSession, path: str, schema: str, files_each: int = 1) -> Da
 
 
 def windowed_moments(rows: DataFrame, every: str, *, late: str = LATE) -> DataFrame:
-    """start, name, num, mean, std of each window of event time."""
+    """start, name, num, mean, std of each window of event time (T1). The mark of close_stream() lets the last windows out and is itself left out."""
     v = finite("value")
-    out = rows.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "name").agg(F.count(v).alias("num"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    out = rows.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "name").agg(F.count(v).alias("num"), F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.count("name").alias("named"))
     mean = F.col("s") / F.col("num")
-    return out.select(F.col("w.start").alias("start"), "name", "num", mean.alias("mean"), F.when(F.col("num") > 0, F.sqrt(F.greatest(F.col("q") / F.col("num") - mean * mean, F.lit(0.0)))).alias("std"))
+    std = F.when(F.col("num") > 0, F.sqrt(F.greatest(F.col("q") / F.col("num") - mean * mean, F.lit(0.0))))
+    out = out.where("named > 0")  # not by name, which the optimizer would move below the watermark
+    return out.select(F.col("w.start").alias("start"), "name", "num", mean.alias("mean"), std.alias("std"))
 
 
-def _folded(rows: DataFrame, keys: list[str], start: tuple, state: str, out: str, step: Callable[[tuple, Any], tuple[tuple, tuple | None]]) -> DataFrame:
-    """keys and what step returns for each row in order; the state of a key is a small tuple."""
+def close_stream(spark: SparkSession, path: str, at: Any) -> None:
+    """Ends a folder that is tailed: two records with nothing but a timestamp, later than all windows. The first moves the watermark past them, the second makes the trigger that lets them out."""
+    for _ in range(2):
+        spark.createDataFrame([(at,)], "ts timestamp").coalesce(1).write.mode("append").json(path)
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = held.get if held.exists else start
-        found = []
-        for r in pd.concat(frames).sort_values(["ts", "step"]).itertuples():
-            now, row = step(now, r)
-            if row is not None:
-                found.append((*key, *row))
-        held.update(now)
-        if found:
-            yield pd.DataFrame(found, columns=names)
 
+Fold = Callable[[Any, np.ndarray, np.ndarray], tuple[Any, dict[str, Any]]]
+
+
+class _Series(StatefulProcessor):
+    """Folds the rows of a key, trigger by trigger. state: a row's schema for one small row, or of an element for a short list."""
+
+    def __init__(self, keys: list[str], state: str, listed: bool, start: tuple, fold: Fold) -> None:
+        self.keys, self.schema, self.listed, self.start, self.fold = keys, state, listed, start, fold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = (handle.getListState if self.listed else handle.getValueState)("state", self.schema)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        parts = [[p[c].to_numpy() for c in ("ts", "step", "value")] for p in rows]
+        ts, step, value = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((step, ts))
+        if self.listed:
+            held = np.array([r[0] for r in self.state.get()], float) if self.state.exists() else np.zeros(0)
+        else:
+            held = tuple(self.state.get()) if self.state.exists() else self.start
+        held, out = self.fold(held, step[order], value[order].astype(float))
+        if self.listed:
+            self.state.put([(float(v),) for v in held])
+        else:
+            self.state.update(held)
+        found = pd.DataFrame(out)
+        for i, k in enumerate(self.keys):
+            found.insert(i, k, pd.Series([key[i]] * len(found), dtype=object if key[i] is None else None))
+        if len(found):
+            yield found
+
+    def close(self) -> None:
+        pass
+
+
+def _folded(rows: DataFrame, keys: list[str], out: str, fold: Fold, *, state: str, start: tuple = (), listed: bool = False) -> DataFrame:
+    """keys and what fold returns for the rows of a trigger in order, given the key's state."""
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
-    names = [*keys, *[c.split()[0] for c in out.split(", ")]]
-    return rows.groupBy(*keys).applyInPandasWithState(run, f"{kinds}, {out}", state, "append", GroupStateTimeout.NoTimeout)
+    wanted = rows.select(*keys, "ts", "step", "value")
+    return wanted.groupBy(*keys).transformWithStateInPandas(_Series(keys, state, listed, start, fold), f"{kinds}, {out}", "Append", "None")
+
+
+def _windows(near: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The last `size` values up to each, behind values that come before; how many of them there are; and the last size - 1 of all."""
+    every = np.r_[near, values]
+    padded = np.r_[np.full(size - 1, np.nan), every]
+    seen = np.minimum(size, len(near) + 1 + np.arange(len(values)))
+    return np.lib.stride_tricks.sliding_window_view(padded, size)[len(near) :], seen, every
 
 
 def smoothed(rows: DataFrame, keys: list[str], size: int = 20) -> DataFrame:
     """keys, step, median (lower), mean, most of the last `size` values."""
 
-    def step(now: tuple, r: Any) -> tuple[tuple, tuple]:
-        near = [*now[0], r.value][-size:]
-        return (near,), (r.step, sorted(near)[(len(near) - 1) // 2], sum(near) / len(near), max(near))
+    def fold(near: np.ndarray, step: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, dict]:
+        windows, seen, every = _windows(near, value, size)
+        median, mean, most = (np.empty(len(value)) for _ in range(3))
+        for a in range(0, len(value), 50_000):
+            w, n = windows[a : a + 50_000], seen[a : a + 50_000]
+            there = np.arange(size) >= size - n[:, None]
+            ordered = np.sort(np.where(there, w, np.inf), axis=1)
+            at = np.arange(len(n))
+            median[a : a + len(n)], most[a : a + len(n)] = ordered[at, (n - 1) // 2], ordered[at, n - 1]
+            mean[a : a + len(n)] = np.where(there, w, 0.0).sum(axis=1) / n
+        return every[max(0, len(every) - size + 1) :], {"step": step, "median": median, "mean": mean, "most": most}
 
-    return _folded(rows, keys, ([],), "near array<double>", "step long, median double, mean double, most double", step)
+    return _folded(rows, keys, "step long, median double, mean double, most double", fold, state="x double", listed=True)
 
 
 def records(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, step, best: rows strictly below all before."""
 
-    def step(now: tuple, r: Any) -> tuple[tuple, tuple | None]:
-        return ((r.value,), (r.step, r.value)) if now[0] is None or r.value < now[0] else (now, None)
+    def fold(held: tuple, step: np.ndarray, value: np.ndarray) -> tuple[tuple, dict]:
+        best = np.fmin.accumulate(np.r_[np.nan if held[0] is None else held[0], value])
+        new = (value < best[:-1]) | np.isnan(best[:-1])
+        return (float(best[-1]),), {"step": step[new], "best": value[new]}
 
-    return _folded(rows, keys, (None,), "best double", "step long, best double", step)
+    return _folded(rows, keys, "step long, best double", fold, state="best double", start=(None,))
 
 
 def controlled(rows: DataFrame, keys: list[str], *, target: float, gain: float) -> DataFrame:
     """keys, step, p: the integrator after each row (T4)."""
 
-    def step(now: tuple, r: Any) -> tuple[tuple, tuple]:
-        d = r.value - target
-        p = min(1.0, max(0.0, now[0] + gain * ((d > 0) - (d < 0))))
-        return (p,), (r.step, p)
+    def fold(held: tuple, step: np.ndarray, value: np.ndarray) -> tuple[tuple, dict]:
+        s, low, high = clip_prefixes(gain * np.sign(value - target), 0.0, 1.0)
+        p = np.clip(held[0] + s, low, high)
+        return (float(p[-1]),), {"step": step, "p": p}
 
-    return _folded(rows, keys, (0.0,), "p double", "step long, p double", step)
+    return _folded(rows, keys, "step long, p double", fold, state="p double", start=(0.0,))
 
 
 def averaged(rows: DataFrame, keys: list[str], decay: float) -> DataFrame:
     """keys, step, ema after each row, with the warm-up of the batch form (T5)."""
 
-    def step(now: tuple, r: Any) -> tuple[tuple, tuple]:
-        i, x = now
-        x = r.value if not i else r.value + (x - r.value) * min(decay, (1 + i) / (10 + i))
-        return (i + 1, x), (r.step, float(x))
+    def fold(held: tuple, step: np.ndarray, value: np.ndarray) -> tuple[tuple, dict]:
+        n, x = held
+        i = n + np.arange(len(value))
+        d = np.where(i == 0, 0.0, np.minimum(decay, (1 + i) / (10 + i)))
+        a, b = affine_prefixes(d, (1 - d) * value)
+        out = a * x + b
+        return (n + len(value), float(out[-1])), {"step": step, "ema": out}
 
-    return _folded(rows, keys, (0, 0.0), "i long, x double", "step long, ema double", step)
+    return _folded(rows, keys, "step long, ema double", fold, state="n long, x double", start=(0, 0.0))
 
 
 def last_n(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     """keys, step, bank: the last n values after each row, oldest first."""
 
-    def step(now: tuple, r: Any) -> tuple[tuple, tuple]:
-        bank = [*now[0], r.value][-n:]
-        return (bank,), (r.step, bank)
+    def fold(near: np.ndarray, step: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, dict]:
+        windows, seen, every = _windows(near, value, n)
+        return every[max(0, len(every) - n + 1) :], {"step": step, "bank": [w[n - k :].tolist() for w, k in zip(windows, seen.tolist())]}
 
-    return _folded(rows, keys, ([],), "bank array<double>", "step long, bank array<double>", step)
+    return _folded(rows, keys, "step long, bank array<double>", fold, state="x double", listed=True)
 
 
 def alerting(rows: DataFrame) -> DataFrame:
@@ -107,8 +164,35 @@ def alerting(rows: DataFrame) -> DataFrame:
     return alerts(rows)
 
 
+#: The state store that folds need.
+_STORE, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _started(stream: DataFrame, sink: str, checkpoint: str, mode: str, **trigger: Any):
+    """The query, started with the state store that folds need; the session's own setting is put back."""
+    conf = stream.sparkSession.conf
+    before = conf.get(_STORE)
+    conf.set(_STORE, _ROCKS)
+    try:
+        return stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(**trigger).start()
+    finally:
+        conf.set(_STORE, before)
+
+
 def drained(stream: DataFrame, sink: str, checkpoint: str, *, mode: str = "append") -> DataFrame:
     """What a stream makes of all there is so far, as a table of files; run again with the same folders, it goes on where it stopped."""
-    query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    _started(stream, sink, checkpoint, mode, availableNow=True).awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(sink)
+
+
+def run_some(stream: DataFrame, sink: str, checkpoint: str, triggers: int, *, mode: str = "append") -> int:
+    """Runs a stream until so many triggers are done, then stops it between two; returns how many were done."""
+    query = _started(stream, sink, checkpoint, mode, processingTime="0 seconds")
+    try:
+        while query.isActive and (not query.lastProgress or query.lastProgress["batchId"] + 1 < triggers):
+            time.sleep(0.05)
+        if (failed := query.exception()) is not None:
+            raise failed
+    finally:
+        query.stop()
+    return query.lastProgress["batchId"] + 1

@@ -91,20 +91,16 @@ def test_contexts_give_up_targets_when_they_must(spark):
 
 
 def test_stream_equals_batch(spark, sf):
-    from pyspark.sql import Window as W
     from pyspark.sql import functions as F
 
     from fathomry.operators import telemetry
     from fathomry.plans import fixtures
 
     batch = fixtures.telemetry(spark, sf)
-    root = stream_queries.folder(spark)
-    for part in range(3):  # three micro-batches, in order
-        third = batch.withColumn("k", F.ntile(3).over(W.orderBy("ts"))).where(F.col("k") == part + 1).drop("k")
-        third.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").json(f"{root}/in")
-        time.sleep(1.1)
-    slow = streams.tail(spark, f"{root}/in", stream_queries.SCHEMA, 1)
-    got = streams.drained(streams.averaged(slow, ["run", "name"], 0.9), f"{root}/o", f"{root}/c")
+    slow, root = stream_queries.source(spark, sf, 3)
+    averages = streams.averaged(slow, ["run", "name"], 0.9)
+    assert 0 < streams.run_some(averages, f"{root}/o", f"{root}/c", 1) < 3
+    got = streams.drained(averages, f"{root}/o", f"{root}/c")
     last = {(r.run, r.name): round(r.e, 9) for r in got.groupBy("run", "name").agg(F.max_by("ema", "step").alias("e")).collect()}
     assert last == {(r.run, r.name): round(r.ema, 9) for r in telemetry.ema(batch, ["run", "name"], 0.9).collect()}
 
@@ -116,7 +112,49 @@ def test_windowed_moments_equal_batch(spark, sf):
     from fathomry.plans import fixtures
 
     rows, root = stream_queries.source(spark, sf, 3)
+    every = fixtures.telemetry(spark, sf)
+    streams.close_stream(spark, f"{root}/in", every.agg(F.max("ts").cast("timestamp") + F.expr("INTERVAL 3 DAYS")).first()[0])
     got = stream_queries.run(streams.windowed_moments(rows, "1 day"), root).collect()
-    batch = telemetry.moments(fixtures.telemetry(spark, sf).withColumn("start", F.window(F.col("ts").cast("timestamp"), "1 day").start), ["start", "name"])
+    batch = telemetry.moments(every.withColumn("start", F.window(F.col("ts").cast("timestamp"), "1 day").start), ["start", "name"])
     want = {(r.start, r.name): (r.num, round(r["mean"], 9)) for r in batch.collect()}
-    assert got and all(want[r.start, r.name] == (r.num, round(r["mean"], 9)) for r in got)
+    assert {(r.start, r.name): (r.num, round(r["mean"], 9)) for r in got} == want
+
+
+def folds():
+    """Each fold of the streams, without a stream: f(state, steps, values)."""
+    import types
+
+    found = {}
+
+    def keep(rows, keys, out, fold, *, state, start=(), listed=False):
+        found[out] = (fold, np.zeros(0) if listed else start)
+
+    real, streams._folded = streams._folded, keep
+    try:
+        rows = types.SimpleNamespace()
+        streams.smoothed(rows, ["k"], 4)
+        streams.records(rows, ["k"])
+        streams.controlled(rows, ["k"], target=0.2, gain=0.3)
+        streams.averaged(rows, ["k"], 0.8)
+        streams.last_n(rows, ["k"], 3)
+    finally:
+        streams._folded = real
+    return found
+
+
+def test_folds_carry_their_state_over_any_cuts():
+    r = np.random.default_rng(1)
+    values = np.round(r.standard_normal(60), 1)
+    for fold, start in folds().values():
+        whole = fold(start, np.arange(60), values)[1]
+        for cuts in ([1, 2, 3], [10, 59], [25]):
+            state, parts = start, []
+            for a, b in zip([0, *cuts], [*cuts, 60]):
+                state, out = fold(state, np.arange(a, b), values[a:b])
+                parts.append(out)
+            for c in whole:
+                got, want = [x for p in parts for x in list(p[c])], list(whole[c])
+                assert len(got) == len(want) and all(np.allclose(g, w) for g, w in zip(got, want))
+    plain = [min(values[: i + 1]) for i in range(60)]
+    records = [f for k, f in folds().items() if "best" in k][0]
+    assert list(records[0](records[1], np.arange(60), values)[1]["step"]) == [i for i in range(60) if i == 0 or values[i] < plain[i - 1]]
