@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,32 @@ def test_every_prefix_of_a_unit(unit):
         assert counter.unit_prefixes(u.encode())[1] == [len(lib.encode(u[:i], add_special_tokens=False).ids) for i in range(len(u) + 1)]
 
 
+@pytest.mark.parametrize("unit", ["x" * 200, "<|endoftext|>", "<|endoftext|><|endoftext|>ab<|endoftext|>", "ab<|endof<|endoftext|>", " a<|endoftext|>'s12日本<|endoftext", " " * 90 + "y", "日本語" * 30, "a1!" * 40])
+def test_prefixes_up_to_a_budget(unit):
+    lib, counter = tokenizers.Tokenizer.from_file(BYTE), token_counts.Counter(open(BYTE, "rb").read())
+    want = [len(lib.encode(unit[:i], add_special_tokens=False).ids) for i in range(len(unit) + 1)]
+    assert counter.unit_prefixes(unit.encode())[1] == want
+    for most in (0, 1, 2, 5, 17, 60, 1000):
+        at, counts = counter.unit_prefixes(unit.encode(), most)
+        best = max(i for i, n in enumerate(want) if n <= most)
+        assert max(e for e, n in zip(at, counts) if n <= most) == len(unit[:best].encode())
+
+
+@pytest.mark.parametrize("special", ["", "<|endoftext|>"])
+def test_long_unbroken_texts_take_little_time(special):
+    r = random.Random(1)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/") for _ in range(1_000_000))
+    text = special + text[:400] + special + text[400:] + special
+    counter = token_counts.Counter(open(BYTE, "rb").read())
+    start = time.perf_counter()
+    (starts, ends, totals), rows = counter.prefixes([text.encode()]), [counter.units(text.encode())]
+    (kept,) = counter.longest_prefixes(rows, starts, ends, totals, 512)
+    assert time.perf_counter() - start < 8
+    lib = tokenizers.Tokenizer.from_file(BYTE)
+    n = [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in (kept, *range(kept + 1, kept + 200))]
+    assert n[0] <= 512 and min(n[1:]) > 512
+
+
 def brute_kept(lib, text, limit):
     """Bytes of the longest prefix of at most `limit` tokens, from the long end."""
     for i in range(len(text), -1, -1):
