@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -10,7 +11,6 @@ from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,27 +38,33 @@ def _temporary() -> str:
     return "file://" + tempfile.mkdtemp(prefix="spark-")
 
 
-#: Of each scratch() that is open, the tables written in it.
-_OPEN: list[list[str]] = []
+class _Open(threading.local):
+    """Of each scratch() that is open in this thread, the tables written in it."""
+
+    def __init__(self) -> None:
+        self.tables: list[list[tuple[SparkSession, str]]] = []
+
+
+_OPEN = _Open()
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Tables written inside are deleted at the end, but for those that kept() names: nothing that is returned may read the others."""
-    _OPEN.append([])
+    """Tables written inside are deleted at the end, but for those that kept() names: nothing that is returned may read the others. A store that Spark writes to is reached as Spark does."""
+    _OPEN.tables.append([])
     try:
         yield
     finally:
-        for path in _OPEN.pop():
-            files, at = FileSystem.from_uri(path if "://" in path else f"file://{path}")
-            files.delete_dir(at)
+        for spark, path in _OPEN.tables.pop():
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written as by written(), to outlive scratch()."""
     out = written(df, name)
-    if _OPEN:
-        _OPEN[-1].pop()
+    if _OPEN.tables:
+        _OPEN.tables[-1].pop()
     return out
 
 
@@ -66,8 +72,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _OPEN.tables:
+        _OPEN.tables[-1].append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,8 @@ groups. 64 bits are too few for a similarity of 0.8 (two such documents differ i
 none of the others: two sets that similar share a shingle among the first n - ceil(4n / 5) + 1 of each, in any one order of all
 shingles (prefix filter). Shingles that some of the documents have often come last, so a passage found in many documents makes
 few candidates. A bucket's rows are compared by their sizes and by a bitmap of each set (the bits in which two differ are at
-most as many as the shingles in which they do, so no similar pair is lost); what passes is verified by the whole sets. Each row
+most as many as the shingles in which they do, so no similar pair is lost) and by the places of the bucket's shingle in
+their orders, which bound what they can have in common; what passes is verified by the whole sets. Each row
 first sends the likeliest of some others of its bucket, and then all that are not in its group by now, so a large group of near
 copies costs few pairs.
 
@@ -93,7 +94,7 @@ def common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(docs: DataFrame, size: int) -> DataFrame:
-    """k, v, n: each set (v, of n shingles) under the shingles of its prefix, the rarest first."""
+    """k, v, n, place: each set (v, of n shingles) under the shingles of its prefix, the rarest first, with their places in it."""
     shared = docs.sparkSession.sparkContext.broadcast(common(docs, size))
 
     def emit(v: int, h: np.ndarray) -> list[np.ndarray]:
@@ -105,9 +106,9 @@ def postings(docs: DataFrame, size: int) -> DataFrame:
             known = np.where(often[at] == h, count[at], 0)
         order = h[np.argsort(known, kind="stable")]
         k = order[: n - (4 * n + 4) // 5 + 1].view(np.int64)
-        return [k, np.full(len(k), v, np.int64), np.full(len(k), n, np.int32)]
+        return [k, np.full(len(k), v, np.int64), np.full(len(k), n, np.int32), np.arange(len(k), dtype=np.int32)]
 
-    return _sets(docs, size, emit, "k long, v long, n int")
+    return _sets(docs, size, emit, "k long, v long, n int, place int")
 
 
 def bitmap(h: np.ndarray) -> bytes:
@@ -118,18 +119,19 @@ def bitmap(h: np.ndarray) -> bytes:
 
 @dataclass
 class Rows:
-    """Rows of buckets: run (number of the bucket, ascending), vertex, size of the set, root; and of each length of bitmaps (as 64-bit words), which row of its matrix is a row's."""
+    """Rows of buckets: run (number of the bucket, ascending), vertex, size of the set, place of the bucket's shingle in it, root; and of each length of bitmaps (as 64-bit words), which row of its matrix is a row's."""
 
     run: np.ndarray
     v: np.ndarray
     n: np.ndarray
+    place: np.ndarray
     root: np.ndarray
     length: np.ndarray
     at: dict[int, np.ndarray]
     words: dict[int, np.ndarray]
 
     @classmethod
-    def made(cls, run: np.ndarray, v: np.ndarray, n: np.ndarray, root: np.ndarray, bits: list[bytes]) -> Rows:
+    def made(cls, run: np.ndarray, v: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, bits: list[bytes]) -> Rows:
         length = np.fromiter(map(len, bits), np.int64, len(bits)) // 8
         at, words = {}, {}
         for size in np.unique(length).tolist():
@@ -139,14 +141,16 @@ class Rows:
             words[size] = np.concatenate([np.frombuffer(b"".join(bits[i] for i in own.tolist()), np.uint64).reshape(-1, size), wide[:, :size] ^ wide[:, size:]])
             at[size] = np.zeros(len(bits), np.int64)
             at[size][np.append(own, twice)] = np.arange(len(words[size]))
-        return cls(run, v, n, root, length, at, words)
+        return cls(run, v, n, place, root, length, at, words)
 
     def of(self, rows) -> Rows:
-        return Rows(self.run[rows], self.v[rows], self.n[rows], self.root[rows], self.length[rows], {k: x[rows] for k, x in self.at.items()}, self.words)
+        return Rows(self.run[rows], self.v[rows], self.n[rows], self.place[rows], self.root[rows], self.length[rows], {k: x[rows] for k, x in self.at.items()}, self.words)
 
     def slack(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """By how many bits each pair's bitmaps may differ more before it cannot be alike (9 * differing shingles <= both sizes); under 0 for a pair that is not, or has one root."""
         can = (self.root[a] != self.root[b]) & (5 * np.minimum(self.n[a], self.n[b]) >= 4 * np.maximum(self.n[a], self.n[b]))
+        # if this is the first shingle that both have, they have no more in common than what follows it; if not, they meet in an earlier one's bucket
+        can &= 9 * np.minimum(self.n[a] - self.place[a], self.n[b] - self.place[b]) >= 4 * (self.n[a] + self.n[b])
         out = np.full(len(a), -1, np.int64)
         can = np.flatnonzero(can)
         short = np.minimum(self.length[a[can]], self.length[b[can]])
@@ -198,8 +202,9 @@ def _all(rows: Rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _candidates(rows: DataFrame, every: bool) -> DataFrame:
-    """(a, b), a > b: rows of one bucket and of different roots that can be alike; every: all of them, else the likeliest of each. rows: k, tile, v, n, root, bits."""
-    rows = rows.select("k", "tile", F.xxhash64("k", "v").alias("at"), "v", "n", "root", "bits")
+    """(a, b), a > b: rows of one bucket and of different roots that can be alike; every: all of them, else the likeliest of each. rows: k, tile, v, n, place, root, bits."""
+    # one order in all buckets, so that a row meets the same others in many of them and is asked for the same pairs
+    rows = rows.select("k", "tile", F.xxhash64("v").alias("at"), "v", "n", "place", "root", "bits")
 
     def batch_of(made: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         a, b = (np.concatenate([m[i] for m in made]) for i in (0, 1))
@@ -218,7 +223,7 @@ def _candidates(rows: DataFrame, every: bool) -> DataFrame:
             if not stop:
                 return
             table = table.slice(0, stop)
-            here = Rows.made(np.cumsum(new[:stop]), table["v"].to_numpy(), table["n"].to_numpy().astype(np.int64), table["root"].to_numpy(), table["bits"].to_pylist())
+            here = Rows.made(np.cumsum(new[:stop]), table["v"].to_numpy(), table["n"].to_numpy().astype(np.int64), table["place"].to_numpy().astype(np.int64), table["root"].to_numpy(), table["bits"].to_pylist())
             made: list[tuple[np.ndarray, np.ndarray]] = []
             for pair in _all(here) if every else [_likeliest(here)]:
                 made.append(pair)
@@ -283,7 +288,7 @@ def groups(docs: DataFrame, sets: DataFrame, size: int, most: int) -> DataFrame:
     # each two blocks of a large bucket meet in one tile
     mine = F.pmod(F.xxhash64("v", F.lit(7)), F.col("blocks")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, mine) * F.col("blocks") + F.greatest(o, mine))
-    shared = rows.join(often, "k").select("k", "v", "n", F.explode(tiles).alias("tile")).join(sets.select("v", "bits"), "v")
+    shared = rows.join(often, "k").select("k", "v", "n", "place", F.explode(tiles).alias("tile")).join(sets.select("v", "bits"), "v")
     shared = written(shared, "postings")
     found, pairs = None, written(by_fingerprints(sets.select("v", "fp"), most), "candidates")
     for every in (False, True, None):

@@ -91,7 +91,7 @@ def test_pairs_of_buckets(monkeypatch, small):
     sets = [np.unique(np.array([*r.sample(base, r.randint(44, 60)), *(r.getrandbits(64) for _ in range(r.randint(0, 8)))], np.uint64)) for _ in range(60)]
     run, root, v = np.sort(np.array([r.randrange(4) for _ in sets])), np.array([r.randrange(3) for _ in sets]), np.arange(60)
     monkeypatch.setattr(similar, "MAP", 64 if small == 2 else 512)  # sets on both sides of a bitmap's length
-    here = similar.Rows.made(run, v, np.array(list(map(len, sets))), root, list(map(similar.bitmap, sets)))
+    here = similar.Rows.made(run, v, np.array(list(map(len, sets))), np.zeros(60, np.int64), root, list(map(similar.bitmap, sets)))
     want = {(i, j) for j in range(60) for i in range(j) if run[i] == run[j] and root[i] != root[j] and similar.alike(sets[i], sets[j])}
     got = [tuple(sorted(p)) for a, b in similar._all(here) for p in zip(a.tolist(), b.tolist())]
     assert want and want <= set(got) and len(got) == len(set(got)) < 60 * 59 / 4
@@ -99,3 +99,24 @@ def test_pairs_of_buckets(monkeypatch, small):
     assert all(run[i] == run[j] and root[i] != root[j] for i, j in got)
     first = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in similar._likeliest(here)))}
     assert first <= set(got) and len(first) <= 60
+
+
+def test_places_in_the_order_lose_no_pair():
+    r = random.Random(3)
+    base = [r.getrandbits(64) for _ in range(50)]
+    sets = [sorted({*r.sample(base, r.randint(40, 50)), *(r.getrandbits(64) for _ in range(r.randint(0, 6)))}) for _ in range(80)]
+    n, bits = np.array(list(map(len, sets))), [similar.bitmap(np.array(s, np.uint64)) for s in sets]
+    alike, cut = 0, 0
+    for i in range(80):
+        for j in range(i):
+            both = set(sets[i]) & set(sets[j])
+            k = min(both)
+            place = np.array([s.index(k) if k in s else 0 for s in sets])
+            rows = similar.Rows.made(np.zeros(80, np.int64), np.arange(80), n, place, np.arange(80), bits)
+            passed = rows.slack(np.array([i]), np.array([j]))[0] >= 0
+            if 5 * len(both) >= 4 * (len(sets[i]) + len(sets[j]) - len(both)):
+                alike += 1
+                assert passed
+            late = similar.Rows.made(np.zeros(80, np.int64), np.arange(80), n, n // 2, np.arange(80), bits)
+            cut += late.slack(np.array([i]), np.array([j]))[0] < 0
+    assert alike and cut == 80 * 79 // 2
