@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import vectors as V
-from .manifest import random_subsets
+from .manifest import random_subsets, seeded_subset
 from .masks import masked_psnr
 from .moments import frechet_distance
 from .ranks import hash_rank, order_rank, shuffled, values_at_ranks
@@ -173,7 +173,7 @@ PRESETS: dict[str, dict] = {
     "fid_512": {"metric": "fid", "real": 512, "gen": 512},
     "is_512": {"metric": "is", "gen": 512, "splits": 1},
     **{name: {"metric": "ppl"} for name in ("ppl2_wend", "ppl_zfull", "ppl_wfull", "ppl_zend", "ppl_wend")},
-    **{name: {"metric": "psnr"} for name in ("eqt50k_int", "eqt50k_frac", "eqr50k")},
+    **{name: {"metric": "psnr", "pairs": 50_000} for name in ("eqt50k_int", "eqt50k_frac", "eqr50k")},
 }
 _REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
@@ -213,14 +213,18 @@ metric("psnr")(lambda pairs: masked_psnr(pairs, []))
 
 
 def compute(name: str, features: DataFrame, seed: int = 0) -> DataFrame:
-    """A preset over features (id, side, label, x), distances (id, d) for ppl, or pixel pairs (a, b, mask) for eq; sides larger than the preset takes are sampled by a seed."""
+    """A preset over features (id, side, label, x), distances (id, d) for ppl, or pixel pairs (id, a, b, mask) for eq, id being the image's; what is more than the preset takes is sampled by a seed."""
     told = dict(PRESETS[name])
     f = _REGISTRY[told.pop("metric")]
+    if "pairs" in told:
+        drawn = seeded_subset(features.select("id").distinct(), "id", seed, told.pop("pairs"))
+        return f(features.join(drawn, "id", "left_semi"), **told)
     sides = []
     for side in ("real", "gen"):
         if side in told:
             rows, most = features.where(F.col("side") == side), told.pop(side)
-            sides.append(rows if most is None else hash_rank(rows, shuffled(seed, F.col("id")), "id").where(F.col("rank") < most).drop("rank"))
+            fits = most is None or rows.count() <= most  # then there is nothing to rank
+            sides.append(rows if fits else seeded_subset(rows, "id", seed, most))
     if not sides:
         return f(features, **told)
     return f(sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1]), **told)

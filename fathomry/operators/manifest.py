@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ranks import hash_rank, order_rank, shuffled
+from .scans import CHUNK, chunks
 
 
 def attach_labels(items: DataFrame, labels: DataFrame, on: str = "path") -> DataFrame:
@@ -70,11 +71,23 @@ def violations(items: DataFrame) -> DataFrame:
 
 
 def class_support(items: DataFrame, name: str = "class", idx: str = "idx") -> DataFrame:
-    """Row indices of each class, ascending, and the least class size (A26). Indices of one class are one array, as the reference has them; use counts alone at scale."""
+    """Row indices of each class, ascending, and the least class size (A26). Indices of one class are one array, for classes that fit one; class_postings has no such bound."""
     out = items.groupBy(name).agg(F.array_sort(F.collect_list(idx)).alias("rows"), F.count(F.lit(1)).alias("n"))
     return out.withColumn("least", F.min("n").over(W.partitionBy()))
 
 
+def class_postings(items: DataFrame, name: str = "class", idx: str = "idx", *, size: int = CHUNK) -> DataFrame:
+    """class, chunk, first, rows: the ascending row indices of each class in chunks of about `size`, and how many of the class come before (A26). A class of any size is many rows, made by many tasks."""
+    return chunks(items, [name], idx, idx, size=size, kind=None).withColumnRenamed("values", "rows")
+
+
+def posting(postings: DataFrame, at: DataFrame, name: str = "class") -> DataFrame:
+    """at (class, place) with idx, the row at that place of the class (from 0). Only the chunk that holds it is opened."""
+    held = postings.select(F.col(name).alias("__c"), "first", "rows")
+    inside = F.col(name).eqNullSafe(F.col("__c")) & (F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.size("rows"))
+    return at.join(held, inside).select(*at.columns, F.get("rows", (F.col("place") - F.col("first")).cast("int")).alias("idx"))
+
+
 def label_shape(items: DataFrame, label: str = "label") -> DataFrame:
     """Number of classes (largest label + 1) and whether there are labels."""
     return items.agg((F.max(label) + 1).cast("long").alias("classes"), F.coalesce(F.bool_or(F.col(label).isNotNull()), F.lit(False)).alias("labelled"))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -104,17 +103,15 @@ def deduplicated(masks: DataFrame, *, most_iou: float = 0.9, keep: int = 250) ->
     alike = ious(masks).where(F.col("iou") >= most_iou)
     near = alike.select("image", F.col("a").alias("mask"), F.col("b").alias("other")).union(alike.select("image", F.col("b").alias("mask"), F.col("a").alias("other")))
     with_near = best.join(near.groupBy("image", "mask").agg(F.collect_list("other").alias("near")), ["image", "mask"], "left")
+    order = F.struct((-F.col("score")).alias("s"), "mask", "score", F.coalesce("near", F.array().cast("array<int>")).alias("near"))
+    kind = "array<struct<mask:int,score:double>>"
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: set[int] = set()
-        rows = []
-        for r in frame.sort_values(["score", "mask"], ascending=[False, True]).itertuples():
-            if len(kept) < keep and not (r.near is not None and kept.intersection(r.near)):
-                kept.add(r.mask)
-                rows.append((r.image, r.mask, r.score))
-        return pd.DataFrame(rows, columns=["image", "mask", "score"])
+    def take(kept: Column, m: Column) -> Column:
+        free = ~F.exists(kept, lambda k: F.array_contains(m["near"], k["mask"]))
+        return F.when((F.size(kept) < keep) & free, F.concat(kept, F.array(F.struct(m["mask"].cast("int").alias("mask"), m["score"].cast("double").alias("score"))))).otherwise(kept)
 
-    return with_near.groupBy("image").applyInPandas(run, "image long, mask int, score double")
+    kept = F.aggregate(F.array_sort(F.collect_list(order)), F.array().cast(kind), take)
+    return with_near.groupBy("image").agg(kept.alias("kept")).select("image", F.inline("kept"))
 
 
 def label_map(masks: DataFrame) -> DataFrame:

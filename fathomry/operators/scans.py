@@ -38,10 +38,10 @@ def _at_or_below(cuts: str, x: Column, most: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(most.bit_length())), F.struct(F.lit(0).alias("a"), F.size(cuts).alias("b")), step, lambda s: s["a"])
 
 
-def chunks(df: DataFrame, keys: list[str], order: str, value: str, *, size: int = CHUNK) -> DataFrame:
-    """keys, chunk, first (rows of the series before it), values (in order). chunk counts up along the series; a null value is a step without effect and is left out, and so is a null order."""
+def chunks(df: DataFrame, keys: list[str], order: str, value: str, *, size: int = CHUNK, kind: str | None = "double") -> DataFrame:
+    """keys, chunk, first (rows of the series before it), values (in order). chunk counts up along the series; a null value is a step without effect and is left out, and so is a null order. kind: the type of values; None: as they are."""
     named = [f"__k{i}" for i in range(len(keys))]
-    rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, named)], F.col(order).alias("__o"), F.col(value).cast("double").alias("__v")).where("__o is not null and __v is not null")
+    rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, named)], F.col(order).alias("__o"), (F.col(value).cast(kind) if kind else F.col(value)).alias("__v")).where("__o is not null and __v is not null")
     counts = rows.groupBy(*named).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size)
     most = counts.agg(F.max("n")).first()[0]
     if most is None:

@@ -19,7 +19,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).select("id", F.col("label").alias("target"), F.slice("x", 1, 10).alias("z"))
+    return features(spark, sf_dir).select("id", F.col("label").alias("target"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: V.total(F.filter("x", lambda v, i: i % 10 == c))).alias("z"))
 
 
 def probs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same tables in SQL; later ones may name earlier ones.
 SQL = {
     "features": "SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 'real' ELSE 'gen' END AS side, label::INT AS label, embedding::DOUBLE[] AS x FROM embeddings",
-    "logits": "SELECT id, label AS target, x[1:10] AS z FROM features",
+    "logits": "SELECT id, label AS target, list_transform(range(0, 10), lambda c: list_sum(list_filter(x, lambda v, i: (i - 1) % 10 = c))) AS z FROM features",
     "probs": "SELECT id, id AS ord, list_transform(z, lambda v: exp(v * 4) / list_sum(list_transform(z, lambda w: exp(w * 4)))) AS p FROM logits",
     "telemetry": "SELECT user_id AS run, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, 'Loss/' || event_type AS name, value, json_extract(props, '$.k')::BIGINT + 1 AS n FROM events",
     "ticks": "SELECT run, step AS tick, (sum(n) OVER w)::BIGINT AS nimg, coalesce(lag(ts) OVER w, ts) AS start_ts, ts AS end_ts FROM telemetry WINDOW w AS (PARTITION BY run ORDER BY step)",
@@ -95,3 +95,7 @@ SQL = {
     "pixels": "SELECT id AS image, ((i - 1) // 8)::INT AS y, ((i - 1) % 8)::INT AS x, x[i] AS v FROM features, unnest(generate_series(1, 64)) AS g(i)",
     "masks": "SELECT image, m::INT AS mask, y, x, 1.0 - m * 0.25 AS score FROM pixels, unnest([0, 1, 2]) AS g(m) WHERE v > m * 0.05",
 }
+
+#: After `features`: means (m) and second moments (c) of its columns.
+COV = """, l AS (SELECT side, id, label, i - 1 AS i, x[i] AS v FROM features, unnest(generate_series(1, 64)) AS g(i)), m AS (SELECT side, i, avg(v) AS mean, count(*) AS n FROM l GROUP BY ALL),
+c AS (SELECT a.side, a.i, b.i AS j, avg(a.v * b.v) AS g, covar_samp(a.v, b.v) AS s, corr(a.v, b.v) AS r FROM l a JOIN l b ON a.id = b.id GROUP BY ALL)"""

@@ -70,6 +70,19 @@ def a26(spark, sf):
     return M.class_support(X.manifest(spark, sf))
 
 
+@query("a26b_postings", "SELECT class, row_number() OVER (PARTITION BY class ORDER BY idx) - 1 AS place, idx FROM manifest", "manifest")
+def a26b(spark, sf):
+    made = M.class_postings(X.manifest(spark, sf), size=20)
+    return made.select("class", "first", F.posexplode("rows").alias("at", "idx")).select("class", (F.col("first") + F.col("at")).alias("place"), "idx")
+
+
+@query("a26c_posting_lookup", ", r AS (SELECT class, idx, row_number() OVER (PARTITION BY class ORDER BY idx) - 1 AS place, count(*) OVER (PARTITION BY class) AS n FROM manifest) SELECT class, place, idx FROM r WHERE place = n // 2", "manifest")
+def a26c(spark, sf):
+    items = X.manifest(spark, sf)
+    middle = items.groupBy("class").agg(F.floor(F.count(F.lit(1)) / 2).alias("place"))
+    return M.posting(M.class_postings(items, size=20), middle)
+
+
 @query("a27_label_shape", "SELECT (max(l.label) + 1)::BIGINT AS classes, bool_or(l.label IS NOT NULL) AS labelled FROM manifest m LEFT JOIN label_file l ON m.path = l.path", _ML)
 def a27(spark, sf):
     return M.label_shape(M.attach_labels(X.manifest(spark, sf), X.label_file(spark, sf)))

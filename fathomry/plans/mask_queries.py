@@ -32,9 +32,14 @@ def a20(spark, sf):
     return M.masked_psnr(pairs.withColumn("mask", (F.col("x") < 6).cast("int")), ["image"]).select("image", r("psnr", 5))
 
 
-@query("a21_spectrum")
+_BESSEL = "list_sum(list_transform(range(0, 40), lambda k: pow(16 * (1 - pow((n - 3.5) / 3.5, 2)), k) / pow(gamma(k + 1), 2)))"
+
+
+@query("a21_spectrum", f""", kz AS (SELECT n::INT AS n, {_BESSEL} AS w FROM generate_series(0, 7) AS g(n)), win AS (SELECT n, w / sqrt((SELECT sum(w * w) FROM kz)) AS w FROM kz), q AS (SELECT image, y, x, v / 0.125 * a.w * b.w AS v FROM pixels JOIN win a ON a.n = y JOIN win b ON b.n = x),
+s AS (SELECT image, ky, kx, sum(v * cos(2 * pi() * (ky * y + kx * x) / 8)) AS re, sum(v * sin(2 * pi() * (ky * y + kx * x) / 8)) AS im FROM q, generate_series(0, 7) AS g(ky), generate_series(0, 7) AS h(kx) GROUP BY ALL)
+SELECT ky::INT AS ky, kx::INT AS kx, round(avg(re * re + im * im), 6) AS power FROM s GROUP BY ALL""", _PX)
 def a21(spark, sf):
-    return M.power_spectrum(X.features(spark, sf).select(F.col("x").alias("v")), 8, mean=0.0, std=0.125)
+    return M.power_spectrum(X.features(spark, sf).select(F.col("x").alias("v")), 8, mean=0.0, std=0.125).select("ky", "kx", r("power"))
 
 
 @query("a22_radial", "SELECT floor(sqrt((y - 4) ** 2 + (x - 4) ** 2))::INT AS radius, round(avg(v), 6) AS mean FROM pixels GROUP BY 1", _PX)
@@ -63,7 +68,11 @@ def m01(spark, sf):
     return M.scored(X.pixels(spark, sf).withColumns({"predicted_iou": F.col("v"), "stability": F.col("v")})).select("image", "y", "x", r("score", 8))
 
 
-@query("m02_dedup")
+@query("m02_dedup", """, ar AS (SELECT image, mask, max(score) AS score, count(*) AS n FROM masks GROUP BY ALL), b AS (SELECT a.image, a.mask AS a, b.mask AS b, count(*) AS n FROM masks a JOIN masks b ON a.image = b.image AND a.y = b.y AND a.x = b.x AND a.mask <> b.mask GROUP BY ALL),
+nr AS (SELECT b.image, a, list(b) AS near FROM b JOIN ar p ON p.image = b.image AND p.mask = a JOIN ar q ON q.image = b.image AND q.mask = b WHERE b.n / (p.n + q.n - b.n) >= 0.5 GROUP BY ALL),
+o AS (SELECT ar.image, mask, score, coalesce(near, []) AS near, row_number() OVER (PARTITION BY ar.image ORDER BY score DESC, mask) AS k, count(*) OVER (PARTITION BY ar.image) AS size FROM ar LEFT JOIN nr ON nr.image = ar.image AND nr.a = mask),
+rec AS (SELECT image, 0::BIGINT AS k, []::INT[] AS kept FROM o WHERE k = 1 UNION ALL SELECT o.image, o.k, CASE WHEN len(kept) < 250 AND NOT list_has_any(kept, near) THEN list_append(kept, mask) ELSE kept END FROM rec JOIN o ON o.image = rec.image AND o.k = rec.k + 1)
+SELECT o.image, o.mask, o.score FROM o JOIN rec ON rec.image = o.image AND rec.k = o.size WHERE list_contains(kept, o.mask)""", _MK)
 def m02(spark, sf):
     return M.deduplicated(X.masks(spark, sf), most_iou=0.5)
 

@@ -16,11 +16,7 @@ def r(name, digits=6):
     return F.round(name, digits).alias(name)
 
 
-_COV = """, l AS (SELECT side, id, label, i - 1 AS i, x[i] AS v FROM features, unnest(generate_series(1, 64)) AS g(i)), m AS (SELECT side, i, avg(v) AS mean, count(*) AS n FROM l GROUP BY ALL),
-c AS (SELECT a.side, a.i, b.i AS j, avg(a.v * b.v) AS g, covar_samp(a.v, b.v) AS s, corr(a.v, b.v) AS r FROM l a JOIN l b ON a.id = b.id GROUP BY ALL)"""
-
-
-@query("a01_moments", _COV + " SELECT c.side, c.i::INT AS i, c.j::INT AS j, round(a.mean, 8) AS mean_i, round(g - a.mean * b.mean, 8) AS cov FROM c JOIN m a ON a.side = c.side AND a.i = c.i JOIN m b ON b.side = c.side AND b.i = c.j", "features")
+@query("a01_moments", X.COV + " SELECT c.side, c.i::INT AS i, c.j::INT AS j, round(a.mean, 8) AS mean_i, round(g - a.mean * b.mean, 8) AS cov FROM c JOIN m a ON a.side = c.side AND a.i = c.i JOIN m b ON b.side = c.side AND b.i = c.j", "features")
 def a01(spark, sf):
     return G.covariance(G.merged(G.partial(X.features(spark, sf)))).select("side", "i", "j", r("mean_i", 8), r("cov", 8))
 
@@ -48,7 +44,7 @@ _LISTED = ", rows_ AS (SELECT c.side, c.i, list(g - a.mean * b.mean ORDER BY c.j
 
 def _frechet(digits: int) -> str:
     return (
-        _COV
+        X.COV
         + _LISTED
         + ", ca AS (SELECT m FROM cv WHERE side = 'gen'), "
         + _root("ra", "ca")
@@ -63,7 +59,7 @@ def a02(spark, sf):
     return G.frechet_distance(X.features(spark, sf)).select(r("frechet"))
 
 
-@query("a02b_mean_gap", _COV + " SELECT round(sum((a.mean - b.mean) ** 2), 8) AS gap FROM m a JOIN m b ON a.i = b.i WHERE a.side = 'gen' AND b.side = 'real'", "features")
+@query("a02b_mean_gap", X.COV + " SELECT round(sum((a.mean - b.mean) ** 2), 8) AS gap FROM m a JOIN m b ON a.i = b.i WHERE a.side = 'gen' AND b.side = 'real'", "features")
 def a02b(spark, sf):
     means = G.covariance(G.merged(G.partial(X.features(spark, sf)))).where("j = 0").select("side", "i", "mean_i")
     a, b = (means.where(F.col("side") == k).select("i", F.col("mean_i").alias(k)) for k in ("gen", "real"))
@@ -162,7 +158,7 @@ def a17(spark, sf):
     return M.contrastive_accuracy(pair.withColumn("batch", F.floor(F.col("id") / 16))).select(r("accuracy"))
 
 
-@query("a18_correlation", _COV + " SELECT side, i::INT AS i, j::INT AS j, round(s, 8) AS cov FROM c", "features")
+@query("a18_correlation", X.COV + " SELECT side, i::INT AS i, j::INT AS j, round(s, 8) AS cov FROM c", "features")
 def a18(spark, sf):
     return G.covariance(G.merged(G.partial(X.features(spark, sf))), sample=True).select("side", "i", "j", r("cov", 8))
 
@@ -234,7 +230,7 @@ def a35(spark, sf):
     return X.features(spark, sf).agg(F.min(F.array_min("x")).alias("least"), F.max(F.array_max("x")).alias("most"), F.round(F.sum(V.total("x")) / F.sum(F.size("x")), 6).alias("mean"))
 
 
-@query("a36_merge", _COV + " SELECT m.side, i::INT AS i, round(mean, 8) AS mean FROM m", "features")
+@query("a36_merge", X.COV + " SELECT m.side, i::INT AS i, round(mean, 8) AS mean FROM m", "features")
 def a36(spark, sf):
     f = X.features(spark, sf)
     stored = G.merged(G.partial(f.where("label < 5"))).unionByName(G.merged(G.partial(f.where("label >= 5"))))
@@ -309,13 +305,13 @@ def x02(spark, sf):
     return M.compute("pr50k3_full_cond", X.features(spark, sf)).select(r("precision_mean", 5), r("recall_mean", 5))
 
 
-@query("x04_extractor", "SELECT id, list_transform(x[1:4], lambda v: round(v * 2, 6)) AS x FROM features", "features")
+@query("x04_extractor", "SELECT id, list_transform(x, lambda v: round(v * 2, 6)) AS x FROM features", "features")
 def x04(spark, sf):
     import numpy as np
     import pyarrow as pa
 
     def twice(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = np.array(batch.column("x").to_pylist())[:, :4] * 2
+        m = np.array(batch.column("x").to_pylist()) * 2
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(m.tolist())], names=["id", "x"])
 
     out = M.extracted(X.features(spark, sf).select("id", "x"), twice, "id long, x array<double>")
@@ -349,3 +345,28 @@ def x05(spark, sf):
 
     out = M.transformed(X.features(spark, sf).select("id", "label", "x"), unit, "id long, label int, x array<double>")
     return out.select("id", "label", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+
+
+@query("x03b_preset_equivariance", ", k AS (SELECT image, row_number() OVER (ORDER BY md5('0:' || image), image) AS k FROM (SELECT DISTINCT image FROM pixels)) SELECT round(20 * log10(2) - 10 * log10(sum((a.v - b.v) ** 2 * (a.x < 6)::INT) / sum((a.x < 6)::INT)), 6) AS psnr FROM pixels a JOIN pixels b ON b.image = a.image AND a.y = b.y AND a.x = 7 - b.x JOIN k ON k.image = a.image WHERE k <= 50000", "features pixels")
+def x03b(spark, sf):
+    p = X.pixels(spark, sf)
+    pairs = p.select(F.col("image").alias("id"), "y", "x", F.col("v").alias("a")).join(p.select(F.col("image").alias("id"), "y", (7 - F.col("x")).alias("x"), F.col("v").alias("b")), ["id", "y", "x"])
+    return M.compute("eqt50k_int", pairs.withColumn("mask", (F.col("x") < 6).cast("int"))).select(r("psnr"))
+
+
+@query("x06_accumulator", X.COV + " SELECT c.side, c.i::INT AS i, c.j::INT AS j, round(a.mean, 8) AS mean_i, round(g - a.mean * b.mean, 8) AS cov FROM c JOIN m a ON a.side = c.side AND a.i = c.i JOIN m b ON b.side = c.side AND b.i = c.j", "features")
+def x06(spark, sf):
+    f = X.features(spark, sf)
+    parts = [G.merged(G.partial(f.where(F.col("id") % 3 == k))) for k in range(3)]
+    either = G.merged(parts[2].unionByName(G.merged(parts[1].unionByName(parts[0]))))  # in any order and grouping
+    return G.covariance(either).select("side", "i", "j", r("mean_i", 8), r("cov", 8))
+
+
+@query("x07_record_rows", ", c AS (SELECT label, side, count(*) AS n FROM features GROUP BY ALL) SELECT 'count_' || side AS metric, label AS class, n::DOUBLE AS value FROM c", "features")
+def x07(spark, sf):
+    from ..operators.telemetry import per_class
+
+    key = F.concat(F.lit("count_"), "side", F.lit("_class_"), F.col("label").cast("string"))
+    counts = X.features(spark, sf).groupBy("label", "side").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    record = counts.agg(F.map_from_entries(F.collect_list(F.struct(key, "n"))).alias("results"))  # one entry for each class and side
+    return per_class(record).select("metric", "class", "value")

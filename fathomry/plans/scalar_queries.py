@@ -19,11 +19,11 @@ def rs(x: Column) -> Column:
     return F.transform(x, lambda v: F.round(v, 6))
 
 
-_PAIR = """pair AS (SELECT a.id, a.x[1:8] AS a, b.x[1:8] AS b FROM features a JOIN features b ON b.id = a.id + 1)"""
+_PAIR = """pair AS (SELECT a.id, a.x AS a, b.x AS b FROM features a JOIN features b ON b.id = a.id + 1)"""
 
 
 def pair(spark, sf):
-    f = X.features(spark, sf).select("id", F.slice("x", 1, 8).alias("x"))
+    f = X.features(spark, sf).select("id", "x")
     return f.select("id", F.col("x").alias("a")).join(f.select((F.col("id") - 1).alias("id"), F.col("x").alias("b")), "id")
 
 
@@ -45,10 +45,10 @@ def f03(spark, sf):
     return pair(spark, sf).select("id", F.transform(V.layer_norm("a"), lambda v: F.round(v, 5)).alias("ln"))
 
 
-@query("f04_gather", f", {_PAIR} SELECT id, [round(a[8], 6), round(a[1], 6), round(a[1], 6)] AS taken, flatten(list_transform(a[1:3], lambda v: [round(v, 6), round(v, 6)])) AS twice FROM pair", "features")
+@query("f04_gather", f", {_PAIR} SELECT id, [round(a[64], 6), round(a[1], 6), round(a[1], 6)] AS taken, flatten(list_transform(a, lambda v: [round(v, 6), round(v, 6)])) AS twice FROM pair", "features")
 def f04(spark, sf):
-    taken = V.gather("a", F.array(F.lit(7), F.lit(0), F.lit(0)))
-    return pair(spark, sf).select("id", rs(taken).alias("taken"), rs(V.repeat_interleave(F.slice("a", 1, 3), 2)).alias("twice"))
+    taken = V.gather("a", F.array(F.lit(63), F.lit(0), F.lit(0)))
+    return pair(spark, sf).select("id", rs(taken).alias("taken"), rs(V.repeat_interleave("a", 2)).alias("twice"))
 
 
 @query("f05_one_hot", "SELECT id, list_transform(range(10), lambda i: (i = target)::INT::DOUBLE) AS hot, (list_position(z, list_max(z)) - 1)::INT AS top FROM logits", "features logits")
@@ -62,7 +62,7 @@ def f06(spark, sf):
     return X.logits(spark, sf).select("id", r(V.smooth_l1(a, b, 0.1)).alias("sl1"), r(V.softplus(a)).alias("softplus"), rs(V.log_softmax("z")).alias("log_softmax"))
 
 
-@query("f07_kernels", f", {_PAIR}, p AS (SELECT id, a, b, list_transform(a, lambda v: exp(v)) AS ea, list_transform(b, lambda v: exp(v)) AS eb FROM pair) SELECT id, round((list_inner_product(a, b) / 8 + 1) ** 3, 6) AS kernel, round(list_sum(list_transform(list_zip(ea, eb), lambda z: z[1] / list_sum(ea) * ln((z[1] / list_sum(ea)) / (z[2] / list_sum(eb))))), 6) AS kl FROM p", "features")
+@query("f07_kernels", f", {_PAIR}, p AS (SELECT id, a, b, list_transform(a, lambda v: exp(v)) AS ea, list_transform(b, lambda v: exp(v)) AS eb FROM pair) SELECT id, round((list_inner_product(a, b) / 64 + 1) ** 3, 6) AS kernel, round(list_sum(list_transform(list_zip(ea, eb), lambda z: z[1] / list_sum(ea) * ln((z[1] / list_sum(ea)) / (z[2] / list_sum(eb))))), 6) AS kl FROM p", "features")
 def f07(spark, sf):
     return pair(spark, sf).select("id", r(V.polynomial_kernel("a", "b")).alias("kernel"), r(V.kl_row(V.softmax("a"), V.softmax("b"))).alias("kl"))
 

@@ -93,9 +93,9 @@ def s09(spark, sf):
     return rows.select("path", "row", F.transform("x", lambda v: F.round(v.cast("double"), 5)).alias("x"))
 
 
-@query("s10_synthetic", "SELECT id, 64 AS dim FROM features", "features")
+@query("s10_synthetic", ", h AS (SELECT id, list_transform(range(0, 64), lambda d: md5('0:' || id || ':' || d)) AS h FROM features) SELECT id, list_transform(h, lambda m: round((sqrt(-2 * ln(('0x' || substr(m, 1, 8))::BIGINT / 4294967296.0::DOUBLE + pow(2, -32))) * cos(2 * pi() * ('0x' || substr(m, 9, 8))::BIGINT / 4294967296.0::DOUBLE))::FLOAT::DOUBLE, 4)) AS x FROM h", "features")
 def s10(spark, sf):
-    return R.with_normal_vectors(X.features(spark, sf), "id", 64).select("id", F.size("x").alias("dim"))
+    return R.with_normal_vectors(X.features(spark, sf), "id", 64).select("id", F.transform("x", lambda v: F.round(v.cast("double"), 4)).alias("x"))
 
 
 @query("k01_packed", "SELECT idx, path, class FROM manifest", "manifest")
@@ -114,9 +114,10 @@ def k03(spark, sf):
     return spark.read.parquet(root).select("idx", "split")
 
 
-@query("k04_statistics_cache", "SELECT side, count(*)::DOUBLE AS n FROM features GROUP BY side", "features")
+@query("k04_statistics_cache", X.COV + " SELECT c.side, c.i::INT AS i, c.j::INT AS j, round(a.mean, 8) AS mean_i, round(g - a.mean * b.mean, 8) AS cov FROM c JOIN m a ON a.side = c.side AND a.i = c.i JOIN m b ON b.side = c.side AND b.i = c.j", "features")
 def k04(spark, sf):
     root = folder(spark)
     f = X.features(spark, sf)
     G.cached_moments(f, root, {"set": "features"})
-    return G.cached_moments(f, root, {"set": "features"}).where("i = -2").select("side", F.get("row", F.lit(0)).alias("n"))
+    again = G.cached_moments(f.limit(0), root, {"set": "features"})  # from the store, not from the rows
+    return G.covariance(again).select("side", "i", "j", F.round("mean_i", 8).alias("mean_i"), F.round("cov", 8).alias("cov"))

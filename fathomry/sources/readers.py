@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,13 +108,14 @@ def unpacked_representations(contents: DataFrame) -> DataFrame:
 
 
 def with_normal_vectors(items: DataFrame, key: str, dim: int, seed: int = 0) -> DataFrame:
-    """key, x: a standard normal vector for each row, drawn from a seed and its key, so that partitions do not matter."""
+    """key, x: a standard normal vector for each row: two parts of a hash of the seed, its key and the dimension, as a length and an angle, so that partitions do not matter."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({key: frame[key], "x": [np.random.default_rng([seed, int(i)]).standard_normal(dim).astype(np.float32) for i in frame[key]]})
+    def normal(d: Column) -> Column:
+        h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"), F.lit(":"), d.cast("string")))
+        u, v = (F.conv(F.substring(h, a, 8), 16, 10).cast("double") / float(1 << 32) for a in (1, 9))
+        return (F.sqrt(-2 * F.log(u + 2.0**-32)) * F.cos(2 * np.pi * v)).cast("float")
 
-    return items.select(key).mapInPandas(run, f"{key} long, x array<float>")
+    return items.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), normal).alias("x"))
 
 
 def synthetic_representations(spark: SparkSession, n: int, dim: int, seed: int = 0) -> DataFrame:

@@ -296,3 +296,38 @@ def test_linear_probe_equals_numpy(spark):
             assert np.allclose(got[n], [((a[:100] @ w.T).argmax(1) == y[:100]).sum() / 101, 100 / 101])
     assert sorted(got) == [1, 4, 20] and got[20][0] > got[1][0] - 0.05
     assert linear_probe(df.limit(0), held, epochs=(1,)).count() == 0
+
+
+def test_presets_take_no_more_than_they_say(spark, monkeypatch):
+    monkeypatch.setitem(M.PRESETS, "eqt50k_int", {"metric": "psnr", "pairs": 7})
+    pairs = spark.createDataFrame([(i, float(i + 1), 0.0, 1) for i in range(40) for _ in range(3)], "id long, a double, b double, mask int")
+    drawn = [r.id for r in manifest.seeded_subset(spark.range(40), "id", 0, 7).collect()]
+    want = 20 * np.log10(2) - 10 * np.log10(np.mean([(i + 1) ** 2 for i in drawn]))
+    assert len(drawn) == 7 and np.isclose(M.compute("eqt50k_int", pairs).first().psnr, want)
+    monkeypatch.setitem(M.PRESETS, "is_512", {"metric": "is", "gen": 9, "splits": 1})
+    seen = {}
+    monkeypatch.setitem(M._REGISTRY, "is", lambda f, splits: seen.setdefault("ids", f))
+    M.compute("is_512", spark.range(30).selectExpr("id", "'gen' AS side"))
+    assert {r.id for r in seen["ids"].collect()} == {r.id for r in manifest.seeded_subset(spark.range(30), "id", 0, 9).collect()}
+
+
+@pytest.mark.parametrize("size", [7, 1 << 18])
+def test_postings(spark, size):
+    r = np.random.default_rng(2)
+    rows = [(None if c == 3 else f"c{c}", int(i)) for i, c in zip(r.permutation(500), np.minimum(r.integers(0, 12, 500), 4))]
+    items = spark.createDataFrame(rows, "class string, idx long").repartition(4)
+    made = manifest.class_postings(items, size=size).collect()
+    for c in {x for x, _ in rows}:
+        mine = sorted((p for p in made if p["class"] == c), key=lambda p: p.chunk)
+        want = sorted(i for x, i in rows if x == c)
+        assert [i for p in mine for i in p.rows] == want and [p.first for p in mine] == list(np.cumsum([0, *[len(p.rows) for p in mine]])[:-1])
+        assert size > 7 or max(len(p.rows) for p in mine) < 30
+    at = spark.createDataFrame([("c0", 0), (None, 5), ("c4", 100), ("c1", 10_000)], "class string, place long")
+    found = {(x["class"], x.place): x.idx for x in manifest.posting(manifest.class_postings(items, size=size), at).collect()}
+    assert found == {(c, p): sorted(i for x, i in rows if x == c)[p] for c, p in (("c0", 0), (None, 5), ("c4", 100))}
+
+
+def test_deduplication_stops_at_its_number(spark):
+    cells = [(i, m, y, 0, 1 - m / 10) for i in range(2) for m in range(5) for y in range(m, m + 3)]
+    df = spark.createDataFrame(cells, "image long, mask int, y int, x int, score double")
+    assert sorted((r.image, r.mask) for r in masks.deduplicated(df, most_iou=0.4, keep=2).collect()) == [(i, m) for i in range(2) for m in (0, 2)]
