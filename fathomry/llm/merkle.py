@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree over leaves, paragraphs and sections.
 
-A paragraph is a line; its leaves are runs of words cut where the words themselves say so, so that an edit moves few cuts. A
-section is `SECTION` paragraphs. Each node is the hash of its children's, so equal roots mean equal texts and `edits` finds
+A paragraph is a line; its leaves are runs of words cut where the words themselves say so, so that an edit moves few cuts, and
+every 64 characters where no word does. A section is `SECTION` paragraphs. Each node is the hash of its children's, so equal roots mean equal texts and `edits` finds
 what differs by walking down only where hashes differ. Likeness is the Dice share of the leaves
 two trees have in common, at their places or as sets.
 A fingerprint is the root and then the leaves, in hexadecimal digits.
@@ -9,7 +9,7 @@ A fingerprint is the root and then the leaves, in hexadecimal digits.
 Only DataFrame functions are used. Defined results: a null text counts as empty; an empty text has no leaves, is like another
 empty one (1.0) and unlike any other (0.0); equal rows have equal results, and among the documents in order they count once;
 rows with equal ids follow one another by a hash of their texts, and null ids come first; the only document is its own next
-one; an empty table gives an empty table; columns other than the id and the text are not carried.
+one; texts may be of any length; an empty table gives an empty table; columns other than the id and the text are not carried.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 SECTION = 8
-#: 14 characters at least, up to a space after one of these letters or marks; or the rest of the line.
-LEAF = r"[^\n]{14,}?[esnt.,;:!?#*$%&|<>-] |[^\n]+"
+#: 14 to 63 characters, up to a space after one of these letters or marks; 64 of them where there is none, as in scripts without spaces; or the rest of the line.
+LEAF = r"[^\n]{14,63}?[esnt.,;:!?#*$%&|<>-] |[^\n]{64}|[^\n]+"
 
 
 def tree(text: Column) -> Column:

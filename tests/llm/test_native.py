@@ -2,12 +2,16 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
+import xxhash
 from data import documents, rows, save
+from pyspark.sql import functions as F
 
 from fathomry.llm import merkle, mixing, sharding, urls
 
@@ -73,6 +77,28 @@ def test_shards(spark, sf):
     assert sorted(map(tuple, sharding.op2_sharding(spark, sf).collect())) == sorted(map(tuple, out))
 
 
+def test_shards_follow_the_highest_hash(spark, sf):
+    """shard and grown_shard by a plain highest-hash choice; each shard's buckets and what each holds by the record's hash."""
+
+    def best(key, shards):
+        def score(s):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", 11), 42)
+            h = xxhash.xxh64_intdigest(struct.pack("<i", s), h)
+            h = xxhash.xxh64_intdigest(struct.pack("<q", key), h)
+            return h - (1 << 64) if h >= 1 << 63 else h
+
+        return max(range(shards), key=lambda s: (score(s), s))
+
+    out = sharding.op2_sharding(spark, sf).collect()
+    assert all((r.shard, r.grown_shard) == (best(r.doc_id, 40), best(r.doc_id, 41)) for r in out)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("size", F.length("text").cast("long"))
+    dealt, n = sharding.scatter(docs, "doc_id", "size", 3, 11, 20_000)
+    rows_ = dealt.withColumn("h", F.xxhash64(F.lit(12), *docs.columns)).collect()
+    sizes = [sum(r["size"] for r in rows_ if r.shard == s) for s in range(3)]
+    counts = [max(1, -(-x // 20_000)) for x in sizes]
+    assert n == sum(counts) and all(r.bucket == sum(counts[: r.shard]) + r.h % counts[r.shard] for r in rows_)
+
+
 def test_shuffle_moves_whole_records(spark, tmp_path):
     docs = documents(spark).selectExpr("*", "coalesce(length(text), 0) + 16L as size")
     out = sharding.external_shuffle(docs, "doc_id", "size", shards=3, bucket_bytes=4000)
@@ -157,6 +183,48 @@ def test_fingerprints_of_awkward_rows(spark, tmp_path):
     assert merkle.op9_fingerprints(spark, save(spark, tmp_path, one.limit(0))).count() == 0
 
 
+def plain_tree(text):
+    """Root, paragraphs and leaves of a text, from its lines."""
+
+    def folded(hashes):
+        seed = 42
+        for h in hashes:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", h), seed)
+            h = seed
+        return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+    def signed(h):
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    lines = [[signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in re.findall(merkle.LEAF, line)] for line in text.split("\n")]
+    paragraphs = [folded(x) for x in lines]
+    sections = [folded(paragraphs[i : i + 8]) for i in range(0, len(paragraphs), 8)]
+    root = hashlib.md5("".join(f"{x & (1 << 64) - 1:X}" for x in sections).encode()).hexdigest()
+    return root, paragraphs, [h & 0xFFFFFFFF for x in lines for h in x]
+
+
+def plain_likeness(a, b):
+    if not a and not b:
+        return 1.0
+    return max(2 * sum(x == y for x, y in zip(a, b)) / (len(a) + len(b)), 2 * len(set(a) & set(b)) / (len(set(a)) + len(set(b))))
+
+
+def test_fingerprints_equal_a_plain_tree(spark, sf, tmp_path):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    texts += ["".join(chr(0x4E00 + (i * k) % 5000) for k in range(400)) for i in (7, 11, 13)] + ["a" * 400, "", "é\n\n" * 30, "x y\n" * 9]
+    path = save(spark, tmp_path, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: r for r in merkle.op9_fingerprints(spark, path).collect()}
+    for i, t in enumerate(texts):
+        nxt, m = texts[(i + 1) % len(texts)], len(t) // 2
+        own, new, other = plain_tree(t), plain_tree(t[: len(t) - m] + nxt[:m]), plain_tree(nxt)
+        told = lambda x: f"{x[0]}-" + "".join(f"{h:08x}" for h in x[2])
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (told(own), told(new))
+        assert np.isclose(got[i].near_edited, plain_likeness(own[2], new[2])) and np.isclose(got[i].near_next, plain_likeness(own[2], other[2]))
+        assert got[i].n_edited_paragraphs == sum(k >= len(new[1]) or p != new[1][k] for k, p in enumerate(own[1]))
+    for i in range(len(texts) - 7, len(texts) - 3):  # texts without blanks, half of each kept
+        assert got[i].near_edited >= 0.3
+
+
 def test_edits_are_located(spark):
     a = "\n".join(f"line number {i} of the text" for i in range(30))
     b = a.replace("number 17", "changed 17")
