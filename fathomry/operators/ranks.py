@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scans import at_or_below
+
 
 def shuffled(seed: int | str, key: Column) -> Column:
     """The sort key of a seeded permutation."""
@@ -33,17 +35,20 @@ def _ranked(df: DataFrame, keys: list[str], by: list[Column], name: str) -> Data
     return inside.join(offsets, same).withColumn(name, (F.col("__r") + F.col("__o")).cast("long")).drop("__b", "__c", "__o", "__r", *[f"__k{i}" for i in range(len(keys))])
 
 
-def hash_rank(df: DataFrame, key: Column, tie: str, *, keys: tuple[str, ...] = (), digits: int = 2, name: str = "rank") -> DataFrame:
-    """Rank from 0 by a hexadecimal hash, then tie; inside each value of keys."""
+def hash_rank(df: DataFrame, key: Column, tie: str, *, keys: tuple[str, ...] = (), digits: int = 3, name: str = "rank") -> DataFrame:
+    """Rank from 0 by a hexadecimal hash, then tie; inside each value of keys. Each key's rows are dealt to 16 ** digits buckets."""
     df = df.withColumn("__h", key)
     return _ranked(df.withColumn("__b", F.substring("__h", 1, digits)), list(keys), [F.col("__h"), F.col(tie)], name).drop("__h")
 
 
-def order_rank(df: DataFrame, by: str, *, buckets: int = 64, name: str = "rank") -> DataFrame:
-    """Rank from 0 by a numeric column without ties."""
-    cuts = df.agg(F.percentile_approx(by, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(by))) if cuts else F.lit(0)
-    return _ranked(df.withColumn("__b", bucket), [], [F.col(by)], name)
+def order_rank(df: DataFrame, by: str, *, rows: int = 1 << 18, name: str = "rank") -> DataFrame:
+    """Rank from 0 by a numeric column without ties. A bucket has about so many rows, or a 4096th of the table, if that is more."""
+    most = 4096
+    n, cuts = df.agg(F.count(F.lit(1)), F.percentile_approx(by, [i / most for i in range(1, most)], 10 * most)).first()
+    cuts = sorted(set((cuts or [])[:: max(1, most * rows // max(n, 1))]))
+    listed = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast(f"array<{df.schema[by].dataType.simpleString()}>")
+    dealt = df.withColumn("__cuts", listed).withColumn("__b", at_or_below("__cuts", F.col(by), max(1, len(cuts))))
+    return _ranked(dealt.drop("__cuts"), [], [F.col(by)], name)
 
 
 #: Cuts of a round of narrowing; values that may be collected to end it.

@@ -26,7 +26,7 @@ def _same(a: list[str], b: list[str]) -> Column:
     return out
 
 
-def _at_or_below(cuts: str, x: Column, most: int) -> Column:
+def at_or_below(cuts: str, x: Column, most: int) -> Column:
     """How many of the ascending cuts, `most` at most, are at or below x: by halving."""
 
     def step(s: Column, _: Column) -> Column:
@@ -51,7 +51,7 @@ def chunks(df: DataFrame, keys: list[str], order: str, value: str, *, size: int
         other = [f"__c{i}" for i in range(len(keys))]
         long = rows.join(counts.select(*[F.col(n).alias(c) for n, c in zip(named, other)]), _same(named, other), "left_semi")
         cuts = long.groupBy(*[F.col(n).alias(c) for n, c in zip(named, other)]).agg(F.array_distinct(F.percentile_approx("__o", [i / parts for i in range(1, parts)], 100 * parts)).alias("cuts"))
-        rows_below = _at_or_below("cuts", F.col("__o"), parts)
+        rows_below = at_or_below("cuts", F.col("__o"), parts)
         rows = rows.join(cuts, _same(named, other), "left").withColumn("chunk", F.when(F.col("cuts").isNull(), 0).otherwise(rows_below)).drop("cuts", *other)
     group = [*named, "chunk"]
     made = rows.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("__o", "__v"))), lambda s: s["__v"]).alias("values"))

@@ -39,3 +39,11 @@ def test_no_value_is_shuffled(spark):
     df = spark.range(20_000).selectExpr("id", "double(id) AS d")
     plan = M.trimmed_mean(df, "d", "id")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("rows", [3, 100, 1 << 18])
+def test_order_rank_by_buckets_of_any_size(spark, rows):
+    v = np.random.default_rng(3).permutation(2000) ** 2
+    df = spark.createDataFrame([(int(x),) for x in v], "v long").repartition(5)
+    assert [r["rank"] for r in ranks.order_rank(df, "v", rows=rows).orderBy("v").collect()] == list(range(2000))
+    assert ranks.order_rank(df.selectExpr("double(v) AS v"), "v", rows=rows).where("rank = 7").first().v == sorted(v)[7]
