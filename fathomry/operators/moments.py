@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 from ..functions.scalars import args_key
 from .tiles import _matrix
 
+#: Bytes of sums that a task holds.
+HELD = 256 << 20
+
 
 def partial(features: DataFrame, key: str = "side", x: str = "x") -> DataFrame:
-    """key, i, row: for i >= 0, row i of the sum of outer products; for i = -1 the sum of vectors; for i = -2 the count. Each task sums its rows before anything is shuffled."""
+    """key, i, row: for i >= 0, row i of the sum of outer products; for i = -1 the sum of vectors; for i = -2 the count. Each task sums its rows before anything is shuffled, and sends on what it has when the sums of many keys come to `HELD` bytes."""
+
+    def sent(sums: dict[object, list[np.ndarray]], kinds: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for k, (n, s, g) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * (2 + len(g)), kinds), pa.array([-2, -1, *range(len(g))], pa.int32()), pa.array([n.tolist(), s.tolist(), *g.tolist()])], names=["k", "i", "row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[object, list[np.ndarray]] = {}
@@ -28,8 +35,10 @@ def partial(features: DataFrame, key: str = "side", x: str = "x") -> DataFrame:
                 rows = m[names == k]
                 got = [np.array([len(rows)], float), rows.sum(axis=0), rows.T @ rows]
                 sums[k] = [a + b for a, b in zip(sums[k], got)] if k in sums else got
-        for k, (n, s, g) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * (2 + len(g)), kinds), pa.array([-2, -1, *range(len(g))], pa.int32()), pa.array([n.tolist(), s.tolist(), *g.tolist()])], names=["k", "i", "row"])
+            if sums and len(sums) * m.shape[1] ** 2 * 8 > HELD:
+                yield from sent(sums, kinds)
+                sums = {}
+        yield from sent(sums, kinds)
 
     kind = features.schema[key].dataType.simpleString()
     return features.select(key, x).mapInArrow(run, f"k {kind}, i int, row array<double>").withColumnRenamed("k", key)
@@ -54,8 +63,10 @@ def covariance(moments: DataFrame, key: str = "side", *, sample: bool = False) -
     return g.select(key, "i", "j", mean_i.alias("mean_i"), (cov * F.col("n") / (F.col("n") - 1) if sample else cov).alias("cov"))
 
 
-def collected(moments: DataFrame, key: str = "side") -> dict:
-    """key -> (n, mean, population covariance): D + 2 rows for each key come to the driver."""
+def collected(moments: DataFrame, key: str = "side", *, most: int = 16) -> dict:
+    """key -> (n, mean, population covariance): D + 2 rows for each key come to the driver; more keys than `most` are refused."""
+    if moments.where("i = -2").limit(most + 1).count() > most:
+        raise ValueError(f"moments of more than {most} keys stay a table: take covariance()")
     out: dict = {}
     for r in moments.collect():
         out.setdefault(r[key], {})[r["i"]] = np.array(r["row"])

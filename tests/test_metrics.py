@@ -331,3 +331,13 @@ def test_deduplication_stops_at_its_number(spark):
     cells = [(i, m, y, 0, 1 - m / 10) for i in range(2) for m in range(5) for y in range(m, m + 3)]
     df = spark.createDataFrame(cells, "image long, mask int, y int, x int, score double")
     assert sorted((r.image, r.mask) for r in masks.deduplicated(df, most_iou=0.4, keep=2).collect()) == [(i, m) for i in range(2) for m in (0, 2)]
+
+
+def test_moments_of_many_keys(spark, cloud, monkeypatch):
+    monkeypatch.setattr(moments, "HELD", 1000)
+    df = frame(spark, cloud, label=[i % 40 for i in range(120)]).repartition(2)
+    made = moments.merged(moments.partial(df, "label"), "label")
+    got = {r.label: r["row"][0] for r in made.where("i = -2").collect()}
+    assert got == {k: 3.0 for k in range(40)}
+    with pytest.raises(ValueError, match="more than 16 keys"):
+        moments.collected(made, "label")
