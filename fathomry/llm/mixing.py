@@ -7,7 +7,7 @@ rows is raked in one task without a shuffle; a larger one by windows over the di
 
 Only DataFrame functions are used. Defined results: nulls of a dimension are a value of their own; a null or empty text has
 no tokens and is kept with its cell's probability, or 0 in a cell without tokens; rows with equal ids are kept or dropped
-together; an empty table gives an empty table; input columns named like an output are replaced.
+together; texts may be of any length; an empty table gives an empty table; input columns named like an output are replaced.
 """
 
 from __future__ import annotations

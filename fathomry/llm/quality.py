@@ -7,7 +7,8 @@ below the mean is trusted: its documents are not held to the further rules. Only
 sums are sent through a shuffle.
 
 Defined results: a null or empty text has zero counts and fails (too few words); a document with a null host is judged by
-its own rules alone; equal rows get equal verdicts; texts may be of any length; an empty table gives an empty table; input columns
+its own rules alone; equal rows get equal verdicts, and rows with equal ids their
+own; a rate on a bound is within it; texts may be of any length; an empty table gives an empty table; input columns
 named like an output are replaced.
 """
 

@@ -10,8 +10,9 @@ Only DataFrame functions are used. The order inside a bucket before its permutat
 slots are counted from what was written.
 
 Defined results: a null text has no bytes and a size of 16; a null key is hashed like a value; equal rows have slots of their
-own, and more than `REPEATS` of them are dealt over the shard's buckets by their places in the input; an empty table gives an
-empty table; input columns named like an output are replaced.
+own, and more than `REPEATS` of them are dealt over the shard's buckets by their places in the input; rows with equal keys have
+one shard, and slots in the order of their bucket's permutation; texts may be of any length, and a bucket holds one row at least;
+an empty table gives an empty table; input columns named like an output are replaced.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ one link for each of its rows: components stay whole while no task emits a group
 is dealt over several tasks, two of its blocks to each.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and is linked like any other; equal rows
-have equal results; rows with a null id keep their fingerprint, and their component is the least id reachable, or null; an
-empty table gives an empty table.
+have equal results; rows with a null id keep their fingerprint, and their component is the least id reachable, or null; rows
+with equal ids are linked by their own texts; texts may be of any length (a task holds some 2 MB of them, or one text); an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ is a repeat; `maximal_repeats` joins the windows of such nodes that follow one a
 says why suffixes at anchors stand for all.
 
 Defined results: a null text, or one without words, has none; texts of fewer words than `length` stay whole; texts may be of
-any length; equal rows are one document, and different texts with one id are not earlier than each other; null ids come before
+any length; equal rows are one document, and of a window found in several documents the least id keeps it; different texts with one id are not
+earlier than each other; null ids come before
 all others; an empty table gives an empty table; input columns named like an output are replaced.
 """
 

@@ -8,7 +8,7 @@ of all suffixes between anchors, as in induced sorting. Groups too large for mem
 repeats.py and subtrees.py; README.md says why the full array is not kept.
 
 Defined results: a null or empty text has no bytes; texts shorter than `length` stay whole; texts may be of any length; equal
-rows are one document, and different texts with one id are not earlier than each other; null ids come before all others; an
+rows are one document, and of equal strings that of the least id, then the first start, stays; different texts with one id are not earlier than each other; null ids come before all others; an
 empty table gives an empty table; input columns named like an output are replaced.
 """
 
