@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs. The last one
 returns token ids in place of texts. SQL can express neither the fingerprints nor the tokens, so ORACLE_SQL is None, and
 tests/llm/test_pipeline.py holds run() against a brute-force version.
+
+Defined results: a null or empty text is rejected by the quality rules; a null id comes last where one document of a group stays,
+and first where strings are judged by who had them first; of equal rows one stays; of documents with one id and different texts
+each is judged by its own; a document that loses its whole text to suffix-array dedup goes; texts may be of any length; an empty
+table gives an empty table; columns besides those of documents are carried to the last stage, which replaces its own names.
 """
 
 from __future__ import annotations
