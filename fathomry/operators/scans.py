@@ -38,31 +38,45 @@ def at_or_below(cuts: str, x: Column, most: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(most.bit_length())), F.struct(F.lit(0).alias("a"), F.size(cuts).alias("b")), step, lambda s: s["a"])
 
 
+def long_series(df: DataFrame, keys: list[str], order: str, size: int) -> DataFrame | None:
+    """df with __chunk: the number, along the order, of the stretch of about `size` rows in which a row of its series lies; 0 in series of no more rows. None if no series has more."""
+    other = [f"__c{i}" for i in range(len(keys))]
+    counts = df.groupBy(*[F.col(k).alias(c) for k, c in zip(keys, other)]).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size)
+    most = counts.agg(F.max("n")).first()[0]
+    if most is None:
+        return None
+    parts = -(-most // size)
+    long = df.join(counts, _same(keys, other), "left_semi")
+    cuts = long.groupBy(*[F.col(k).alias(c) for k, c in zip(keys, other)]).agg(F.array_distinct(F.percentile_approx(order, [i / parts for i in range(1, parts)], 100 * parts)).alias("__cuts"))
+    chunk = F.when(F.col("__cuts").isNull(), 0).otherwise(at_or_below("__cuts", F.col(order), parts))
+    return df.join(cuts, _same(keys, other), "left").withColumn("__chunk", chunk).drop("__cuts", *other)
+
+
+def beside(rows: DataFrame, keys: list[str], totals: dict[str, Column], before: dict[str, Column]) -> DataFrame:
+    """rows (with __chunk) with columns told of the chunks before theirs. totals: aggregates of a chunk; before: aggregates over those of all chunks before."""
+    group = [*keys, "__chunk"]
+    at = [f"__b{i}" for i in range(len(group))]
+    sums = rows.groupBy(*group).agg(*[c.alias(n) for n, c in totals.items()])
+    told = sums.select(*[F.col(g).alias(b) for g, b in zip(group, at)], *[c.over(W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)).alias(n) for n, c in before.items()])
+    return rows.join(told, _same(group, at)).drop(*at)
+
+
 def chunks(df: DataFrame, keys: list[str], order: str, value: str, *, size: int = CHUNK, kind: str | None = "double") -> DataFrame:
     """keys, chunk, first (rows of the series before it), values (in order). chunk counts up along the series; a null value is a step without effect and is left out, and so is a null order. kind: the type of values; None: as they are."""
     named = [f"__k{i}" for i in range(len(keys))]
     rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, named)], F.col(order).alias("__o"), (F.col(value).cast(kind) if kind else F.col(value)).alias("__v")).where("__o is not null and __v is not null")
-    counts = rows.groupBy(*named).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size)
-    most = counts.agg(F.max("n")).first()[0]
-    if most is None:
-        rows = rows.withColumn("chunk", F.lit(0))
-    else:
-        parts = -(-most // size)
-        other = [f"__c{i}" for i in range(len(keys))]
-        long = rows.join(counts.select(*[F.col(n).alias(c) for n, c in zip(named, other)]), _same(named, other), "left_semi")
-        cuts = long.groupBy(*[F.col(n).alias(c) for n, c in zip(named, other)]).agg(F.array_distinct(F.percentile_approx("__o", [i / parts for i in range(1, parts)], 100 * parts)).alias("cuts"))
-        rows_below = at_or_below("cuts", F.col("__o"), parts)
-        rows = rows.join(cuts, _same(named, other), "left").withColumn("chunk", F.when(F.col("cuts").isNull(), 0).otherwise(rows_below)).drop("cuts", *other)
-    group = [*named, "chunk"]
+    dealt = long_series(rows, named, "__o", size)
+    rows = rows.withColumn("__chunk", F.lit(0)) if dealt is None else dealt
+    group = [*named, "__chunk"]
     made = rows.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("__o", "__v"))), lambda s: s["__v"]).alias("values"))
-    back = [F.col(n).alias(k) for n, k in zip(named, keys)]
-    if most is None:
-        return made.select(*back, "chunk", F.lit(0).cast("long").alias("first"), "values")
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(W.partitionBy(*named).orderBy("chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    back = [*[F.col(n).alias(k) for n, k in zip(named, keys)], F.col("__chunk").alias("chunk")]
+    if dealt is None:
+        return made.select(*back, F.lit(0).cast("long").alias("first"), "values")
     at = [f"__b{i}" for i in range(len(group))]
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy(*named).orderBy("__chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
     firsts = sizes.select(*[F.col(g).alias(b) for g, b in zip(group, at)], before.alias("first"))
-    return made.join(firsts, _same(group, at)).select(*back, "chunk", "first", "values")
+    return made.join(firsts, _same(group, at)).select(*back, "first", "values")
 
 
 def ema_map(values: str, first: str, decay: float) -> Column:

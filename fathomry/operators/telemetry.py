@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scans import CHUNK, chunks, clip_map, ema_map, joined
+from .scans import CHUNK, beside, chunks, clip_map, ema_map, joined, long_series
 
 
 def finite(x: str) -> Column:
@@ -40,26 +40,48 @@ def rates(ticks: DataFrame) -> DataFrame:
     return ticks.select("run", "tick", took.alias("sec_per_tick"), (took / (F.col("nimg") - F.coalesce(F.lag("nimg").over(w), F.lit(0))) * 1000).alias("sec_per_kimg"), (start - F.lag(end).over(w)).alias("maintenance"))
 
 
-def running_best(df: DataFrame, keys: list[str], order: str = "step", value: str = "value") -> DataFrame:
-    """df with best (the least so far) and is_new, true where the value is strictly less than all before."""
-    w = W.partitionBy(*keys).orderBy(order)
+def running_best(df: DataFrame, keys: list[str], order: str = "step", value: str = "value", *, size: int = CHUNK) -> DataFrame:
+    """df with best (the least so far) and is_new, true where the value is strictly less than all before (W3). A series of more than `size` rows is many tasks."""
+    long = long_series(df, keys, order, size)
+    w = W.partitionBy(*keys, *(["__chunk"] if long is not None else [])).orderBy(order)
     before = F.min(value).over(w.rowsBetween(W.unboundedPreceding, -1))
-    return df.withColumn("is_new", F.coalesce(F.col(value) < before, F.lit(True))).withColumn("best", F.least(F.col(value), before))
-
-
-def smoothed(df: DataFrame, keys: list[str], order: str = "step", value: str = "value", size: int = 20) -> DataFrame:
-    """df with lower median, mean, largest and last of the last `size` rows."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(1 - size, 0)
+    if long is not None:
+        df = beside(long, keys, {"__m": F.min(value)}, {"__least": F.min("__m")})
+        before = F.least(before, "__least")
+    return df.withColumn("is_new", F.coalesce(F.col(value) < before, F.lit(True))).withColumn("best", F.least(F.col(value), before)).drop("__chunk", "__least")
+
+
+def smoothed(df: DataFrame, keys: list[str], order: str = "step", value: str = "value", size: int = 20, *, chunk: int = CHUNK) -> DataFrame:
+    """df with lower median, mean, largest and last of the last `size` rows (W4). Of a series of more than `chunk` rows, stretches of that many by rank are a task each, with the size - 1 rows before them."""
+    chunk = max(chunk, size)
+    long = long_series(df, keys, order, chunk)
+    over = list(keys)
+    if long is not None:
+        ranked = beside(long, keys, {"__n": F.count(F.lit(1))}, {"__first": F.sum("__n")})
+        rank = F.coalesce("__first", F.lit(0)) + F.row_number().over(W.partitionBy(*keys, "__chunk").orderBy(order)) - 1
+        block = F.floor(F.col("__rank") / chunk)
+        into = F.when(F.col("__rank") % chunk > chunk - size, F.array(block, block + 1)).otherwise(F.array(block))
+        df = ranked.withColumn("__rank", rank).withColumn("__block", F.explode(into)).drop("__chunk", "__first")
+        over.append("__block")
+    w = W.partitionBy(*over).orderBy(order).rowsBetween(1 - size, 0)
     near = F.array_sort(F.collect_list(value).over(w))
     df = df.withColumn("__near", near)
     median = F.get("__near", F.floor((F.size("__near") - 1) / 2).cast("int"))
-    return df.withColumns({"median": median, "mean": F.avg(value).over(w), "most": F.max(value).over(w), "last": F.col(value)}).drop("__near")
-
-
-def cumulative_mean(df: DataFrame, keys: list[str], order: str = "step", value: str = "value") -> DataFrame:
-    """df with the mean so far."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("mean_so_far", F.sum(value).over(w) / F.count(value).over(w))
+    df = df.withColumns({"median": median, "mean": F.avg(value).over(w), "most": F.max(value).over(w), "last": F.col(value)}).drop("__near")
+    if long is not None:
+        df = df.where(F.floor(F.col("__rank") / chunk) == F.col("__block")).drop("__rank", "__block")
+    return df
+
+
+def cumulative_mean(df: DataFrame, keys: list[str], order: str = "step", value: str = "value", *, size: int = CHUNK) -> DataFrame:
+    """df with the mean so far (W5). A series of more than `size` rows is many tasks."""
+    long = long_series(df, keys, order, size)
+    w = W.partitionBy(*keys, *(["__chunk"] if long is not None else [])).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    s, n = F.sum(value).over(w), F.count(value).over(w)
+    if long is not None:
+        df = beside(long, keys, {"__s": F.sum(value), "__c": F.count(value)}, {"__sum": F.sum("__s"), "__count": F.sum("__c")})
+        s, n = (F.when(F.col(b).isNull(), x).otherwise(F.coalesce(x, F.lit(0)) + F.col(b)) for x, b in ((s, "__sum"), (n, "__count")))
+    return df.withColumn("mean_so_far", s / n).drop("__chunk", "__sum", "__count")
 
 
 def ema(df: DataFrame, keys: list[str], decay: float, order: str = "step", value: str = "value", *, size: int = CHUNK) -> DataFrame:

@@ -56,3 +56,17 @@ def test_prefixes_by_doubling():
         fa, fb = scans.affine_prefixes(a, b)
         s, lo, hi = scans.clip_prefixes(c, 0.0, 1.0)
         assert np.allclose(fa * 0.7 + fb, xs) and np.allclose(np.clip(0.2 + s, lo, hi), ps)
+
+
+@pytest.mark.parametrize("size", [10, 64])
+def test_windows_over_long_series(spark, size):
+    rows = [r for r in series(4) if r[0] != "tied" and None not in r]  # the order of ties is open
+    df = spark.createDataFrame(rows + [(None, 500, None), (None, 501, 7.0)], "k string, step long, value double").repartition(6)
+    wide = 1 << 18
+    for f, name in ((telemetry.running_best, "size"), (telemetry.smoothed, "chunk"), (telemetry.cumulative_mean, "size")):
+        whole, cut = f(df, ["k"], **{name: wide}), f(df, ["k"], **{name: size})
+        assert whole.columns == cut.columns
+        got, want = (sorted((tuple(r) for r in x.collect()), key=repr) for x in (cut, whole))
+        assert len(got) == len(want) == len(rows) + 2
+        for a, b in zip(got, want):
+            assert a[:3] == b[:3] and all(x == y if x is None or y is None or isinstance(x, bool) else np.isclose(x, y) for x, y in zip(a[3:], b[3:]))
