@@ -13,8 +13,8 @@ every prefix of its path whose length some rule has. The longest listed key wins
 host, which is a key of another list.
 
 Defined results: a null url, or one without `://`, has an empty host and path and fits no rule; repeated rows get equal
-verdicts and stay repeated; without rules, or with an empty list, nothing is listed; of rules of equal length that fit, all are
-the same rule; urls may be of any length; an empty table gives an empty table; columns other than the id and the url are not carried.
+verdicts and stay repeated; without rules, or with an empty list, nothing is listed; of rules of equal length that fit, the
+greatest string wins; urls may be of any length; an empty table gives an empty table; columns other than the id and the url are not carried.
 """
 
 from __future__ import annotations
