@@ -26,7 +26,7 @@ def folder(spark: SparkSession) -> str:
 
 
 #: Files that a stream reads, one to a trigger.
-FILES = 12
+FILES = 10
 
 
 def source(spark: SparkSession, sf: str, files: int = FILES) -> tuple[DataFrame, str]:
