@@ -199,3 +199,20 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", mine), (-7, 1, "assistant", mine)], rows.schema)
     return read_back(format_chats(rows.unionByName(more)))
+
+
+_STRINGS = "|".join(re.escape(c[0]) + r"\\*" + re.escape(c[1:]) for c in Template().controls)
+_BY = "ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST"
+
+ORACLE = rf"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(i, r)
+), t AS (
+  SELECT *, coalesce(role, '') AS r, coalesce(text, '') AS x FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' {_BY})) AS turns_sha256,
+  coalesce(sum(length(x)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(x, '' {_BY}) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(24 + length(r) + len(regexp_extract_all(r, '{_STRINGS}')) + len(regexp_extract_all(r, '[\\\n]')) + length(x) + len(regexp_extract_all(x, '{_STRINGS}')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""

@@ -285,3 +285,63 @@ def damaged(rows: DataFrame) -> DataFrame:
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(repair(damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))))
+
+
+def _told(q: str, more: str, letter: str, out: str = "") -> str:
+    """A state's derivation with one more edit."""
+    said = f"{q}.o" if not out else f"{q}.o || CASE WHEN {q}.n > 0 THEN chr(10) ELSE '' END || {out}"
+    return f"{{'c': {q}.c + {more}, 'a': {q}.a || '{letter}', 'n': {q}.n + {1 if out else 0}, 'o': {said}}}"
+
+
+def _least(*found: str) -> str:
+    return f"list_min([{', '.join(found)}])"
+
+
+_NONE = "{'c': 1000000000, 'a': '', 'n': 0, 'o': ''}"
+_KEPT, _UT, _AT = "role || ':' || text", "'user:'", "'assistant:'"
+
+
+def _row(state: str, before: list[str], initial: str, name: str) -> str:
+    """What leads to a state by an edit of a row; before: the states in which it may be kept or rerolled."""
+    free = "fault IN ('', 'truncated')"
+    found = [_told(state, "4", "D")]
+    for q in before:
+        found.append(f"CASE WHEN {free} AND role[1] = '{initial}' THEN {_told(q, '3 * late', 'K', _KEPT)} ELSE {_NONE} END")
+        if name:
+            found.append(f"CASE WHEN {free} THEN {_told(q, '3 + 3 * late', 'R', f'{name} || text')} ELSE {_NONE} END")
+    return _least(*found)
+
+
+ORACLE = rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), h AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)), lambda r, b:
+    list_reduce(list_prepend(xor(r, b), list_transform(range(8), lambda i: 0::BIGINT)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT) % 20 AS kind FROM k
+), d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, generate_series(1, 2) AS g(i) WHERE kind <> 0 AND (i = 1 OR kind = 3)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d
+), f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN '' ELSE 'truncated' END AS fault,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair, count(*) OVER (PARTITION BY conv_id) AS size FROM o
+), s AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'n': 0, 'o': ''}} AS q0, {_NONE} AS qs, {_NONE} AS qu, {_NONE} AS qa FROM conversations
+  UNION ALL
+  SELECT conv_id, i, {_told("q0", "4", "D")}, {_row("qs", ["q0"], "s", "")}, {_row("qu", ["q0", "qs", "qa"], "u", _UT)}, {_row("qa", ["qu"], "a", _AT)} FROM (
+    SELECT s.conv_id, f.i, role, text, fault, (fault = 'truncated')::INT AS late, q0, qs, qu, {_least("qa", _told("qu", "3", "I", _AT))} AS qa FROM (
+      SELECT conv_id, i, q0, qs, qa, {_least("qu", *(_told(q, "3", "I", _UT) for q in ("q0", "qs", "qa")))} AS qu FROM s) AS s
+    JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1)
+), e AS (
+  SELECT conv_id, {_least("q0", "qa", _told("qu", "3", "I", _AT))} AS best FROM (
+    SELECT s.conv_id, q0, qa, {_least("qu", *(_told(q, "3", "I", _UT) for q in ("q0", "qs", "qa")))} AS qu
+    FROM s LEFT JOIN (SELECT DISTINCT conv_id, size FROM f) AS z ON z.conv_id IS NOT DISTINCT FROM s.conv_id WHERE s.i = coalesce(z.size, 0))
+), c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  best.c::BIGINT AS cost, best.a AS audit, sha256(best.o) AS repaired_sha256 FROM e LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""

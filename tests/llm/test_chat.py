@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import duckdb
 import pyarrow as pa
 import pytest
 from data import save
@@ -109,3 +110,13 @@ def test_query(spark, tmp_path):
     assert {c: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for c, r in found.items()} == want
     t = Template()
     assert found[-7].formatted_chars == sum(len(t.header(r) + t.escape(mine.encode()) + t.end.encode()) for r in ("user", "assistant"))
+
+
+def test_query_equals_sql(spark, tmp_path):
+    spark.createDataFrame(awkward(), SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    found = con.execute(chat.ORACLE)
+    names = [d[0] for d in found.description]
+    want = sorted(found.fetchall(), key=repr)
+    assert sorted((tuple(r[n] for n in names) for r in QUERIES["op11_chat_format"](spark, str(tmp_path)).collect()), key=repr) == want

@@ -4,6 +4,7 @@ import re
 import zlib
 from functools import cache
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -100,6 +101,17 @@ def test_query_equals_recursion(spark, tmp_path):
     assert len({e for r in found for e in r.audit}) == 4
 
 
+def test_query_equals_sql(spark, tmp_path):
+    rows = [r[:4] for r in some(120, 11)]
+    spark.createDataFrame(rows, SCHEMA.rsplit(", ", 4)[0]).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    found = con.execute(repair.ORACLE)
+    names = [d[0] for d in found.description]
+    want = sorted(found.fetchall(), key=repr)
+    assert sorted((tuple(r[n] for n in names) for r in QUERIES["op12_conversation_repair"](spark, str(tmp_path)).collect()), key=repr) == want
+
+
 def test_query_on_given_tables(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     want = grouped((r[0], *damage(*r)) for r in rows)
