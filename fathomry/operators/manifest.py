@@ -163,9 +163,8 @@ def random_subsets(items: DataFrame, key: str, subsets: int, m: int, keys: tuple
         """Rows, once for each subset among those given in which their hash lies under the threshold for `want` rows."""
         share = F.least(F.lit(want) / F.col("__n"), F.lit(1.0))
         limit = F.when(share >= 1, "g").otherwise(F.lpad(F.lower(F.hex((share * float(16**digits)).cast("long"))), digits, "0"))
-        at = F.transform(among, lambda s: F.struct(s.alias("s"), h(s).alias("h")))
-        out = rows.withColumn("__limit", limit).withColumn("__at", F.explode(F.filter(at, lambda x: x["h"] < F.col("__limit"))))
-        return out.withColumns({"subset": F.col("__at.s"), "__h": F.col("__at.h")}).drop("__at", "__limit")
+        out = rows.withColumn("__limit", limit).withColumn("subset", F.explode(F.filter(among, lambda s: h(s) < F.col("__limit"))))
+        return out.withColumn("__h", h(F.col("subset"))).drop("__limit")
 
     want = m + slack * m**0.5 + slack * slack
     found = passed(sized, every, want).persist()
