@@ -25,22 +25,25 @@ def folder(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/streams-{uuid.uuid4().hex}"
 
 
-#: Files that a stream reads, one to a trigger.
-FILES = 10
+#: Stretches of time that a stream reads, one to a trigger; rows of a file at most, about.
+FILES, ROWS = 10, 200_000
 
 
 def source(spark: SparkSession, sf: str, files: int = FILES) -> tuple[DataFrame, str]:
-    """Telemetry as a folder of JSON lines, one file for each stretch of time, written in order, and the stream that tails it, one file to a trigger."""
+    """Telemetry as a folder of JSON lines and the stream that tails it: stretches of time written in order, each as equally many files, and one stretch to a trigger."""
     root = folder(spark)
-    rows = X.telemetry(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    rows.write.parquet(f"{root}/rows")
-    rows = spark.read.schema(rows.schema).parquet(f"{root}/rows")
-    cuts = rows.select(F.unix_micros("ts").alias("t")).agg(F.percentile_approx("t", [i / files for i in range(1, files)], 10_000)).first()[0]
-    for a, b in zip([None, *cuts], [*cuts, None]):
-        t = F.unix_micros("ts")
-        part = rows.where((F.lit(True) if a is None else t > a) & (F.lit(True) if b is None else t <= b))
-        part.coalesce(1).write.mode("append").json(f"{root}/in")
-    return S.tail(spark, f"{root}/in", SCHEMA, 1), root
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = X.table(spark, sf, "events").select(t.alias("t")).agg(F.percentile_approx("t", [i / files for i in range(1, files)], 10_000)).first()[0]
+    stretch = F.when(t.isNull(), -1).otherwise(sum(((t > c).cast("int") for c in cuts), F.lit(0)))
+    rows = X.telemetry(spark, sf).withColumn("stretch", stretch).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.write.partitionBy("stretch").parquet(f"{root}/rows")
+    rows = spark.read.schema(rows.schema).parquet(f"{root}/rows").where("stretch >= 0")
+    held = {r["stretch"]: r["count"] for r in rows.groupBy("stretch").count().collect()}
+    parts = max(1, min(held.get(i, 0) for i in range(files)) // ROWS)
+    for i in range(files):
+        part = rows.where(F.col("stretch") == i).drop("stretch")
+        (part.coalesce(1) if parts == 1 else part.repartition(parts)).write.mode("append").json(f"{root}/in")
+    return S.tail(spark, f"{root}/in", SCHEMA, parts), root
 
 
 def run(stream: DataFrame, root: str) -> DataFrame:

@@ -158,3 +158,26 @@ def test_folds_carry_their_state_over_any_cuts():
     plain = [min(values[: i + 1]) for i in range(60)]
     records = [f for k, f in folds().items() if "best" in k][0]
     assert list(records[0](records[1], np.arange(60), values)[1]["step"]) == [i for i in range(60) if i == 0 or values[i] < plain[i - 1]]
+
+
+def test_state_rows_are_for_parts_of_the_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "BUCKETS", 8, raising=False)
+    rows = [(k, i, f"n{k}", float(i + (k or 0)), i) for k in [None, 0, *range(1, 60)] for i in range(6)]
+    for a in (0, 3):
+        part = spark.createDataFrame([r for r in rows if a <= r[1] < a + 3], "run long, step long, name string, value double, i int").selectExpr("run", "timestamp_seconds(i) AS ts", "step", "name", "value", "1L AS n")
+        part.coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    banks = streams.last_n(streams.tail(spark, f"{tmp_path}/in", stream_queries.SCHEMA), ["run", "name"], 4)
+    query = streams._started(banks, f"{tmp_path}/out", f"{tmp_path}/state", "append", availableNow=True)
+    query.awaitTermination()
+    assert len(query.recentProgress) >= 2 and query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8
+    got = {(r.run, r.name, r.step): r.bank for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(k, n, i): [float(j + (k or 0)) for j in range(max(0, i - 3), i + 1)] for k, i, n, _, _ in rows}
+
+
+def test_stretches_of_several_files_come_one_to_a_trigger(spark, sf, monkeypatch):
+    monkeypatch.setattr(stream_queries, "ROWS", 100, raising=False)
+    rows, root = stream_queries.source(spark, sf, 3)
+    banks = streams.last_n(rows, ["run", "name"], 5)
+    query = streams._started(banks, f"{root}/out", f"{root}/state", "append", availableNow=True)
+    query.awaitTermination()
+    assert len(spark.read.json(f"{root}/in").inputFiles()) > 3 and len([p for p in query.recentProgress if p["numInputRows"]]) == 3
