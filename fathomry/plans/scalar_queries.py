@@ -12,11 +12,11 @@ from .registry import query
 
 
 def r(x: Column, digits: int = 6) -> Column:
-    return F.round(x, digits)
+    return S.rounded(x, digits)
 
 
 def rs(x: Column) -> Column:
-    return F.transform(x, lambda v: F.round(v, 6))
+    return F.transform(x, lambda v: S.rounded(v, 6))
 
 
 _PAIR = """pair AS (SELECT a.id, a.x AS a, b.x AS b FROM features a JOIN features b ON b.id = a.id + 1)"""
@@ -42,7 +42,7 @@ def f02(spark, sf):
 
 @query("f03_layer_norm", f", {_PAIR} SELECT id, list_transform(a, lambda v: round((v - list_avg(a)) / sqrt(list_var_pop(a) + 1e-6), 5)) AS ln FROM pair", "features")
 def f03(spark, sf):
-    return pair(spark, sf).select("id", F.transform(V.layer_norm("a"), lambda v: F.round(v, 5)).alias("ln"))
+    return pair(spark, sf).select("id", F.transform(V.layer_norm("a"), lambda v: S.rounded(v, 5)).alias("ln"))
 
 
 @query("f04_gather", f", {_PAIR} SELECT id, [round(a[64], 6), round(a[1], 6), round(a[1], 6)] AS taken, flatten(list_transform(a, lambda v: [round(v, 6), round(v, 6)])) AS twice FROM pair", "features")
