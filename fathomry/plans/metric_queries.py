@@ -8,12 +8,13 @@ from ..functions import vectors as V
 from ..operators import feature_metrics as M
 from ..operators import moments as G
 from ..operators import tiles
+from ..functions.scalars import rounded
 from . import fixtures as X
 from .registry import query
 
 
 def r(name, digits=6):
-    return F.round(name, digits).alias(name)
+    return rounded(name, digits).alias(name)
 
 
 @query("a01_moments", X.COV + " SELECT c.side, c.i::INT AS i, c.j::INT AS j, round(a.mean, 8) AS mean_i, round(g - a.mean * b.mean, 8) AS cov FROM c JOIN m a ON a.side = c.side AND a.i = c.i JOIN m b ON b.side = c.side AND b.i = c.j", "features")
@@ -265,7 +266,7 @@ def j08(spark, sf):
 def j09(spark, sf):
     p = X.features(spark, sf).select("id", F.floor(F.col("id") / 16).alias("batch"), "x")
     found = tiles.nearest(p, p, 16, metric="cos", keys=("batch",))
-    return found.select("batch", "id", F.col("neighbour").alias("other"), F.round("score", 6).alias("s"))
+    return found.select("batch", "id", F.col("neighbour").alias("other"), rounded("score", 6).alias("s"))
 
 
 @query("j10_kernel_sums", ", p AS (SELECT id, side, label, x FROM features) SELECT u.label, u.side AS p, v.side AS q, round(sum((list_inner_product(u.x, v.x) / 64 + 1) ** 3), 4) AS s FROM p u JOIN p v ON u.label = v.label GROUP BY ALL", "features")
@@ -279,12 +280,12 @@ def j10(spark, sf):
 def j12(spark, sf):
     f = X.features(spark, sf)
     found = tiles.all_pairs(f.where("id % 5 = 0"), f.where("label = 0"), metric="dot")
-    return found.select("id", F.col("neighbour").alias("bank"), F.round("score", 6).alias("s"))
+    return found.select("id", F.col("neighbour").alias("bank"), rounded("score", 6).alias("s"))
 
 
 @query("j14_mixup", ", r AS (SELECT id, x, (row_number() OVER (ORDER BY id) - 1) // 32 AS batch, (row_number() OVER (ORDER BY id) - 1) % 32 AS k FROM features), n AS (SELECT batch, count(*) AS n FROM r GROUP BY batch) SELECT u.id, v.id AS partner, list_transform(list_zip(u.x, v.x), lambda z: round(0.7 * z[1] + (1 - 0.7) * z[2], 6)) AS x FROM r u JOIN n ON n.batch = u.batch JOIN r v ON v.batch = u.batch AND v.k = n - 1 - u.k", "features")
 def j14(spark, sf):
-    return M.mixup(X.features(spark, sf), 32, 0.7).select("id", "partner", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+    return M.mixup(X.features(spark, sf), 32, 0.7).select("id", "partner", F.transform("x", lambda v: rounded(v, 6)).alias("x"))
 
 
 @query("o04_radius", ", d AS (SELECT a.id, list_distance(a.x, b.x) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) AS k FROM features a JOIN features b ON a.side = b.side) SELECT id, round(d, 6) AS r FROM d WHERE k = 4", "features")
@@ -315,7 +316,7 @@ def x04(spark, sf):
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(m.tolist())], names=["id", "x"])
 
     out = M.extracted(X.features(spark, sf).select("id", "x"), twice, "id long, x array<double>")
-    return out.select("id", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+    return out.select("id", F.transform("x", lambda v: rounded(v, 6)).alias("x"))
 
 
 @M.metric("mean_norm")
@@ -344,7 +345,7 @@ def x05(spark, sf):
         return row | {"x": (v / np.sqrt(v @ v)).tolist()}
 
     out = M.transformed(X.features(spark, sf).select("id", "label", "x"), unit, "id long, label int, x array<double>")
-    return out.select("id", "label", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+    return out.select("id", "label", F.transform("x", lambda v: rounded(v, 6)).alias("x"))
 
 
 @query("x03b_preset_equivariance", ", k AS (SELECT image, row_number() OVER (ORDER BY md5('0:' || image), image) AS k FROM (SELECT DISTINCT image FROM pixels)) SELECT round(20 * log10(2) - 10 * log10(sum((a.v - b.v) ** 2 * (a.x < 6)::INT) / sum((a.x < 6)::INT)), 6) AS psnr FROM pixels a JOIN pixels b ON b.image = a.image AND a.y = b.y AND a.x = 7 - b.x JOIN k ON k.image = a.image WHERE k <= 50000", "features pixels")
