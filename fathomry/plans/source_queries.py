@@ -7,6 +7,7 @@ import io
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.scalars import rounded
 from ..operators import moments as G
 from ..sources import readers as R
 from ..sources import sinks
@@ -90,12 +91,12 @@ def s09(spark, sf):
 
     X.features(spark, sf).select("id", "label", "x").groupBy("label").applyInArrow(pack, "path string, content binary").write.parquet(root)
     rows = R.unpacked_representations(spark.read.parquet(root))
-    return rows.select("path", "row", F.transform("x", lambda v: F.round(v.cast("double"), 5)).alias("x"))
+    return rows.select("path", "row", F.transform("x", lambda v: rounded(v.cast("double"), 5)).alias("x"))
 
 
 @query("s10_synthetic", ", h AS (SELECT id, list_transform(range(0, 64), lambda d: md5('0:' || id || ':' || d)) AS h FROM features) SELECT id, list_transform(h, lambda m: round((sqrt(-2 * ln(('0x' || substr(m, 1, 8))::BIGINT / 4294967296.0::DOUBLE + pow(2, -32))) * cos(2 * pi() * ('0x' || substr(m, 9, 8))::BIGINT / 4294967296.0::DOUBLE))::FLOAT::DOUBLE, 4)) AS x FROM h", "features")
 def s10(spark, sf):
-    return R.with_normal_vectors(X.features(spark, sf), "id", 64).select("id", F.transform("x", lambda v: F.round(v.cast("double"), 4)).alias("x"))
+    return R.with_normal_vectors(X.features(spark, sf), "id", 64).select("id", F.transform("x", lambda v: rounded(v.cast("double"), 4)).alias("x"))
 
 
 @query("k01_packed", "SELECT idx, path, class FROM manifest", "manifest")
