@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Bytes of a block's vectors; of vectors that a task packs at once; scores held at once.
-BYTES, PACK, SCORES = 32 << 20, 64 << 20, 4_000_000
+#: Bytes of a block's vectors; of vectors that a task packs at once; scores held at once; rows of a block, so that a task's pairs are bounded.
+BYTES, PACK, SCORES, ROWS = 32 << 20, 64 << 20, 4_000_000, 1 << 14
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -124,7 +124,7 @@ def _dealt(queries: DataFrame, bank: DataFrame, keys: list[str], block: int | No
     if not keys:
         n_q, n_b = queries.count(), known.count()
         # no larger than BYTES allow, no larger than keeps all cores at work, and not so small that copies outweigh that
-        rows = block or max(1, min(BYTES // (8 * max(1, dim)), max(1024, math.isqrt(n_q * n_b // (2 * spark.sparkContext.defaultParallelism)))))
+        rows = block or max(1, min(ROWS, BYTES // (8 * max(1, dim)), max(1024, math.isqrt(n_q * n_b // (2 * spark.sparkContext.defaultParallelism)))))
         counts = [max(1, -(-n // rows)) for n in (n_q, n_b)]
         return tuple(df.withColumns({"__bin": F.lit(0), own: F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(mine)).cast("int"), "__n": F.lit(other)}) for df, own, mine, other in ((queries, "__q", *counts), (bank, "__b", *reversed(counts))))
     rows = block or max(1, BYTES // (8 * max(1, dim)))
@@ -135,7 +135,7 @@ def _dealt(queries: DataFrame, bank: DataFrame, keys: list[str], block: int | No
     large = F.greatest("__nq", "__nb") > max(1, rows // 8)
     total = both.agg(F.sum(F.when(~large, F.greatest("__nq", "__nb")))).first()[0] or 0
     bins = max(1, -(-total // rows) if block else min(total // 1024 + 1, max(-(-total // rows), 2 * spark.sparkContext.defaultParallelism)))
-    split = {c: F.when(large, F.ceil(F.col(n) / rows)).otherwise(1).cast("int") for c, n in (("__bq", "__nq"), ("__bb", "__nb"))}
+    split = {c: F.when(large, F.ceil(F.col(n) / min(rows, block or ROWS))).otherwise(1).cast("int") for c, n in (("__bq", "__nq"), ("__bb", "__nb"))}
     both = both.select(*names.values(), F.when(large, -1).otherwise(F.pmod(F.xxhash64(F.lit(5), *names.values()), F.lit(bins))).cast("int").alias("__bin"), *[v.alias(k) for k, v in split.items()])
 
     def side(df: DataFrame, own: str, mine: str, other: str) -> DataFrame:
