@@ -43,7 +43,8 @@ def scatter(df: DataFrame, key: str, size: str, shards: int, seed: int, bucket_b
     counts = [max(1, -(-found.get(s, 0) // bucket_bytes)) for s in range(shards)]
     record = F.xxhash64(F.lit(seed + 1), *names)
     many = df.groupBy(record.alias("__h")).count().where(F.col("count") > REPEATS).select("__h", F.lit(True).alias("__many"))
-    dealt = dealt.withColumn("__at", F.monotonically_increasing_id()).withColumn("__h", record).join(many, "__h", "left")
+    # one row at most for each REPEATS records, so that no record is shuffled to meet it
+    dealt = dealt.withColumn("__at", F.monotonically_increasing_id()).withColumn("__h", record).join(F.broadcast(many), "__h", "left")
     salted = F.when(F.col("__many"), F.xxhash64("__h", "__at")).otherwise(F.col("__h"))
     first = [sum(counts[:s]) for s in range(shards)]
     n, before = (F.get(F.array(*[F.lit(x) for x in xs]), F.col("shard")) for xs in (counts, first))
@@ -68,9 +69,9 @@ def read_shards(df: DataFrame, path: str) -> DataFrame:
     schema = without(df, "shard", "slot", "bucket").schema.add("bucket", "long").add("slot", "integer").add("shard", "integer")
     rows = df.sparkSession.read.schema(schema).parquet(path)
     sizes = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    # one row for each bucket
+    # one row for each bucket, so that no record is shuffled again
     before = sizes.select(F.col("bucket").alias("b"), F.expr("sum(n) over (partition by shard order by bucket) - n").alias("before"))
-    return rows.join(before, F.col("bucket") == F.col("b")).withColumn("slot", F.col("before") + F.col("slot")).select(*schema.names[:-3], "shard", "slot")
+    return rows.join(F.broadcast(before), F.col("bucket") == F.col("b")).withColumn("slot", F.col("before") + F.col("slot")).select(*schema.names[:-3], "shard", "slot")
 
 
 def external_shuffle(df: DataFrame, key: str, size: str, *, shards: int, seed: int = 11, bucket_bytes: int = 8 << 20) -> DataFrame:

@@ -111,6 +111,20 @@ def test_shuffle_moves_whole_records(spark, tmp_path):
     assert sharding.external_shuffle(docs.limit(0), "doc_id", "size", shards=3).count() == 0
 
 
+def test_records_are_shuffled_once(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("size", F.octet_length("text"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt, _ = sharding.scatter(docs, "doc_id", "size", 4, 11, 50_000)
+        sharding.write_shards(docs, f"{tmp_path}/shards", "doc_id", "size", shards=4, bucket_bytes=50_000)
+        for df in (dealt, sharding.read_shards(docs, f"{tmp_path}/shards")):
+            assert "SortMergeJoin" not in df._jdf.queryExecution().toString()
+            assert df.count() == docs.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_shuffle_leaves_no_order(spark):
     rows_ = spark.range(2000).selectExpr("id", "16L as size")
     ids = [r.id for r in sharding.external_shuffle(rows_, "id", "size", shards=1).orderBy("slot").collect()]
