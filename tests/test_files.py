@@ -181,3 +181,16 @@ def test_stretches_of_several_files_come_one_to_a_trigger(spark, sf, monkeypatch
     query = streams._started(banks, f"{root}/out", f"{root}/state", "append", availableNow=True)
     query.awaitTermination()
     assert len(spark.read.json(f"{root}/in").inputFiles()) > 3 and len([p for p in query.recentProgress if p["numInputRows"]]) == 3
+
+
+def test_the_state_has_no_more_parts_than_cores(spark, sf):
+    rows, root = stream_queries.source(spark, sf, 2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        query = streams._started(streams.records(rows, ["run", "name"]), f"{root}/out", f"{root}/state", "append", availableNow=True)
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numShufflePartitions"] == spark.sparkContext.defaultParallelism == 4
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "16"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
