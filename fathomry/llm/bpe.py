@@ -23,6 +23,33 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
 
 
+class Endings:
+    """Tokens read from their last byte to the first, as a trie."""
+
+    def __init__(self, tokens: dict[bytes, int]) -> None:
+        children: dict[int, int] = {}
+        ids = [-1]
+        for name, token in tokens.items():
+            node = 0
+            for b in reversed(name):
+                key = node << 8 | b
+                if (node := children.get(key, 0)) == 0:
+                    node = children[key] = len(ids)
+                    ids.append(-1)
+            ids[node] = token
+        keys, nodes = np.array(list(children), np.int64), np.array(list(children.values()), np.int64)
+        order = np.argsort(keys)
+        self.keys, self.nodes = keys[order], nodes[order]
+        self.ids = np.array([*ids, -1], np.int32)  # node -1 is none
+
+    def step(self, nodes: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes one byte further, and the token of each, or -1."""
+        keys = nodes << 8 | letters
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        out = np.where(self.keys[at] == keys, self.nodes[at], -1)
+        return out, self.ids[out]
+
+
 class Merges:
     """The merge rules of one vocabulary."""
 
@@ -48,6 +75,48 @@ class Merges:
         self.bytes_of = {i: b"".join(map(value.__getitem__, name.removesuffix(suffix) if suffix else name)) for name, i in vocab.items() if i not in self.special.values() and all(c in value for c in name.removesuffix(suffix))}
         self.whole = {b: i for i, b in self.bytes_of.items()} if not suffix else {}
         self.longest = max(map(len, self.whole), default=0)
+        self.sound: list[bool] | None = None
+        self._endings: Endings | None = None
+
+    def endings(self) -> Endings:
+        if self._endings is None:
+            self._endings = Endings(self.whole)
+        return self._endings
+
+    def keep(self, left: int, right: int) -> bool:
+        """Whether merging the bytes of two tokens (or, with -1 as the left one, of the right one alone) gives these tokens. For two, their own merges are undone from the last one back, each time asking whether a pair across the seam would have been merged before; at equal rank the pair further left is."""
+        if self.sound is None:
+            self._split()
+        if not self.sound[right] or (left >= 0 and not self.sound[left]):
+            return False
+        if left < 0:
+            return True
+        if left in self.many or right in self.many:
+            return self.merge([self.bytes_of[left] + self.bytes_of[right]])[0].tolist() == [left, right]
+        by_pair, split, width, limit = self.by_pair, self.split, self.width, _NONE
+        while True:
+            made = by_pair.get(left * width + right)
+            if made is not None and made < limit:
+                return False
+            a, b = split.get(left), split.get(right)
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and a[0] > b[0]):
+                limit, left = a[0], a[2]
+            else:
+                limit, right = b[0] + 1, b[1]
+
+    def _split(self) -> None:
+        """Of each token, the rule that makes it and its two parts; which tokens more than one rule makes; which ones their own bytes are merged to."""
+        parts = {p: divmod(p, self.width) for p in self.by_pair}
+        self.split = {int(self.made[r]): (r, *parts[p]) for p, r in self.by_pair.items()}
+        times = np.bincount(self.made, minlength=self.width)
+        self.many = set(np.flatnonzero(times > 1).tolist())
+        tokens = list(self.bytes_of)
+        flat, starts = self.merge([self.bytes_of[t] for t in tokens])
+        self.sound = [False] * self.width
+        for t, n, i in zip(tokens, np.diff(starts).tolist(), starts.tolist()):
+            self.sound[t] = n == 1 and int(flat[i]) == t
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair's rule, or _NONE. Negative ids mark padding."""

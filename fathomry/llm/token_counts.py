@@ -2,19 +2,20 @@
 
 A text is a row of units, each a run of white space and the run of other characters after it; no token crosses from one unit
 to the next. So the count at any prefix follows a recurrence: count(prefix) = count(up to the unit it ends in) + count(what
-it takes of that unit). `prefix_counts` stores the first term for every unit, and inside a unit a second recurrence over its
-bytes gives the count of every prefix from those of shorter ones. So the unit in which a budget ends is all that is looked
-into, and no further than a count can still come back under the budget; questions about budgets and truncation never encode a
-text again.
-
-Defined results: a null or empty text has no units and no tokens; equal texts have equal counts; a unit may be of any length (a
-budget of n tokens looks at the bytes of n tokens of it and a token's length more; all its prefixes take time in proportion);
-special strings in a unit part it, and less than one is text; equal rows get equal results; an empty table gives an empty table; input columns named like an output are replaced.
+it takes of that unit). Inside a unit the same holds of its words (the vocabulary's parts of a text), and inside a word a second
+recurrence over its bytes gives the count of every prefix from that of a shorter one: the last token of a prefix is the one that
+keeps its place beside the last token of what comes before it. `prefix_counts` stores the count at every prefix; the count of a
+text is that of its longest prefix, and questions about budgets and truncation are searches in what is stored.
+
+Defined results: a null or empty text has no units, prefixes or tokens; equal texts have equal counts; a unit may be of any length
+(time and memory are in proportion); special strings in a unit part it, and less than one is text; equal rows get equal results; an
+empty table gives an empty table; input columns named like an output are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from itertools import chain
 from pathlib import Path
 
@@ -27,34 +28,82 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Merges, split_special
+from .bpe import LONG, Merges, split_special
 from .classes import WHITE, finder
 from .common import append, raw, table
 
 #: The byte-level vocabularies' pattern for parts of a text.
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}%s\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}%s])|[{WHITE}]+"
-#: Two noncharacters that part units, and parts of a unit around a special string, so that one search serves many units; a unit that holds one of them is searched alone.
-_END, _BREAK = "\ufdd0", "\ufdd1"
-_parts, _together = finder(_PATTERN % ("", "")), finder(f"[{_END}{_BREAK}]|" + _PATTERN % (_END + _BREAK, _END + _BREAK))
+#: A noncharacter that parts units, so that one search serves many; a unit that holds it is searched alone.
+_END = "\ufdd0"
+_parts, _together = finder(_PATTERN % ("", "")), finder(f"{_END}|" + _PATTERN % (_END, _END))
 _WHITE_OF_MORE_BYTES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _UNITS, _ASCII_UNITS = regex.compile(rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+"), re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _SPACE = regex.compile(rf"[{WHITE}]*")
-#: Distinct units, and bytes of them, that a task remembers.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 16_000_000
-#: Bytes of a unit up to which each of its prefixes is counted as a unit.
-SHORT = 48
+_RUN = re.compile(f"[{WHITE}]{{2,}}")
+#: Distinct units or words, and characters of them, that a task remembers.
+REMEMBERED, REMEMBERED_CHARACTERS = 200_000, 8_000_000
+
+
+class Store:
+    """Counts at every prefix, by characters and without the empty one, of many distinct strings, end to end in one array."""
+
+    def __init__(self) -> None:
+        self.index: dict = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.index.clear()
+        self.flat, self.starts, self.sizes, self.totals = np.zeros(1 << 16, np.int32), *(np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.n = 0
+
+    def full(self, more: int) -> bool:
+        return bool(self.index) and (len(self.index) + more > REMEMBERED or self.n > REMEMBERED_CHARACTERS)
+
+    def add(self, strings: list, counts: np.ndarray, sizes: np.ndarray) -> None:
+        """Distinct strings that are not known, and their counts end to end."""
+        k, n = len(self.index), self.n
+        self.flat = _room(self.flat, n + len(counts))
+        self.flat[n : n + len(counts)] = counts
+        ends = n + np.cumsum(sizes)
+        for name, values in (("starts", ends - sizes), ("sizes", sizes), ("totals", np.where(sizes > 0, self.flat[np.maximum(ends - 1, 0)], 0))):
+            held = _room(getattr(self, name), k + len(strings))
+            held[k : k + len(strings)] = values
+            setattr(self, name, held)
+        self.index.update(zip(strings, range(k, k + len(strings))))
+        self.n += len(counts)
+
+    def ids(self, strings: Iterable, n: int) -> np.ndarray:
+        return np.fromiter(map(self.index.__getitem__, strings), np.int64, n)
+
+    def of(self, string) -> np.ndarray:
+        i = self.index[string]
+        return self.flat[self.starts[i] : self.starts[i] + self.sizes[i]]
+
+    def joined(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of rows of strings, ids[bounds[i]:bounds[i + 1]] each: counts at every prefix of the strings of a row put together, end to end; how many a row has; its count at each string's end. count(prefix) = count(up to its last string) + count(the rest of it)."""
+        totals, sizes = self.totals[ids], self.sizes[ids]
+        ends, at = np.cumsum(totals), np.concatenate([[0], np.cumsum(sizes)])
+        ends -= np.repeat(np.concatenate([[0], ends])[bounds[:-1]], np.diff(bounds))
+        counts = self.flat[np.repeat(self.starts[ids] - at[:-1], sizes) + np.arange(at[-1])]
+        counts += np.repeat((ends - totals).astype(np.int32), sizes)
+        return counts, np.diff(at[bounds]), ends
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """x with room for n values."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
 
 
 class Counter:
-    """Counts tokens of units, and remembers them."""
+    """Counts the tokens of every prefix of words and units, and remembers them."""
 
     def __init__(self, description: bytes):
         self.merges = Merges(description)
         self.special = [s.encode() for s in self.merges.special]
-        self.known: dict[bytes, int] = {}
-        self.before: dict[bytes, int] = {}
-        self.n_bytes = 0
+        self.known, self.words = Store(), Store()
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.asked, self.asked_yes = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
 
     def units(self, text: bytes) -> list[bytes]:
         if not text.isascii() and _WHITE_OF_MORE_BYTES.search(decoded := text.decode()):
@@ -62,39 +111,95 @@ class Counter:
         return _ASCII_UNITS.findall(text)
 
     def learn(self, units: set[bytes]) -> None:
-        fresh = units - self.known.keys()
-        if len(self.known) + len(fresh) > REMEMBERED or self.n_bytes > REMEMBERED_BYTES:
-            # what was not asked for since the last time is forgotten
-            self.before, self.known, fresh, self.n_bytes = self.known, {}, units, 0
-        again = fresh & self.before.keys()
-        self.known.update(zip(again, map(self.before.__getitem__, again)))
-        new = list(fresh - again)
-        self.n_bytes += sum(map(len, fresh))
-        extra = np.zeros(len(new), np.int64)
-        parts: list[str] = []
-        for i, u in enumerate(new):
-            if b"\xef\xb7" in u:
-                extra[i] = self._alone(u)
-                parts.append("")
-            elif b"<|" in u:
-                split = split_special(u, self.special)
-                extra[i] = sum(is_special for _, is_special in split)
-                parts.append(_BREAK.join(x.decode() for x, is_special in split if not is_special))
-                extra[i] -= max(0, sum(not is_special for _, is_special in split) - 1)
+        """Counts at every prefix of units, from those of their words."""
+        fresh = units - self.known.index.keys()
+        if self.known.full(len(fresh)):
+            self.known.forget()
+            fresh = units
+        plain: list[bytes] = []
+        for u in fresh:
+            if b"<|" in u or b"\xef\xb7" in u:
+                counts = self.unit_prefixes(u)[1][1:]
+                self.known.add([u], np.array(counts, np.int32), np.array([len(counts)]))
             else:
-                parts.append(u.decode())
-        # one search over all units; a break counts as the end of a text, and as one word
-        words = _together(_END.join(parts))
-        distinct = {w: k for k, w in enumerate(dict.fromkeys([_END, *words]))}
-        _, starts = self.merges.merge([b"" if w == _END else b"!" if w == _BREAK else w.encode() for w in distinct])
-        at = np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))
-        total = extra + np.bincount(np.cumsum(at == 0), np.diff(starts)[at], len(new)).astype(np.int64)
-        self.known.update(zip(new, total.tolist()))
-
-    def _alone(self, unit: bytes) -> int:
-        split = split_special(unit, self.special)
-        _, starts = self.merges.merge([w.encode() for x, is_special in split if not is_special for w in _parts(x.decode())])
-        return int(starts[-1]) + sum(is_special for _, is_special in split)
+                plain.append(u)
+        if not plain:
+            return
+        # one search over all units; each is followed by an end
+        texts = [u.decode() for u in plain]
+        words = _together(_END.join([*texts, ""]))
+        runs = {i: m[0] for i, m in enumerate(map(_RUN.match, texts)) if m}
+        self._learn_words({*words, *runs.values()})
+        ids = self.words.ids(words, len(words))
+        is_end = ids == self.words.index[_END]
+        bounds = np.concatenate([[0], np.cumsum(~is_end)[is_end]])
+        counts, sizes, _ = self.words.joined(ids[~is_end], bounds)
+        starts = np.cumsum(sizes) - sizes
+        for i, run in runs.items():  # what ends inside the white space is one word
+            counts[starts[i] : starts[i] + len(run)] = self.words.of(run)
+        self.known.add(plain, counts, sizes)
+
+    def _learn_words(self, words: set[str]) -> None:
+        fresh = words - self.words.index.keys()
+        if self.words.full(len(fresh)):
+            self.words.forget()
+            fresh = words
+        odd = {w for w in fresh if len(w) > LONG // 4 and len(w.encode()) > LONG or w[0] == "'" and w[1:].isalpha()}
+        for w in odd:
+            x = w.encode()
+            counts = np.array((self._contraction if x[:1] == b"'" and x[1:].isalpha() else self._recurrence)(x)[1:], np.int32)
+            counts = counts[(np.frombuffer(x[1:] + b" ", np.uint8) & 0xC0) != 0x80]
+            self.words.add([w], counts, np.array([len(counts)]))
+        if _END in fresh:
+            self.words.add([_END], np.zeros(0, np.int32), np.zeros(1, np.int64))
+        rest = [(w, x) for w, x in zip(fresh, map(str.encode, fresh)) if w not in odd and w != _END]
+        rest.sort(key=lambda r: -len(r[1]))
+        for k in range(0, len(rest), 50_000):
+            some, encoded = zip(*rest[k : k + 50_000])
+            self.words.add(list(some), *self._many(encoded))
+
+    def _many(self, words: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each prefix by characters of many words, the longest first, end to end, and how many each has: the recurrence, one place of all words at a time."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(lengths[0])
+        used = np.arange(width) < lengths[:, None]
+        data = np.zeros((len(words), width + 1), np.uint8)
+        data[:, :width][used] = np.frombuffer(b"".join(words), np.uint8)
+        counts, last = np.zeros((len(words), width + 1), np.int32), np.full((len(words), width + 1), -1, np.int32)
+        tokens = self.merges.endings()
+        for i in range(1, width + 1):
+            rows = np.arange(np.searchsorted(-lengths, -i, "right"))
+            node = np.zeros(len(rows), np.int64)
+            for k in range(i - 1, -1, -1):
+                node, token = tokens.step(node, data[rows, k])
+                kept = np.flatnonzero(token >= 0)
+                kept = kept[self._stay(last[rows[kept], k], token[kept])]
+                done = rows[kept]
+                counts[done, i], last[done, i] = counts[done, k] + 1, token[kept]
+                if len(kept) == len(rows):
+                    break
+                rows, node = np.delete(rows, kept), np.delete(node, kept)
+        used &= (data[:, 1:] & 0xC0) != 0x80
+        return counts[:, 1:][used], used.sum(axis=1)
+
+    def _stay(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """_stays of many pairs. What was last asked for is held in a table with one place for each hash."""
+        keys = (left.astype(np.int64) + 1) * self.merges.width + right
+        slots = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+        found, missed = self.asked_yes[slots], np.flatnonzero(self.asked[slots] != keys)
+        if len(missed):
+            fresh, at = np.unique(keys[missed], return_inverse=True)
+            pairs = zip((fresh // self.merges.width - 1).tolist(), (fresh % self.merges.width).tolist())
+            told = np.array([known if (known := self.pairs.get(p)) is not None else self._stays(p) for p in pairs])
+            found[missed] = told[at]
+            # of keys with one slot the last one keeps it, in both tables
+            self.asked[slots[missed]] = keys[missed]
+            self.asked_yes[slots[missed]] = found[missed]
+        return found
+
+    def _contraction(self, part: bytes) -> list[int]:
+        """Tokens of each prefix of a contraction, by bytes: it may be more than one part."""
+        return [0, *(int(self.merges.merge([x.encode() for x in _parts(part[:i].decode())])[1][-1]) for i in range(1, len(part) + 1))]
 
     def unit_prefixes(self, unit: bytes, most: int | None = None) -> tuple[list[int], list[int]]:
         """Byte ends of a unit's prefixes by characters, the empty one first, and the tokens of each. most: what is longer than the last prefix of at most so many tokens is left out, or most of it, and not looked at."""
@@ -134,7 +239,7 @@ class Counter:
         at = before = 0
         for part in map(str.encode, _parts(text)):
             if part[:1] == b"'" and part[1:].isalpha():  # of a contraction, a prefix is more than one part
-                made = [0, *(int(self.merges.merge([x.encode() for x in _parts(part[:i].decode())])[1][-1]) for i in range(1, len(part) + 1))]
+                made = self._contraction(part)
             else:
                 made = self._recurrence(part, None if most is None else most - before)
             counts += [before + made[i] for i in range(max(1, space + 1 - at), len(made))]
@@ -147,12 +252,15 @@ class Counter:
 
     def _recurrence(self, part: bytes, most: int | None = None) -> list[int]:
         """Tokens of part[:i] for each i. The last token of a prefix is the one that keeps its place beside the last token of what comes before it, so count(i) = count(i less its bytes) + 1; merges never undo that, and just one token does. So a count is over the least of those a token's length before it: once they are all over `most`, no later one is not, and the rest is left out."""
-        ids, longest = self.merges.whole, self.merges.longest
+        ids, longest, pairs, stays = self.merges.whole, self.merges.longest, self.pairs, self._stays
         counts, last, over = [0], [-1], 0
         for i in range(1, len(part) + 1):
             for k in range(i - 1, max(-1, i - longest - 1), -1):
-                token = ids.get(part[k:i], -1)
-                if token >= 0 and self._stays(last[k], token):
+                token = ids.get(part[k:i])
+                if token is None:
+                    continue
+                kept = pairs.get(key := (last[k], token))
+                if kept or kept is None and stays(key):
                     counts.append(counts[k] + 1)
                     last.append(token)
                     break
@@ -161,52 +269,40 @@ class Counter:
                 break
         return counts
 
-    def _stays(self, left: int, right: int) -> bool:
-        """Whether merging the bytes of two tokens (or, with -1, of the right one alone) gives these tokens."""
-        key = (left, right)
-        if key not in self.pairs:
-            if len(self.pairs) > REMEMBERED:
-                self.pairs.clear()
-            text = b"".join(self.merges.bytes_of[t] for t in key if t >= 0)
-            self.pairs[key] = self.merges.merge([text])[0].tolist() == [t for t in key if t >= 0]
-        return self.pairs[key]
+    def _stays(self, key: tuple[int, int]) -> bool:
+        """Whether merging the bytes of two tokens (or, with -1, of the right one alone) gives these tokens; remembered."""
+        if len(self.pairs) > 5 * REMEMBERED:
+            self.pairs.clear()
+        found = self.pairs[key] = self.merges.keep(*key)
+        return found
 
     def longest_prefixes(self, rows: list[list[bytes]], starts: np.ndarray, ends: np.ndarray, totals: np.ndarray, limit: int) -> list[int]:
         """Bytes of each row's longest prefix, by characters, of at most `limit` tokens."""
-        out, open_ = [], []
-        for i, (units, a, b) in enumerate(zip(rows, starts.tolist(), starts[1:].tolist())):
+        out = []
+        for units, a, b in zip(rows, starts.tolist(), starts[1:].tolist()):
             k = int(np.searchsorted(totals[a:b], limit, "right"))
-            out.append(int(ends[a + k - 1]) if k else 0)
-            if k < b - a:
-                open_.append((i, units[k], limit - (int(totals[a + k - 1]) if k else 0)))
-        # short units' prefixes are counted in one go
-        short = {u: [p for p in (u[:e] for e in range(1, len(u))) if u[len(p)] & 0xC0 != 0x80] for _, u, _ in open_ if len(u) <= SHORT}
-        made = set().union(*short.values())
-        self.learn(made)
-        for i, unit, left in open_:
-            if unit in short:
-                out[i] += max((len(p) for p in short[unit] if self.known[p] <= left), default=0)
-            else:
-                at, counts = self.unit_prefixes(unit, left)
-                out[i] += max(e for e, n in zip(at, counts) if n <= left)
+            n = int(ends[a + k - 1]) if k else 0
+            if k < b - a:  # the budget ends in this unit
+                left = limit - (int(totals[a + k - 1]) if k else 0)
+                fits = np.flatnonzero(self.known.of(units[k]) <= left)
+                n += len(units[k].decode()[: int(fits[-1]) + 1].encode()) if len(fits) else 0
+            out.append(n)
         return out
 
     def prefixes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows' boundaries among units; byte end and token total at each unit's end, from its text's start."""
-        return self.of_units([self.units(x) for x in texts])
+        return self.of_units([self.units(x) for x in texts])[:3]
 
-    def of_units(self, rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of_units(self, rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What prefixes() gives, then the counts at every prefix of all texts end to end, and how many each text has."""
         self.learn(set().union(*rows))
         starts = np.zeros(len(rows) + 1, np.int64)
         np.cumsum([len(r) for r in rows], out=starts[1:])
         n = int(starts[-1])
         ends = np.cumsum(np.fromiter(map(len, chain.from_iterable(rows)), np.int64, n))
-        totals = np.cumsum(np.fromiter(map(self.known.__getitem__, chain.from_iterable(rows)), np.int64, n))
-        sizes = np.diff(starts)
-        for x in (ends, totals):
-            base = np.concatenate([[0], x])[starts[:-1]]
-            x -= np.repeat(base, sizes)
-        return starts, ends, totals
+        ends -= np.repeat(np.concatenate([[0], ends])[starts[:-1]], np.diff(starts))
+        counts, sizes, totals = self.known.joined(self.known.ids(chain.from_iterable(rows), n), starts)
+        return starts, ends, totals, counts, sizes
 
 
 def _counter(key: str, shared: Broadcast) -> Counter:
@@ -221,10 +317,10 @@ _COUNTERS: dict = {}
 
 
 def prefix_counts(docs: DataFrame, vocabulary: str, text: str = "text", *, limit: int | None = None) -> DataFrame:
-    """docs with unit_ends (byte offsets) and token_totals (tokens up to each); with a limit (0 or more), also n_bytes_kept, the bytes of the longest prefix of at most so many tokens. vocabulary: path of a byte-level BPE description in JSON."""
+    """docs with prefix_tokens (tokens of every prefix: element n is the count of the first n characters), unit_ends (byte offsets) and token_totals (tokens up to each); with a limit (0 or more), also n_bytes_kept, the bytes of the longest prefix of at most so many tokens. vocabulary: path of a byte-level BPE description in JSON."""
     description = Path(vocabulary).read_bytes()
     key, shared = xxhash.xxh64_hexdigest(description), docs.sparkSession.sparkContext.broadcast(description)
-    fields = [T.StructField(n, T.ArrayType(T.IntegerType(), False)) for n in ("unit_ends", "token_totals")]
+    fields = [T.StructField(n, T.ArrayType(T.IntegerType(), False)) for n in ("prefix_tokens", "unit_ends", "token_totals")]
     fields += [T.StructField("n_bytes_kept", T.LongType())] if limit is not None else []
 
     def make():
@@ -232,10 +328,10 @@ def prefix_counts(docs: DataFrame, vocabulary: str, text: str = "text", *, limit
 
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
             rows = [counter.units(x) for x in raw(batch.column(text))]
-            starts, ends, totals = counter.of_units(rows)
-            at = pa.array(starts.astype(np.int32))
+            starts, ends, totals, counts, sizes = counter.of_units(rows)
             kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
-            out = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32)), type=kind) for x in (ends, totals)]
+            at, each = pa.array(starts.astype(np.int32)), pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            out = [pa.ListArray.from_arrays(o, pa.array(x.astype(np.int32, copy=False)), type=kind) for o, x in ((each, counts), (at, ends), (at, totals))]
             if limit is not None:
                 out.append(pa.array(counter.longest_prefixes(rows, starts, ends, totals, limit), pa.int64()))
             return out
@@ -245,9 +341,9 @@ def prefix_counts(docs: DataFrame, vocabulary: str, text: str = "text", *, limit
     return append(docs, fields, make, text)
 
 
-def n_tokens(totals: str = "token_totals") -> Column:
-    """Tokens of the whole text."""
-    return F.coalesce(F.try_element_at(totals, F.lit(-1)), F.lit(0)).cast("long")
+def n_tokens(counts: str = "prefix_tokens") -> Column:
+    """Tokens of the whole text: those of its longest prefix (token_totals ends in the same number)."""
+    return F.coalesce(F.try_element_at(counts, F.lit(-1)), F.lit(0)).cast("long")
 
 
 def unit_prefix_counts(description: bytes, unit: str) -> list[int]:

@@ -131,6 +131,43 @@ def test_the_longest_prefix(spark):
             assert r.n_bytes_kept == brute_kept(lib, texts[r.doc_id] or "", limit)
 
 
+def test_counts_at_every_prefix_are_stored(spark):
+    lib = tokenizers.Tokenizer.from_file(BYTE)
+    texts = [None, *ODD, *unicode_texts(8, 300), "a1!" * 40, "\n\n \n" * 9 + "end", "日本語 'tis we're'" * 5, "\ufdd0 a\ufdd0 <|endoftext|><|endof"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in token_counts.prefix_counts(docs, BYTE).collect():
+        t = texts[r.doc_id] or ""
+        assert r.prefix_tokens == [len(e.ids) for e in lib.encode_batch([t[:i] for i in range(1, len(t) + 1)], add_special_tokens=False)]
+        assert (r.prefix_tokens or [0])[-1] == (r.token_totals or [0])[-1]
+
+
+def test_words_are_counted_by_the_recurrence_alone(monkeypatch):
+    counter = token_counts.Counter(open(BYTE, "rb").read())
+    counter.merges.keep(-1, 0)  # reads the rules
+    monkeypatch.setattr(counter.merges, "merge", None)
+    lib = tokenizers.Tokenizer.from_file(BYTE)
+    texts = prose() + ["x" * 200 + " y", "日本語テキスト" * 9]
+    starts, ends, totals, counts, sizes = counter.of_units([counter.units(t.encode()) for t in texts])
+    assert sizes.tolist() == list(map(len, texts))
+    assert counts[np.cumsum(sizes) - 1].tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_pairs_of_tokens_that_merging_keeps():
+    merges, r = Merges(open(BYTE, "rb").read()), random.Random(3)
+    short = [t for t, b in merges.bytes_of.items() if len(b) <= 3]
+    pairs = [(r.choice(some), r.choice(some)) for some in (short, list(merges.bytes_of)) for _ in range(3000)]
+    flat, starts = merges.merge([merges.bytes_of[a] + merges.bytes_of[b] for a, b in pairs])
+    assert [merges.keep(a, b) for a, b in pairs] == [tuple(flat[i:j].tolist()) == p for p, i, j in zip(pairs, starts.tolist(), starts[1:].tolist())]
+
+
+def test_what_is_forgotten_is_counted_again(monkeypatch):
+    monkeypatch.setattr(token_counts, "REMEMBERED", 5)
+    lib, counter = tokenizers.Tokenizer.from_file(BYTE), token_counts.Counter(open(BYTE, "rb").read())
+    for t in prose() + ODD:
+        counts = counter.of_units([counter.units(t.encode())])[3]
+        assert counts[-1:].tolist() == [len(lib.encode(t, add_special_tokens=False).ids)] * bool(t)
+
+
 def test_the_counting_query(spark, sf):
     lib = tokenizers.Tokenizer.from_file(BYTE)
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
