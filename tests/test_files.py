@@ -194,3 +194,10 @@ def test_the_state_has_no_more_parts_than_cores(spark, sf):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "16"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_stream_is_given_only_the_columns_that_it_reads(spark, sf):
+    rows, root = stream_queries.source(spark, sf, 2, "ts timestamp, name string, value double")
+    made, events = spark.read.parquet(f"{root}/rows"), spark.read.parquet(f"{sf}/events.parquet")
+    assert sorted(made.columns) == ["name", "stretch", "ts", "value"] and rows.columns == ["ts", "name", "value"]
+    assert spark.read.json(f"{root}/in").count() == events.count()
