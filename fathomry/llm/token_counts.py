@@ -199,7 +199,7 @@ class Counter:
 
     def _contraction(self, part: bytes) -> list[int]:
         """Tokens of each prefix of a contraction, by bytes: it may be more than one part."""
-        return [0, *(int(self.merges.merge([x.encode() for x in _parts(part[:i].decode())])[1][-1]) for i in range(1, len(part) + 1))]
+        return [0, *(sum(self._recurrence(x.encode())[-1] for x in _parts(part[:i].decode())) for i in range(1, len(part) + 1))]
 
     def unit_prefixes(self, unit: bytes, most: int | None = None) -> tuple[list[int], list[int]]:
         """Byte ends of a unit's prefixes by characters, the empty one first, and the tokens of each. most: what is longer than the last prefix of at most so many tokens is left out, or most of it, and not looked at."""

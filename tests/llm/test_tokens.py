@@ -146,7 +146,7 @@ def test_words_are_counted_by_the_recurrence_alone(monkeypatch):
     counter.merges.keep(-1, 0)  # reads the rules
     monkeypatch.setattr(counter.merges, "merge", None)
     lib = tokenizers.Tokenizer.from_file(BYTE)
-    texts = prose() + ["x" * 200 + " y", "日本語テキスト" * 9]
+    texts = prose() + ["x" * 200 + " y", "日本語テキスト" * 9, "we're don't"]
     starts, ends, totals, counts, sizes = counter.of_units([counter.units(t.encode()) for t in texts])
     assert sizes.tolist() == list(map(len, texts))
     assert counts[np.cumsum(sizes) - 1].tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
