@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Links to a file: small tables are not written, and read again in the next round, as one file for each shuffle partition.
+LINKS = 100_000
+
 
 def _contract(links: DataFrame, large: bool) -> DataFrame:
     """One star step on links (a, b) with a > b. Large: every larger neighbour of a vertex is tied to the least of its neighbours and itself. Small: every smaller one and the vertex itself are."""
@@ -28,11 +31,11 @@ def _contract(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(a, b): each vertex that has links and is not the least of its component, with that least vertex. links: (a, b) with a > b."""
     links = written(links.distinct(), "links")
-    before = None
+    before, n = None, links.count()
     while True:
-        links = written(_contract(_contract(links, large=True), large=False), "stars")
+        links = written(_contract(_contract(links, large=True), large=False).coalesce(1 + n // LINKS), "stars")
         # a fixed point keeps count and sums
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             return links
-        before = now
+        before, n = now, now[0]

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, kept, raw, scratch, table, without, written
+from .common import append, kept, raw, scratch, small_batches, table, without, written
 from .components import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -271,7 +271,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group with a similarity of 0.8 or more (five-word shingles), that of the least id (then of the least hash of its text; null ids last): SimHash candidates, and those that 64 bits miss (see similar.py)."""
     from .similar import similar
 
-    with scratch():
+    with scratch(), small_batches(spark):
         each = similar(docs).groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("rows"))
         one = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "rows")).alias("m"))
         one = kept(one.select(F.col("m.doc_id").alias("__id"), F.col("m.th").alias("__th"), F.col("m.rows").alias("__rows")), "kept")

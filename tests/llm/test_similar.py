@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from data import LONG, TEXTS, documents, prose, rows
 
-from fathomry.llm import similar, simhash
+from fathomry.llm import common, components, similar, simhash
 
 
 def brute(docs, size=5):
@@ -120,3 +121,34 @@ def test_places_in_the_order_lose_no_pair():
             late = similar.Rows.made(np.zeros(80, np.int64), np.arange(80), n, n // 2, np.arange(80), bits)
             cut += late.slack(np.array([i]), np.array([j]))[0] < 0
     assert alike and cut == 80 * 79 // 2
+
+
+def test_long_texts_come_in_small_batches(spark, sf, monkeypatch):
+    seen, write = [], simhash.written
+
+    def spied(df, name):
+        seen.append(df.sparkSession.conf.get(common.BATCH_BYTES, None))
+        return write(df, name)
+
+    monkeypatch.setattr(similar, "written", spied)
+    simhash.stage(spark, spark.read.parquet(f"{sf}/documents.parquet").limit(20), sf)
+    assert seen and set(seen) == {str(common.BATCH)} and spark.conf.get(common.BATCH_BYTES, None) is None
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    with common.small_batches(spark):
+        got = [r.n for r in spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 4000) as text").mapInArrow(sizes, "n long").collect()]
+    assert len(got) > 1 and max(got) < 2 * common.BATCH
+
+
+def test_few_links_are_one_file(spark):
+    links = spark.createDataFrame([(i + 1, i) for i in range(40)], "a long, b long")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = components.components(links)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sorted(map(tuple, out.collect())) == [(i, 0) for i in range(1, 41)] and len(out.inputFiles()) == 1
