@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Bytes of a block's vectors; of vectors that a task packs at once; scores held at once; rows of a block, so that a task's pairs are bounded.
-BYTES, PACK, SCORES, ROWS = 32 << 20, 64 << 20, 4_000_000, 1 << 14
+#: Bytes of a block's vectors; of vectors that a task packs at once; scores held at once; rows of a block, so that a task's pairs are bounded;
+#: the same where pairs become rows; the fewest pairs that are sorted (few have no equal values); rows that a task hands on at once.
+BYTES, PACK, SCORES, ROWS, PAIRS, SORTED, BATCH = 32 << 20, 64 << 20, 4_000_000, 1 << 14, 2000, 1 << 19, 1 << 18
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -203,7 +204,7 @@ def tiles(queries: DataFrame, bank: DataFrame, fold: Callable[[Side], object], f
                         made.add(*products(some, near, metric), some, r, near)
                 rows, arrays = made.told()
                 out.append(pa.Table.from_arrays([*[x.slice(i, j - i).take(pa.array(rows)) for x in qk], *[pa.array(x, t) for x, t in zip(arrays, arrow.types[len(keys) :])]], schema=arrow))
-        return pa.concat_tables(out) if out else arrow.empty_table()
+        return pa.Table.from_batches([b for t in out for b in t.to_batches(BATCH)], arrow)
 
     pairs = _packed(left, keys, left_more, "__b", "__q").groupBy(*group).cogroup(_packed(right, keys, right_more, "__q", "__b").groupBy(*group))
     return pairs.applyInArrow(run, schema)
@@ -249,28 +250,47 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, *, metric: str = "l2",
 
 
 class _Pairs:
-    """Every pair as a row."""
+    """Every pair as a row. Those of equal values in a large part of the product lie together, so files keep a value once for them all."""
 
-    def __init__(self, left: Side, metric: str) -> None:
-        self.metric, self.found = metric, []
+    def __init__(self, left: Side, metric: str, value: Callable[[np.ndarray], np.ndarray] | None) -> None:
+        self.metric, self.value, self.found = metric, value, []
 
     def add(self, s: np.ndarray, off: np.ndarray, left: Side, first: int, right: Side) -> None:
-        rows, cols = (x.ravel() for x in np.indices(s.shape))
         real = s.ravel()
         if self.metric == "l2":  # equal vectors have no distance
             close = np.flatnonzero(s >= -2 * off[:, None])
-            real[close] = exact(left.x[rows[close]], right.x[cols[close]], self.metric)
-        self.found.append((rows + first, left.ids[rows], right.ids[cols], real))
+            rows, cols = np.divmod(close, s.shape[1])
+            real[close] = exact(left.x[rows], right.x[cols], self.metric)
+        if self.value:
+            real = self.value(real)
+        at = np.arange(len(real), dtype=np.uint64)
+        if len(at) >= SORTED:  # as integers: a value's first bits, then its place
+            at |= real.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)
+            at.sort()
+        at = at.astype(np.uint32)
+        rows, cols = np.divmod(at, np.uint32(s.shape[1]))
+        self.found.append((rows + np.uint32(first), left.ids[rows], right.ids[cols], real[at]))
 
     def told(self) -> tuple[np.ndarray, list]:
-        rows, *rest = (np.concatenate(x) for x in zip(*self.found))
+        rows, *rest = (x[0] if len(x) == 1 else np.concatenate(x) for x in zip(*self.found))
         return rows, rest
 
 
-def all_pairs(queries: DataFrame, bank: DataFrame, *, metric: str = "l2", keys: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
-    """keys, id, neighbour, score of every pair with equal keys, where the pairs themselves are asked for."""
+def half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded half away from zero, as in SQL engines; what is rounded to zero keeps its sign."""
+    scaled = np.abs(x)
+    scaled *= 10.0**digits
+    whole = np.floor(scaled)
+    scaled -= whole
+    whole += scaled >= 0.5
+    whole /= 10.0**digits
+    return np.copysign(whole, x, out=whole)
+
+
+def all_pairs(queries: DataFrame, bank: DataFrame, *, metric: str = "l2", keys: tuple[str, ...] = (), block: int | None = None, value: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """keys, id, neighbour, score of every pair with equal keys, where the pairs themselves are asked for (J7, J12). value: what stands for the scores, reckoned inside tasks."""
     fields = [T.StructField("id", queries.schema["id"].dataType), T.StructField("neighbour", bank.schema["id"].dataType), T.StructField("score", T.DoubleType())]
-    return tiles(queries, bank, lambda left: _Pairs(left, metric), fields, metric=metric, keys=keys, block=block or 1024)
+    return tiles(queries, bank, lambda left: _Pairs(left, metric, value), fields, metric=metric, keys=keys, block=block or PAIRS)
 
 
 class _Sums:

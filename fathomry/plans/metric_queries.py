@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -251,7 +252,8 @@ def a37(spark, sf):
 def j07(spark, sf):
     f = X.features(spark, sf)
     sides = [f.where(F.col("side") == s).select("label", "id", "x") for s in ("gen", "real")]
-    return tiles.all_pairs(*sides, keys=("label",)).select("id", "neighbour", F.round(F.sqrt(-F.col("score")), 6).alias("d"))
+    found = tiles.all_pairs(*sides, keys=("label",), value=lambda s: tiles.half_up(np.sqrt(-s), 6))
+    return found.select("id", "neighbour", F.col("score").alias("d"))
 
 
 @query("j08_within", _manifold("SELECT id, hit FROM h WHERE side = 'gen'", "AND a.label = b.label"), "features")
@@ -279,8 +281,8 @@ def j10(spark, sf):
 @query("j12_bank", ", q AS (SELECT id, x FROM features WHERE id % 5 = 0), b AS (SELECT id, x FROM features WHERE label = 0) SELECT q.id, b.id AS bank, round(list_inner_product(q.x, b.x), 6) AS s FROM q, b", "features")
 def j12(spark, sf):
     f = X.features(spark, sf)
-    found = tiles.all_pairs(f.where("id % 5 = 0"), f.where("label = 0"), metric="dot")
-    return found.select("id", F.col("neighbour").alias("bank"), rounded("score", 6).alias("s"))
+    found = tiles.all_pairs(f.where("id % 5 = 0"), f.where("label = 0"), metric="dot", value=lambda s: tiles.half_up(s, 6))
+    return found.select("id", F.col("neighbour").alias("bank"), F.col("score").alias("s"))
 
 
 @query("j14_mixup", ", r AS (SELECT id, x, (row_number() OVER (ORDER BY id) - 1) // 32 AS batch, (row_number() OVER (ORDER BY id) - 1) % 32 AS k FROM features), n AS (SELECT batch, count(*) AS n FROM r GROUP BY batch) SELECT u.id, v.id AS partner, list_transform(list_zip(u.x, v.x), lambda z: round(0.7 * z[1] + (1 - 0.7) * z[2], 6)) AS x FROM r u JOIN n ON n.batch = u.batch JOIN r v ON v.batch = u.batch AND v.k = n - 1 - u.k", "features")
