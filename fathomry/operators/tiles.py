@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of a block's vectors; of vectors that a task packs at once; scores held at once; rows of a block, so that a task's pairs are bounded;
 #: the same where pairs become rows; the fewest pairs that are sorted (few have no equal values); rows that a task hands on at once.
-BYTES, PACK, SCORES, ROWS, PAIRS, SORTED, BATCH = 32 << 20, 64 << 20, 4_000_000, 1 << 14, 2000, 1 << 19, 1 << 18
+BYTES, PACK, SCORES, ROWS, PAIRS, SORTED, BATCH = 32 << 20, 64 << 20, 4_000_000, 1 << 14, 2400, 1 << 19, 1 << 18
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -168,8 +168,8 @@ def _codes(left: list[pa.Array], right: list[pa.Array], n: int, m: int) -> tuple
     return out[:n], out[n:]
 
 
-def tiles(queries: DataFrame, bank: DataFrame, fold: Callable[[Side], object], fields: list[T.StructField], *, metric: str, keys: tuple[str, ...] = (), more: tuple[list[str], list[str]] = ([], []), block: int | None = None, sized: DataFrame | None = None) -> DataFrame:
-    """keys and fields: what folds make of each pair of blocks with equal keys. fold(left) makes one; its add(scores, off, left part, its first row, right part) is called for each part of the product, and told() gives (rows of left, arrays of fields). Both sides: keys, id, x and what more names. block: rows of a block at most. sized: a table with as many rows of each key as the bank, where that is cheaper to count."""
+def tiles(queries: DataFrame, bank: DataFrame, fold: Callable[[Side], object], fields: list[T.StructField], *, metric: str, keys: tuple[str, ...] = (), more: tuple[list[str], list[str]] = ([], []), block: int | None = None, sized: DataFrame | None = None, held: int = SCORES) -> DataFrame:
+    """keys and fields: what folds make of each pair of blocks with equal keys. fold(left) makes one; its add(scores, off, left part, its first row, right part) is called for each part of the product, and told() gives (rows of left, arrays of fields). Both sides: keys, id, x and what more names. block: rows of a block at most. sized: a table with as many rows of each key as the bank, where that is cheaper to count. held: scores held at once."""
     keys = list(keys)
     left_more, right_more = more
     queries = queries.select(*keys, "id", "x", *left_more).where(F.col("x").isNotNull())
@@ -195,8 +195,8 @@ def tiles(queries: DataFrame, bank: DataFrame, fold: Callable[[Side], object], f
                 k, l = np.searchsorted(other, [code, code + 1])
                 q, v = qs.part(i, j), bs.part(k, l)
                 made = fold(q)
-                wide = min(l - k, SCORES)
-                tall = max(1, SCORES // wide)
+                wide = min(l - k, held)
+                tall = max(1, held // wide)
                 for r in range(0, j - i, tall):
                     some = q.part(r, r + tall)
                     for c in range(0, l - k, wide):
@@ -256,20 +256,22 @@ class _Pairs:
         self.metric, self.value, self.found = metric, value, []
 
     def add(self, s: np.ndarray, off: np.ndarray, left: Side, first: int, right: Side) -> None:
-        real = s.ravel()
+        real, wide = s.ravel(), np.uint32(s.shape[1])
         if self.metric == "l2":  # equal vectors have no distance
             close = np.flatnonzero(s >= -2 * off[:, None])
             rows, cols = np.divmod(close, s.shape[1])
             real[close] = exact(left.x[rows], right.x[cols], self.metric)
         if self.value:
-            real = self.value(real)
+            real[:] = self.value(real)
         at = np.arange(len(real), dtype=np.uint64)
         if len(at) >= SORTED:  # as integers: a value's first bits, then its place
             at |= real.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)
             at.sort()
         at = at.astype(np.uint32)
-        rows, cols = np.divmod(at, np.uint32(s.shape[1]))
-        self.found.append((rows + np.uint32(first), left.ids[rows], right.ids[cols], real[at]))
+        real = real[at]
+        rows = at // wide
+        at -= rows * wide
+        self.found.append((rows + np.uint32(first), left.ids[rows], right.ids[at], real))
 
     def told(self) -> tuple[np.ndarray, list]:
         rows, *rest = (x[0] if len(x) == 1 else np.concatenate(x) for x in zip(*self.found))
@@ -290,7 +292,7 @@ def half_up(x: np.ndarray, digits: int) -> np.ndarray:
 def all_pairs(queries: DataFrame, bank: DataFrame, *, metric: str = "l2", keys: tuple[str, ...] = (), block: int | None = None, value: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """keys, id, neighbour, score of every pair with equal keys, where the pairs themselves are asked for (J7, J12). value: what stands for the scores, reckoned inside tasks."""
     fields = [T.StructField("id", queries.schema["id"].dataType), T.StructField("neighbour", bank.schema["id"].dataType), T.StructField("score", T.DoubleType())]
-    return tiles(queries, bank, lambda left: _Pairs(left, metric, value), fields, metric=metric, keys=keys, block=block or PAIRS)
+    return tiles(queries, bank, lambda left: _Pairs(left, metric, value), fields, metric=metric, keys=keys, block=block or PAIRS, held=2 * SCORES)
 
 
 class _Sums:
